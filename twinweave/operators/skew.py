@@ -63,15 +63,15 @@ def pack(loads: Sequence[float], tasks: int) -> tuple[list[int], list[float]]:
     return where, total
 
 
-def plan_skew(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> SkewPlan:
-    """Count loads, split the heavy keys, pack everything to tasks.
+def plan_skew(df: DataFrame, keys: Sequence[str], tasks: int | None = None, load: str | None = None) -> SkewPlan:
+    """Count loads (or add up those of a column), split the heavy keys, pack everything to tasks.
 
     An empty table gives a plan without heavy keys. Nulls in a key are a value like any other.
     """
     spark = df.sparkSession
     tasks = tasks or parallelism(spark)
     n_bins = min(tasks * BINS_PER_TASK, max(2048, 2 * tasks))
-    loads = df.groupBy(key_id(keys).alias(_KEYID)).agg(F.count(F.lit(1)).alias(_LOAD))
+    loads = df.groupBy(key_id(keys).alias(_KEYID)).agg((F.sum(load) if load else F.count(F.lit(1))).alias(_LOAD))
     # bins first: their sum is the total, from which follows what is heavy
     by_bin = {r[0]: r[1] for r in loads.groupBy(F.pmod(F.col(_KEYID), F.lit(n_bins)).alias(_BIN)).agg(F.sum(_LOAD)).collect()}
     total = sum(by_bin.values())
