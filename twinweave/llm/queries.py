@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinweave.llm import encode, groups, mix
+from twinweave.llm import encode, groups, mix, spans
 from twinweave.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of each file that stand word for word in another one."""
+    return spans.shared_spans(table(spark, sf_dir, "fingerprints")).select("file_idx", "line_start", "line_end")
+
+
+def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each file stands elsewhere too."""
+    return spans.shared_share(table(spark, sf_dir, "fingerprints"), table(spark, sf_dir, "parsed_files"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every file in a link of clone_pairs."""
     return groups.file_groups(table(spark, sf_dir, "clone_pairs"))
@@ -28,9 +38,23 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_ids, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p5_found, p6_ids, p7_mix, p7_shares)}
+
+_SPANS = """
+        WITH d AS (SELECT file_idx, pos, min(row(h1 IS NULL, h1, h2 IS NULL, h2)) AS h, min(line_start) AS ls, min(line_end) AS le FROM fingerprints WHERE file_idx IS NOT NULL AND pos IS NOT NULL GROUP BY file_idx, pos),
+        w AS (SELECT file_idx, pos, list(h) OVER f AS hs, bool_and(NOT h[1] AND NOT h[3]) OVER f AND max(pos) OVER f = pos + 7 AS ok FROM d WINDOW f AS (PARTITION BY file_idx ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+        s AS (SELECT hs FROM w WHERE ok GROUP BY hs HAVING count(DISTINCT file_idx) > 1),
+        c AS (SELECT DISTINCT file_idx, unnest(range(pos, pos + 8)) AS pos FROM w SEMI JOIN s ON w.hs = s.hs WHERE ok),
+        g AS (SELECT file_idx, pos, pos - row_number() OVER (PARTITION BY file_idx ORDER BY pos) AS isle FROM c),
+        x AS (SELECT file_idx, min(pos) AS a, max(pos) AS b FROM g GROUP BY file_idx, isle)"""
 
 SQL = {
+    "p1_found": _SPANS + " SELECT x.file_idx, p.ls AS line_start, q.le AS line_end FROM x JOIN d p ON p.file_idx = x.file_idx AND p.pos = x.a JOIN d q ON q.file_idx = x.file_idx AND q.pos = x.b",
+    "p1_share": _SPANS + """, n AS (SELECT file_idx, count(*) AS n_fingerprints FROM d GROUP BY file_idx),
+        k AS (SELECT file_idx, CAST(sum(b - a + 1) AS BIGINT) AS n_shared FROM x GROUP BY file_idx),
+        t AS (SELECT file_idx, max(token_count) AS token_count FROM parsed_files GROUP BY file_idx)
+        SELECT n.file_idx, n_fingerprints, coalesce(n_shared, 0) AS n_shared, coalesce(n_shared, 0) / n_fingerprints AS share, CAST(round(coalesce(n_shared, 0) / n_fingerprints * token_count) AS BIGINT) AS shared_tokens
+        FROM n LEFT JOIN k ON k.file_idx = n.file_idx LEFT JOIN t ON t.file_idx = n.file_idx""",
     "p5_found": r"""
         WITH RECURSIVE l AS (
             SELECT regexp_replace(replace(file_a, '\', '/'), '^\./', '') AS a, regexp_replace(replace(file_b, '\', '/'), '^\./', '') AS b
