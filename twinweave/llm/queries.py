@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinweave.llm import encode, groups, mix, spans
+from twinweave.llm import encode, groups, mix, spans, syntax
 from twinweave.session import table
 
 
@@ -18,6 +19,16 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(table(spark, sf_dir, "fingerprints"), table(spark, sf_dir, "parsed_files"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are not valid for the language of their extension."""
+    return syntax.checked_files(table(spark, sf_dir, "source_files")).where(~F.col("valid")).select("file_idx")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of invalid files per repository and language."""
+    return syntax.invalid_rates(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "ast_hashes"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every file in a link of clone_pairs."""
     return groups.file_groups(table(spark, sf_dir, "clone_pairs"))
@@ -38,7 +49,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p5_found, p6_ids, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares)}
 
 _SPANS = """
         WITH d AS (SELECT file_idx, pos, min(row(h1 IS NULL, h1, h2 IS NULL, h2)) AS h, min(line_start) AS ls, min(line_end) AS le FROM fingerprints WHERE file_idx IS NOT NULL AND pos IS NOT NULL GROUP BY file_idx, pos),
