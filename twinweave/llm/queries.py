@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm import encode, groups, mix, spans, syntax
+from twinweave.llm import encode, groups, handwritten, mix, spans, syntax
 from twinweave.session import table
 
 
@@ -19,6 +19,24 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(table(spark, sf_dir, "fingerprints"), table(spark, sf_dir, "parsed_files"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand."""
+    return handwritten.unwritten_files(table(spark, sf_dir, "source_files"))
+
+
+def p2_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the classifiers do on repositories they haven't seen, against the weak labels."""
+    return handwritten.held_out_accuracy(table(spark, sf_dir, "source_files"))
+
+
+def p2_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the repository's ignore patterns hit a file, and whether it was found not to be hand-written."""
+    files = table(spark, sf_dir, "source_files")
+    found = handwritten.unwritten_files(files).distinct().withColumn("unwritten", F.lit(True))
+    both = handwritten.ignored_by_pattern(files, table(spark, sf_dir, "scan_configs")).join(found, "file_idx", "left")
+    return both.groupBy("ignored", F.coalesce("unwritten", F.lit(False)).alias("unwritten")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are not valid for the language of their extension."""
     return syntax.checked_files(table(spark, sf_dir, "source_files")).where(~F.col("valid")).select("file_idx")
@@ -49,7 +67,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p2_found, p2_held_out, p2_ignored, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares)}
 
 _SPANS = """
         WITH d AS (SELECT file_idx, pos, min(row(h1 IS NULL, h1, h2 IS NULL, h2)) AS h, min(line_start) AS ls, min(line_end) AS le FROM fingerprints WHERE file_idx IS NOT NULL AND pos IS NOT NULL GROUP BY file_idx, pos),
