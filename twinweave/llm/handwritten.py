@@ -33,8 +33,8 @@ from twinweave.session import spread
 BUCKETS = 1 << 12
 #: Length of n-grams of bytes and of shapes.
 BYTE_GRAM, SHAPE_GRAM = 4, 6
-#: Labelled files used for training and validation, at most, of each label.
-SAMPLE = 2000
+#: Files drawn for training, of which the labelled are used.
+SAMPLE = 9000
 #: Parts into which repositories are divided; each is judged by classifiers that haven't seen it.
 FOLDS = 4
 
@@ -190,33 +190,60 @@ def weak_labels(source_files: DataFrame) -> DataFrame:
     )
 
 
+#: label, vendor banner, fold, features of body and path; features as the places and values of what isn't 0
+_EXAMPLES = "label string, vendor_banner boolean, fold int, body_at binary, body binary, path_at binary, path binary"
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for label, banner, repo, path, text in zip(*(c.to_pylist() for c in batch.columns)):
+            row: list = [label, banner, zlib.crc32(repo.encode()) % FOLDS]
+            for f in (body_features(text, extension(path)), path_features(path)):
+                at = np.flatnonzero(f)
+                row += [at.astype(np.uint16).tobytes(), f[at].astype(np.float32).tobytes()]
+            out.append(row)
+        if out:
+            kinds = (pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in _EXAMPLES.split(", ")])
+
+
 def fit(source_files: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` files of each label, drawn by the hash of their path.
+    """Train on the labelled among about ``sample`` files, drawn by the hash of their path.
 
-    Without labelled files of both kinds (an empty table, say) the weights are zero and nothing is found.
+    Files are drawn before they are looked at, so the table's other texts are
+    not read twice. Without labelled files of both kinds (an empty table, say)
+    the weights are zero and nothing is found.
     """
-    labelled = weak_labels(source_files)
+    share = min(1.0, sample / max(1, source_files.count()))
+    drawn = source_files.where(F.pmod(F.xxhash64("path"), F.lit(1_000_000)) < int(share * 1_000_000))
+    labelled = weak_labels(drawn)
     body = F.col("tool_banner") | F.col("tool_path") | F.col("data_path")
-    vendor = F.col("vendor_banner") | F.col("vendor_path")
-    label = F.when(body, "made").when(vendor, "vendor").otherwise("plain")
-    slim = labelled.select(label.alias("label"), (F.col("vendor_banner") & ~body).alias("vendor_banner"), "repo", "path", F.abs(F.xxhash64("path")).alias("h"), F.concat(F.substring("content", 1, 20000), F.lit("")).alias("content"))
-    sizes = {r[0]: r[1] for r in slim.groupBy("label").count().collect()}
-    # a share of each label that gives about as many as are wanted, whatever the size of the table
-    pick = F.lit(False)
-    for k, n in sizes.items():
-        pick = pick | ((F.col("label") == k) & (F.col("h") % 1_000_000 < int(min(1.0, sample / n) * 1_000_000)))
-    rows = slim.where(pick).orderBy("h", "path").limit(4 * sample).collect() if sizes else []
-    return _fit_rows([(r["label"], r["vendor_banner"], r["repo"], r["path"], r["content"]) for r in rows])
-
-
-def _fit_rows(rows: list[tuple[str, bool, str, str, str]]) -> Model:
-    zero = Model(np.zeros(2 * BUCKETS + 1, np.float32), np.zeros(BUCKETS + 1, np.float32))
-    fold = np.array([zlib.crc32(r[2].encode()) % FOLDS for r in rows], int)
-    made = np.array([r[0] != "vendor" for r in rows], bool)
+    label = F.when(body, "made").when(F.col("vendor_banner") | F.col("vendor_path"), "vendor").otherwise("plain")
+    rows = labelled.select(label.alias("label"), (F.col("vendor_banner") & ~body).alias("vendor_banner"), "repo", "path", "content")
+    # of hand-written files a third is enough
+    rows = rows.where((F.col("label") != "plain") | (F.pmod(F.xxhash64("path", F.lit(1)), F.lit(3)) == 0))
+    examples = rows.mapInArrow(_examples, _EXAMPLES).limit(2 * sample).collect()
+    return _fit_examples(sorted(examples, key=lambda r: (r["path_at"], r["body_at"])))
+
+
+def _fit_examples(rows: list) -> Model:
+    def dense(at: str, value: str, size: int) -> np.ndarray:
+        out = np.zeros((len(rows), size), np.float32)
+        for x, r in zip(out, rows):
+            x[np.frombuffer(r[at], np.uint16)] = np.frombuffer(r[value], np.float32)
+        return out
+
+    if not rows:
+        return Model(np.zeros(2 * BUCKETS + 1, np.float32), np.zeros(BUCKETS + 1, np.float32))
+    fold = np.array([r["fold"] for r in rows])
+    label = np.array([r["label"] for r in rows])
+    made = label != "vendor"
     # a vendored file without a banner is no example of a path: its place gave it away
-    named = np.array([r[1] or r[0] == "plain" for r in rows], bool)
-    body, report = _cross_fitted(np.stack([body_features(r[4], extension(r[3])) for r in rows])[made], np.array([1 if r[0] == "made" else -1 for r in rows])[made], fold[made], "body") if made.any() else (zero.body, [])
-    path, more = _cross_fitted(np.stack([path_features(r[3]) for r in rows])[named], np.array([1 if r[1] else -1 for r in rows])[named], fold[named], "path") if named.any() else (zero.path, [])
+    banner = np.array([r["vendor_banner"] for r in rows], bool)
+    named = banner | (label == "plain")
+    body, report = _cross_fitted(dense("body_at", "body", 2 * BUCKETS + 1)[made], np.where(label == "made", 1, -1)[made], fold[made], "body")
+    path, more = _cross_fitted(dense("path_at", "path", BUCKETS + 1)[named], np.where(banner, 1, -1)[named], fold[named], "path")
     return Model(body, path, report + more)
 
 
