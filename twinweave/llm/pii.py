@@ -19,7 +19,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +36,8 @@ N_LABELS = 1 + 2 * len(KINDS)
 SAMPLE = 6000
 #: Buckets of hashed features, and the tokens to either side whose features count.
 BUCKETS, REACH = 1 << 14, 3
+#: Given names that a model knows, at most.
+GIVEN = 20_000
 #: Rounds of messages over the skip edges.
 ROUNDS = 3
 #: Strengths of the skip edges to choose from.
@@ -44,7 +46,8 @@ STRENGTHS = (0.0, 0.5, 1.0, 2.0)
 _TOKEN = re.compile(r"\w+|[^\w\s]|\r?\n")
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
-_CITY = rf"{_CAP}(?:[ -]{_CAP})?"
+_TOWN_WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-ÿ'’]+"
+_CITY = rf"{_TOWN_WORD}(?:[ -]{_TOWN_WORD})?"
 # Words for streets and units, and titles of official numbers, by language.
 _STREET_EN = r"Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Court|Ct|Crescent|Close|Mews|Terrace|Drive|Dr|Way|Place|Square|Row|Hill|Gardens|Grove|Park"
 _STREET_DE = r"(?:straße|strasse|str\.|gasse|platz|weg|allee|ring|damm|ufer)"
@@ -65,7 +68,7 @@ _ADDRESS = re.compile(
 )
 _DOT = r"(?:\.|[ ]?[\[(][ ]?(?:dot|punkt|point|punto)[ ]?[\])][ ]?|[ ](?:dot|punkt)[ ])"
 _AT = r"(?:@|[ ]?[\[(][ ]?(?:at|@)[ ]?[\])][ ]?)"
-_EMAIL = re.compile(rf"(?<![\w@/.+-])[A-Za-z0-9](?:[\w.+-]*[\w+])?(?:{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+|[ ]at[ ][A-Za-z0-9-]+(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]+)+)(?![\w:/])")
+_EMAIL = re.compile(rf"(?<![\w@/.+-])[A-Za-z0-9](?:[\w.+-]*[\w+])?(?:{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}|[ ]at[ ][A-Za-z0-9-]+(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]+)*[ ]dot[ ][A-Za-z]{{2,}})(?![\w:/])")
 _NOT_EMAIL = re.compile(r"^git@|@\d+x\.|@\d+\.\d+|\.(?:png|jpe?g|svg|gif|webp|git)$", re.I)
 _PHONE = re.compile(
     r"(?<![\w.+/#=-])(?:\+\d{1,3}[ .-]?(?:\(0\)[ ]?)?\d[\d .()/-]{5,14}\d|\(\d{3}\)[ ]?\d{3}[-. ]\d{4}|(?:1[-. ])?\d{3}[-.]\d{3}[-.]\d{4}|\(?0\d{2,4}\)?[ /]\d{3,4}[ ]?\d{2,4}(?:[ ]?\d{2,3})?|0\d{2}[ /]\d{5,8}|0\d(?:[ .]\d{2}){4}|00\d{2}[ ]\d(?:[ ]\d{2}){4}|0\d{4}[ ]\d{6})"
@@ -154,12 +157,13 @@ def _codes(spans: Sequence[tuple[int, int]], marks: Sequence[tuple[int, int, int
 
 @dataclass
 class Model:
-    """token: (2 * REACH + 1, BUCKETS, labels); pattern: (3, labels, labels) of the marks before, at and after a token; step: transitions; skip: strength of skip edges."""
+    """token: (2 * REACH + 1, BUCKETS, labels); pattern: (3, labels, labels) of the marks before, at and after a token; step: transitions; skip: strength of skip edges; given: given names seen with cues, at most GIVEN."""
 
     token: np.ndarray
     pattern: np.ndarray
     step: np.ndarray
     skip: float = 0.0
+    given: frozenset[str] = frozenset()
 
     @classmethod
     def empty(cls) -> Model:
@@ -339,8 +343,10 @@ _WHOLE_NAME = re.compile(rf"{_NAME}")
 _LEFT_OF_NAME = re.compile(rf"(?:(?:{_ANY}|{_INITIAL})[ ])?(?:{_INITIAL}[ ])?$")
 
 
-def checked_name(text: str, a: int, b: int) -> tuple[int, int] | None:
+def checked_name(text: str, a: int, b: int, given: frozenset[str] = frozenset()) -> tuple[int, int] | None:
     """A name's span made whole: one line, with the rest of a hyphenated part and, for a surname alone, what precedes it; None if two parts can't be found."""
+    if re.search(r"[ ][^\W\d_]$", text[a:b]) and (m := re.match(rf"\.[ ]{_ANY}", text[b : b + 40])):
+        b += m.end()
     if m := re.match(rf"-{_ANY}", text[b : b + 40]):
         b += m.end()
     piece = re.split(r"[\r\n]", text[a:b])
@@ -349,18 +355,25 @@ def checked_name(text: str, a: int, b: int) -> tuple[int, int] | None:
         a = text.index(longest, a)
         b = a + len(longest)
     if re.fullmatch(rf"{_NAME}", text[a:b]) and not re.match(rf"{_INITIAL}[ ]", text[a:b]):
+        first = re.match(_ANY, text[a:b])
+        if given and first and re.match(rf"{_ANY}[ ]{_INITIAL}[ ]", text[a:b]) and first.group().lower() not in given:
+            a += first.end() + 1
         return a, b
     if re.fullmatch(rf"{_ANY}", text[a:b]) and (m := re.match(rf",[ ]({_ANY})(?=[\s.,;]|$)", text[b : b + 40])) and m.group(1)[0].isupper():
         return a, b + m.end()
     # an initial in front may be all there is of the given name, or follow it
     if (m := _LEFT_OF_NAME.search(text, max(0, a - 30), a)) and m.group() and (m.group()[0].isupper() or re.fullmatch(rf"{_ANY}", text[a:b])):
-        left = text[m.start() : b]
+        start = m.start()
+        word = re.match(_ANY, text[start:a])
+        if word and re.search(rf"[ ]{_INITIAL}[ ]", text[start:b]) and given and word.group().lower() not in given:
+            start += word.end() + 1  # a word before an initial is part of the name only if it is a given name
+        left = text[start:b]
         if re.fullmatch(rf"{_NAME}", left) and (re.match(_INITIAL, left) or left[0].isupper()):
-            return m.start(), b
+            return start, b
     return (a, b) if re.fullmatch(rf"{_NAME}", text[a:b]) else None
 
 
-def decoded(text: str, spans: Sequence[tuple[int, int]], labels: np.ndarray, marks: Sequence[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
+def decoded(text: str, spans: Sequence[tuple[int, int]], labels: np.ndarray, marks: Sequence[tuple[int, int, int]] = (), given: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the labelled pieces of a text, their ends checked.
 
     A piece that meets a marked pattern of its kind is that pattern, whole.
@@ -379,7 +392,7 @@ def decoded(text: str, spans: Sequence[tuple[int, int]], labels: np.ndarray, mar
             continue
         a, b = _fixed_ends(text, a, b)
         if k == 4:
-            whole = checked_name(text, a, b) if a < b else None
+            whole = checked_name(text, a, b, given) if a < b else None
             if whole is None:
                 continue
             a, b = whole
@@ -431,13 +444,13 @@ class Finder:
                 padded[c, : x[0]] = x[3]
             add_skips(padded, lengths, [x[5] for x in part], model.step, model.skip)
             for x, labels in zip(part, best_labels(padded, model.step, lengths)):
-                out[x[1]] = decoded(texts[x[1]], x[2], labels, x[4])
+                out[x[1]] = decoded(texts[x[1]], x[2], labels, x[4], model.given)
             at = end
         return out
 
 
-def silver_labels(texts: Sequence[str]) -> list[list[tuple[int, int, int]]]:
-    """What the labelling functions make of texts: patterns, cued names, and pairs of names known from cues."""
+def silver_labels(texts: Sequence[str]) -> tuple[list[list[tuple[int, int, int]]], frozenset[str]]:
+    """What the labelling functions make of texts (patterns, cued names, and pairs of names known from cues), and the given names."""
     given: Counter[str] = Counter()
     family: Counter[str] = Counter()
     cued = []
@@ -450,7 +463,7 @@ def silver_labels(texts: Sequence[str]) -> list[list[tuple[int, int, int]]]:
                 first, last = (parts[1], parts[0]) if "," in text[a:b] else parts
                 given[first.lower()] += 1
                 family[last.lower()] += 1
-    known = {w for w, n in given.items() if n >= 3}
+    known = {w for w, n in given.most_common(GIVEN) if n >= 3}
     pair = re.compile(rf"(?<![\w@.+-])(?:{'|'.join(sorted(map(re.escape, known))) or '(?!)'})(?:[ ]{_INITIAL})?[ ]{_ANY}|(?<![\w@.+-]){_ANY},[ ](?:{'|'.join(sorted(map(re.escape, known))) or '(?!)'})\b", re.I)
     out = []
     for text, names in zip(texts, cued):
@@ -461,7 +474,7 @@ def silver_labels(texts: Sequence[str]) -> list[list[tuple[int, int, int]]]:
             if all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, 4))
         out.append(sorted(taken))
-    return out
+    return out, frozenset(known)
 
 
 def train(texts: Sequence[str], marks: Sequence[list[tuple[int, int, int]]], epochs: int = 14, batch_tokens: int = 12_000, rate: float = 0.25, seed: int = 0) -> Model:
@@ -553,14 +566,15 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     share = min(1.0, sample / max(1, documents.count()))
     rows = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()
     texts = [r["text"] for r in rows]
-    marks = silver_labels(texts)
+    marks, given = silver_labels(texts)
     held = [zlib.crc32(r["repo"].encode()) % 8 == 0 for r in rows]
     model = train([t for t, h in zip(texts, held) if not h], [m for m, h in zip(marks, held) if not h])
+    model.given = given
     test, gold = [t for t, h in zip(texts, held) if h], [m for m, h in zip(marks, held) if h]
     if test:
         best = -1.0
         for s in STRENGTHS:
-            score = _f1(Finder(Model(model.token, model.pattern, model.step, s)).find(test), gold)
+            score = _f1(Finder(replace(model, skip=s)).find(test), gold)
             if score >= best:
                 best, model.skip = score, s
     return model
