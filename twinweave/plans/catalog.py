@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from twinweave.plans import skewed
+from twinweave.plans import reference_queries, skewed
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "clone_pairs"
 
-QUERIES = {**skewed.QUERIES}
-SQL = {**skewed.SQL}
+QUERIES = {**reference_queries.QUERIES, **skewed.QUERIES}
+SQL = {**reference_queries.SQL, **skewed.SQL}
