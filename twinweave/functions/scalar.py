@@ -30,3 +30,19 @@ def percent(part: Column, whole: Column) -> Column:
 
 def author_text(name: Column, line: Column, date: Column) -> Column:
     return F.format_string("%s (line %d, %s)", name, line, date)
+
+
+def one_decimal(c: Column) -> Column:
+    """A non-negative double with one decimal, rounded by its exact binary value as C and Rust do (Java's formats round its shortest decimal).
+
+    20 c is computed without error as a sum of two doubles, so ties are known for what they are.
+    """
+    big, small = c * 16, c * 4
+    s = big + small
+    rest = small - (s - big)
+    half = s / 2
+    n = F.floor(half)
+    over = half - n
+    up = (over > 0.5) | ((over == 0.5) & ((rest > 0) | ((rest == 0) & (n % 2 == 1))))
+    m = n + up.cast("bigint")
+    return F.concat(F.floor(m / 10).cast("string"), F.lit("."), (m % 10).cast("string"))

@@ -7,6 +7,7 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinweave.functions.scalar import one_decimal
 from twinweave.operators.pairs import in_order
 from twinweave.plans.scan import Scan
 
@@ -20,7 +21,7 @@ def _place(s: str) -> F.Column:
 
 def markdown_lines(pairs: DataFrame) -> DataFrame:
     """(line) of a Markdown table of all pairs, in order when sorted by ``token_count`` as it is here."""
-    row = F.format_string("| %s | %s | %d | %.1f%% |", F.concat(F.lit("`"), _place("a"), F.lit("`")), F.concat(F.lit("`"), _place("b"), F.lit("`")), "token_count", F.col("similarity") * 100)
+    row = F.format_string("| `%s` | `%s` | %d | %s%% |", _place("a"), _place("b"), "token_count", one_decimal(F.col("similarity") * 100))
     return in_order(pairs).select(row.alias("line"))
 
 
