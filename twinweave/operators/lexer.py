@@ -185,7 +185,7 @@ def tokens(source_files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFr
         if not len(tok):
             return None
         n = len(tok)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.array(KINDS, object)[kind]), pa.array(tok), pa.array(a), pa.array(b), pa.array(at)], ["file_idx", "pos", "kind", "tok", "line_start", "line_end", "byte_offset"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.arange(n, dtype=np.int32)), pa.array(KINDS).take(pa.array(kind)), pa.array(tok), pa.array(a), pa.array(b), pa.array(at)], ["file_idx", "pos", "kind", "tok", "line_start", "line_end", "byte_offset"])
 
     return spread(parseable(source_files, config), "file_idx").mapInArrow(lambda it: _batches(it, make), TOKEN_SCHEMA)
 

@@ -102,15 +102,17 @@ def line_counts(source_files: DataFrame, config: ScanConfig) -> DataFrame:
 def span_tokens(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """pairs with tokens_a and tokens_b: the tokens that lie wholly within the lines of each side.
 
-    As lines of tokens ascend, that is a difference of two running counts: equi-joins on a line instead of a range join.
+    As lines of tokens ascend, that is a difference of two running counts: one
+    equi-join of the four lines of each pair instead of a range join. Repeated pairs stay repeated.
     """
-    ends = counts.select("file_idx", "line", "starts_before", "ends_upto")
-    for s in "ab":
-        first = ends.select(F.col("file_idx").alias(f"file_{s}"), F.col("line").alias(f"start_{s}"), F.col("starts_before").alias(f"before_{s}"))
-        last = ends.select(F.col("file_idx").alias(f"file_{s}"), F.col("line").alias(f"end_{s}"), F.col("ends_upto").alias(f"upto_{s}"))
-        pairs = pairs.join(first, [f"file_{s}", f"start_{s}"], "left").join(last, [f"file_{s}", f"end_{s}"], "left")
-        pairs = pairs.withColumn(f"tokens_{s}", F.greatest(F.coalesce(F.col(f"upto_{s}") - F.col(f"before_{s}"), F.lit(0)), F.lit(0))).drop(f"before_{s}", f"upto_{s}")
-    return pairs
+    cols = pairs.columns
+    point = lambda s, end: F.struct(F.col(f"file_{s}").alias("file_idx"), F.col(f"{'end' if end else 'start'}_{s}").alias("line"), F.lit(s).alias("side"), F.lit(end).alias("upto"))
+    points = pairs.select(*cols, F.explode(F.array(*[point(s, e) for s in "ab" for e in (False, True)])).alias("at")).select(*cols, "at.*")
+    joined = points.join(counts.select("file_idx", "line", "starts_before", "ends_upto"), ["file_idx", "line"], "left")
+    signed = F.when(F.col("upto"), F.col("ends_upto")).otherwise(-F.col("starts_before"))
+    found = joined.groupBy(*cols).agg(*[F.sum(F.when(F.col("side") == s, signed)).alias(f"sum_{s}") for s in "ab"], (F.count(F.lit(1)) / 4).cast("int").alias("times"))
+    within = [F.greatest(F.coalesce(F.col(f"sum_{s}") / F.col("times"), F.lit(0)), F.lit(0)).cast("bigint").alias(f"tokens_{s}") for s in "ab"]
+    return found.select(*cols, *within, F.explode(F.sequence(F.lit(1), "times")).alias("__n")).drop("__n")
 
 
 def fragment_hash(h1: str = "h1", h2: str = "h2") -> F.Column:
