@@ -107,9 +107,9 @@ def _contracted(forest: DataFrame, max_edges: int, max_nodes: int) -> DataFrame:
     edges, size = forest, None
     while size is None or size > max_edges:
         both = edges.select("node", F.col("root").alias("other")).unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("other")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(levels))), F.col(c))  # noqa: B023, E731
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(levels))).alias("rank"), F.col(c).alias("to"))  # noqa: B023, E731
         least = both.groupBy("node").agg(F.least(F.min(rank("other")), F.min(rank("node"))).alias("m"))
-        to = cut(least.select("node", F.col(least.columns[1])[least.schema["m"].dataType.names[1]].alias("to")))
+        to = cut(least.select("node", "m.to"))
         levels.append(to)
         left = fragment_replicate_join(edges, to, ["node"]).select("root", F.col("to").alias("a"))
         ends = to.select(F.col("node").alias("root"), F.col("to").alias("b"))

@@ -73,7 +73,7 @@ BANNER_CHARS = 1500
 _COMMENT = r"(?://[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->)"
 _LEADING = re.compile(rf"\A(?:\s*{_COMMENT})+")
 _LEADING_PY = re.compile(r"\A(?:\s*#[^\n]*)+")
-_TRAILING = re.compile(r"(?:\s*(?://[^\n]*|/\*(?:[^*]|\*(?!/))*\*/))+\s*\Z")
+_TRAILING = re.compile(r"(?:(?:\A|\n)\s*(?://[^\n]*|/\*(?:[^*]|\*(?!/))*\*/))+\s*\Z")
 _TRAILING_PY = re.compile(r"(?:\n\s*#[^\n]*)+\s*\Z")
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -92,7 +92,7 @@ def masked(text: str, ext: str) -> str:
     tail = max(0, len(text) - 2000)
     if m := (_TRAILING_PY if python else _TRAILING).search(text, tail):
         text = text[: m.start()]
-    return text
+    return text.strip()
 
 
 def _grams(b: np.ndarray, n: int) -> np.ndarray:

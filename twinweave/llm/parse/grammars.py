@@ -355,7 +355,7 @@ RUST = """
 crate: inner* item* ;
 inner: '#' '!' '[' tt* ']' ;
 attr: '#' '[' tt* ']' ;
-tt: ANY | '(' tt* ')' | '[' tt* ']' | '{' tt* '}' ;
+tt: ANY | '$' | '@' | '~' | '(' tt* ')' | '[' tt* ']' | '{' tt* '}' ;
 vis: 'pub' ('(' ('crate' | 'super' | 'self' | 'in' path) ')')? ;
 item: attr* vis? kind | macitem ;
 macitem: attr* path '!' ID? ('{' tt* '}' | '(' tt* ')' ';' | '[' tt* ']' ';') ;
@@ -468,7 +468,7 @@ def ecma(typescript: bool) -> str:
         "STMTS": "| tsdecl | 'declare' (tsdecl | func | class | ('var' | 'let' | 'const') decls ';') | 'import' id '=' assign ';' | 'export' '=' assign ';' | 'export' 'as' 'namespace' id ';'",
         "ANNP": "", "ANN": "('!'? ':' type)?", "GEN": "gen?", "RET": "(':' rtype)?", "FBODY": "(block | ';')", "OPT": "('?' | '!')?", "CMOD": "'abstract'?", "TARGS": "targs?", "IMPL": "('implements' (type // ','))?",
         "MMOD*": "('public' | 'private' | 'protected' | 'static' | 'readonly' | 'abstract' | 'override' | 'declare' | 'accessor')*", "MEMBERS": "| 'static'? 'readonly'? index sep?", "TYPE": "'type'?", "DEXP": "| tsdecl",
-        "EXPORTS": "| tsdecl | 'declare' (tsdecl | func | class | ('var' | 'let' | 'const') decls ';') | 'import' id '=' assign ';'", "CASTS": "(('as' | 'satisfies') type)*", "PRE": "", "POST": "| post '!'", "DECO": "('@' post)*",
+        "EXPORTS": "| tsdecl | 'declare' (tsdecl | func | class | ('var' | 'let' | 'const') decls ';') | 'import' id '=' assign ';'", "CASTS": "(('as' | 'satisfies') (type | 'const'))*", "PRE": "| '<' (type | 'const') '>'", "POST": "| post '!'", "DECO": "('@' post)*",
     }
     text = ECMA
     values = more if typescript else gone

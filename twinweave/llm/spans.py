@@ -23,6 +23,7 @@ own hash: equal windows still meet.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,23 @@ from twinweave.session import cut
 MIN_RUN = 8
 #: Symbols of the sub-windows whose least hash is the minimizer.
 GRAM = 4
-#: Consecutive positions of a record that are cut into pieces at once.
-BLOCK = 8192
-#: Pieces of one minimizer above which it is cut into windows, at least (and no more than this share of all pieces).
-HEAVY_PIECES, HEAVY_SHARE = 20_000, 0.001
-#: Symbols in one automaton.
-SHARD_SYMBOLS = 200_000
-#: Pieces a task remembers so as to send repeated ones once.
-MEMO_PIECES = 100_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Sizes of the work; the result doesn't depend on them.
+
+    block: consecutive positions of a record that are cut into pieces at once.
+    heavy_pieces, heavy_share: a minimizer with more pieces than both (the second a share of all pieces of such minimizers) is cut into windows.
+    shard_symbols: symbols after which a new automaton is begun. memo_pieces: pieces a task remembers so as to send repeated ones once.
+    """
+
+    block: int = 8192
+    heavy_pieces: int = 20_000
+    heavy_share: float = 0.001
+    shard_symbols: int = 200_000
+    memo_pieces: int = 100_000
+
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -161,7 +171,7 @@ def _carry(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, n
         yield rest
 
 
-def _pieces(t: pa.Table, min_run: int, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
+def _pieces(t: pa.Table, min_run: int, limits: Limits, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
     """(minimizer, first row, last row) of the pieces of a table of (block, file, pos, h1, h2, ...), sorted, and its symbols."""
     block, rec, pos = (t.column(i).to_numpy() for i in range(3))
     h1, h2 = (np.asarray(t.column(i).fill_null(0)).astype(np.int64).view(np.uint64) for i in (3, 4))
@@ -176,7 +186,7 @@ def _pieces(t: pa.Table, min_run: int, heavy: np.ndarray) -> tuple[np.ndarray, .
     for i in range(min_run):
         good &= ok[i : m + i]
     good &= (rec[:m] == rec[min_run - 1 :]) & (block[:m] == block[min_run - 1 :]) & (pos[min_run - 1 :] - pos[:m] == min_run - 1)
-    good &= pos[:m] // BLOCK == block[:m]  # windows that begin in the halo belong to the next block
+    good &= pos[:m] // limits.block == block[:m]  # windows that begin in the halo belong to the next block
     gram = min(GRAM, min_run)
     g = np.zeros(n - gram + 1, np.uint64)
     for i in range(gram):
@@ -215,7 +225,7 @@ def _piece_hash(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return h
 
 
-def _send(batches: Iterator[pa.RecordBatch], min_run: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterator[pa.RecordBatch], min_run: int, limits: Limits, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The distinct pieces: minimizer, hash, symbols, least and greatest record, number of places."""
     memo: dict[tuple[int, int], list] = {}
 
@@ -233,7 +243,7 @@ def _send(batches: Iterator[pa.RecordBatch], min_run: int, heavy: np.ndarray) ->
             memo.clear()
 
     for t in _carry(batches, 2):
-        route, lo, hi, sym = _pieces(t, min_run, heavy)
+        route, lo, hi, sym = _pieces(t, min_run, limits, heavy)
         rec = t.column(1).to_numpy()
         for r, p, a, b, f in zip(route.tolist(), _piece_hash(sym, lo, hi).tolist(), lo.tolist(), hi.tolist(), rec[lo].tolist()):
             seen = memo.get((r, p))
@@ -245,28 +255,28 @@ def _send(batches: Iterator[pa.RecordBatch], min_run: int, heavy: np.ndarray) ->
                 seen[1] = f
             elif f > seen[2]:
                 seen[2] = f
-        if len(memo) > MEMO_PIECES:
+        if len(memo) > limits.memo_pieces:
             yield from flush()
     yield from flush()
 
 
-def _count_routes(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
+def _count_routes(batches: Iterator[pa.RecordBatch], min_run: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     for t in _carry(batches, 2):
-        route, n = np.unique(_pieces(t, min_run, np.zeros(0, np.uint64))[0], return_counts=True)
+        route, n = np.unique(_pieces(t, min_run, limits, np.zeros(0, np.uint64))[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(n)], ["route", "n"])
 
 
-def _places(batches: Iterator[pa.RecordBatch], min_run: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], min_run: int, limits: Limits, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Where each piece stands: hashes, record, first position, and the lines of its symbols."""
     for t in _carry(batches, 2):
-        route, lo, hi, sym = _pieces(t, min_run, heavy)
+        route, lo, hi, sym = _pieces(t, min_run, limits, heavy)
         yield pa.RecordBatch.from_arrays(
             [pa.array(route.view(np.int64)), pa.array(_piece_hash(sym, lo, hi).view(np.int64)), pa.array(t.column(1).to_numpy()[lo]), pa.array(t.column(2).to_numpy()[lo].astype(np.int32))],
             ["route", "piece", "record", "start"],
         )
 
 
-def _match(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], min_run: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     """Of each piece in a shard the runs of shared windows; the shard's rows are sorted by minimizer."""
     shard: list[tuple[int, int, bytes, int, int, int]] = []
     symbols = 0
@@ -311,20 +321,20 @@ def _match(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Recor
         kept = t.filter(pa.array(keep))
         rows = list(zip(*(kept.column(c).to_pylist() for c in ("route", "piece", "symbols", "low", "high", "n"))))
         for i, row in enumerate(rows):
-            if symbols > SHARD_SYMBOLS and row[0] != rows[i - 1][0]:
+            if symbols > limits.shard_symbols and row[0] != rows[i - 1][0]:
                 yield from flush()
             shard.append(row)
             symbols += len(row[2]) // 8
-        if symbols > SHARD_SYMBOLS:
+        if symbols > limits.shard_symbols:
             yield from flush()
     if shard:
         yield from flush()
 
 
-def _blocks(records: DataFrame, min_run: int) -> DataFrame:
+def _blocks(records: DataFrame, min_run: int, size: int) -> DataFrame:
     """Distinct (block, record, pos, h1, h2), sorted in partitions; the first positions of a block also end the block before."""
-    block = F.floor(F.col("pos") / BLOCK).cast("int")
-    both = F.when((F.col("pos") % BLOCK < min_run - 1) & (F.col("pos") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
+    block = F.floor(F.col("pos") / size).cast("int")
+    both = F.when((F.col("pos") % size < min_run - 1) & (F.col("pos") >= size), F.array(block, block - 1)).otherwise(F.array(block))
     slim = records.select("record", "pos", "h1", "h2").where(F.col("record").isNotNull() & F.col("pos").isNotNull()).withColumn("block", F.explode(both))
     one = slim.repartition("block", "record").sortWithinPartitions("block", "record", "pos", F.col("h1").asc_nulls_last(), F.col("h2").asc_nulls_last())
     return one.select("block", "record", "pos", "h1", "h2")
@@ -344,7 +354,7 @@ def _dedup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(new))
 
 
-def shared_runs(records: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def shared_runs(records: DataFrame, min_run: int = MIN_RUN, limits: Limits = Limits()) -> DataFrame:
     """(record, first_pos, last_pos): the pieces of each record that stand in another one too; they may overlap.
 
     records: record bigint, pos int, h1 and h2 bigint. Symbols are equal if both halves are; a null half equals
@@ -356,29 +366,29 @@ def shared_runs(records: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     table gives no rows.
     """
     spark = records.sparkSession
-    blocks = _blocks(records, min_run).persist()
-    piped = lambda f, *a: (lambda it: f(_dedup(it), min_run, *a))
+    blocks = _blocks(records, min_run, limits.block).persist()
+    piped = lambda f, *a: (lambda it: f(_dedup(it), min_run, limits, *a))
     counts = blocks.mapInArrow(piped(_count_routes), "route bigint, n bigint").groupBy("route").agg(F.sum("n").alias("n"))
-    # at most 1 / HEAVY_SHARE minimizers can hold more than that share of the heavy pieces
-    many = cut(counts.where(F.col("n") > HEAVY_PIECES))
-    bound = HEAVY_SHARE * (many.agg(F.sum("n")).first()[0] or 0)
+    # at most 1 / heavy_share minimizers can hold more than that share of the heavy pieces
+    many = cut(counts.where(F.col("n") > limits.heavy_pieces))
+    bound = limits.heavy_share * (many.agg(F.sum("n")).first()[0] or 0)
     heavy = np.array([r[0] for r in many.where(F.col("n") > bound).select("route").collect()], np.int64).view(np.uint64)
     sent = blocks.mapInArrow(piped(_send, heavy), "route bigint, piece bigint, symbols binary, low bigint, high bigint, n bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = sent.repartition(parts, "route").sortWithinPartitions("route")
-    runs = cut(shards.mapInArrow(lambda it: _match(it, min_run), "route bigint, piece bigint, begin int, stop int, n bigint"))
+    runs = cut(shards.mapInArrow(lambda it: _match(it, min_run, limits), "route bigint, piece bigint, begin int, stop int, n bigint"))
     places = blocks.mapInArrow(piped(_places, heavy), "route bigint, piece bigint, record bigint, start int")
     plan = plan_skew(runs.select("route", "piece", "n").distinct(), ["route", "piece"], load="n")
     found = fragment_replicate_join(places, runs, ["route", "piece"], plan=plan)
     return found.select("record", (F.col("start") + F.col("begin")).alias("first_pos"), (F.col("start") + F.col("stop")).alias("last_pos"))
 
 
-def stretches(runs: DataFrame) -> DataFrame:
+def stretches(runs: DataFrame, size: int = 4 * Limits.block) -> DataFrame:
     """Maximal stretches of consecutive positions that overlapping or adjoining runs of a record make.
 
     Runs are first united inside blocks of positions, so that a record of any length is no single task's work.
     """
-    block = F.floor(F.col("first_pos") / (BLOCK * 4)).cast("int")
+    block = F.floor(F.col("first_pos") / size).cast("int")
 
     def united(df: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by).orderBy("first_pos", "last_pos")
