@@ -35,6 +35,7 @@ class Source:
     repeats: int
     records: int
     tokens: int
+    largest: int = 0
 
     @property
     def most(self) -> int:
@@ -58,14 +59,27 @@ def full_target_budget(sources: list[Source]) -> int:
     return int(min((s.most * total / s.weight for s in live), default=0))
 
 
+def reach_time(sources: list[Source], total: float) -> float:
+    """The virtual time at which the sources together have given total tokens; infinite if they never do."""
+    live = sorted((s.most / s.weight, s.weight) for s in sources if s.most > 0)
+    now = given = 0.0
+    for i, (end, _) in enumerate(live):
+        rate = sum(w for _, w in live[i:])
+        if given + (end - now) * rate >= total:
+            return now + (total - given) / rate
+        given += (end - now) * rate
+        now = end
+    return float("inf")
+
+
 def plan_sources(sized: DataFrame, targets: DataFrame) -> list[Source]:
     """What each row of targets asks and what its source has; a source named twice counts once, with its largest weight and repeats."""
     asked = targets.where(F.col("source").isNotNull() & (F.col("target_weight") > 0)).groupBy("source").agg(F.max("target_weight").alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
-    has = sized.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"))
+    has = sized.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
     rows = asked.join(has, "source", "left").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources in the targets")
-    return sorted((Source(r["source"], float(r["weight"]), max(0, int(r["repeats"])), r["records"] or 0, r["tokens"] or 0) for r in rows), key=lambda s: s.source)
+    return sorted((Source(r["source"], float(r["weight"]), max(0, int(r["repeats"])), r["records"] or 0, r["tokens"] or 0, r["largest"] or 0) for r in rows), key=lambda s: s.source)
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, folder: str = TOKENIZERS, name: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -98,9 +112,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     bucket = F.floor((F.col("key").cast("double") / 2.0**64 + 0.5) * n_buckets)
     uses = running_sum(uses, ["source", "pass"], bucket, ["key", "doc_id", "n_tokens"], "n_tokens", "in_pass")
     uses = uses.withColumn("finish_time", (F.col("pass") * F.col("supply") + F.col("in_pass")) / F.col("weight"))
-    ends = [s.most / s.weight for s in sources if s.most]
-    n_uses = sum(s.records * s.repeats for s in sources)
-    step = max(ends, default=1.0) / max(1, n_uses // BUCKET_ROWS)
+    # a source lags by less than a record, so nothing later than this can be within the budget
+    last = reach_time(sources, budget + 1 + sum(s.largest for s in sources))
+    uses = uses.where(F.col("finish_time") <= last)
+    last = min(last, max((s.most / s.weight for s in sources if s.most), default=1.0))
+    n_uses = sum(s.records * min(s.repeats, last * s.weight / max(1, s.tokens)) for s in sources)
+    step = last / max(1, n_uses // BUCKET_ROWS)
     uses = running_sum(uses.withColumn("__all", F.lit(0)), ["__all"], F.floor(F.col("finish_time") / step), ["finish_time", "source", "pass", "key", "doc_id", "n_tokens"], "n_tokens", "end_token")
     chosen = uses.where(F.col("end_token") <= budget).select("doc_id", "source", "pass", "n_tokens", "finish_time", "end_token")
     got = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"))
