@@ -524,7 +524,7 @@ patterns: (pat // ',') ','? ;
 pat: '*'? expr ('as' id)? ;
 else: 'else' ':' suite ;
 final: 'finally' ':' suite ;
-except: 'except' '*'? (expr (',' expr)* ('as' id)?)? ':' suite ;
+except: 'except' (expr ('as' id)?)? ':' suite | 'except' '*' expr ('as' id)? ':' suite ;
 withs: (withitem // ',') | '(' (withitem // ',') ','? ')' ;
 withitem: expr ('as' expr)? ;
 decorator: '@' named NEWLINE ;
