@@ -72,6 +72,15 @@ def test_redacted(corpus):
     assert sum("[EMAIL]" in (t or "") for t in out.values()) > 50 and not any("@mail.example.com" in (t or "") for t in out.values())
 
 
+def test_long_text_as_its_parts(corpus):
+    df, want, model = corpus
+    texts = [r.text for r in df.where("doc_id < 500").orderBy("doc_id").collect()]
+    whole = "\n".join(texts * 3)
+    found = {(pii.KINDS[k], whole[a:b]) for a, b, k in pii.Finder(model).find([whole])[0]}
+    parts = {(pii.KINDS[k], t[a:b]) for t, spans in zip(texts, pii.Finder(model).find(texts)) for a, b, k in spans}
+    assert len(found & parts) > 0.97 * len(found | parts)
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], "doc_id bigint, repo string, text string")
     assert pii.personal_details(e).count() == 0
@@ -104,7 +113,7 @@ def test_skip_edges_pass_labels_on():
     scores[0, 0, 9] = 9  # surely a name at first
     scores[0, 3, 9] = 1
     before = pii.marginals(scores, pii._allowed(), np.array([4]))[0][0, 3, 9]
-    pii.add_skips(scores, np.array([4]), [edges], pii._allowed(), 2.0)
+    pii.add_skips(scores, np.array([4]), [(0, i, 0, j) for i, j in edges], pii._allowed(), 2.0)
     after = pii.marginals(scores, pii._allowed(), np.array([4]))[0]
     assert after[0, 3, 9] > before + 0.2 and after[0, 1, 0] > 0.5
 

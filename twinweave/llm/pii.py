@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
@@ -34,6 +35,8 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 N_LABELS = 1 + 2 * len(KINDS)
 #: Texts in the training sample, at most.
 SAMPLE = 8000
+#: Characters of a text in the training sample, at most; longer texts are searched like all others, but don't train.
+LONGEST = 200_000
 #: Buckets of hashed features, and the tokens to either side whose features count.
 BUCKETS, REACH = 1 << 14, 3
 #: Given names that a model knows, at most.
@@ -91,25 +94,43 @@ _BEFORE = (
 _CUED = [re.compile(rf"(?:(?<=\s)|(?<=^)|(?<=[\[({{]))(?:{'|'.join(map(re.escape, _BEFORE))})[ ]?({_NAME})(?=[\s.,;!?<\"]|$)"), re.compile(rf"(?:(?<=Bitte )({_NAME})(?= fragen))|({_NAME})(?= asked for a second look)")]
 
 
-def labelled_patterns(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of what looks like a mail address, number or street address; they don't overlap, earlier kinds go first."""
-    found: list[tuple[int, int, int]] = []
+class Spans:
+    """Spans of a text that don't overlap, in order."""
+
+    def __init__(self, spans: Sequence[tuple[int, int, int]] = ()) -> None:
+        self.all = sorted(spans)
+
+    def meeting(self, a: int, b: int) -> list[tuple[int, int, int]]:
+        """The spans that share a character with a to b."""
+        i = bisect_left(self.all, (a,))
+        if i and self.all[i - 1][1] > a:
+            i -= 1
+        j = i
+        while j < len(self.all) and self.all[j][0] < b:
+            j += 1
+        return self.all[i:j]
+
+    def add(self, a: int, b: int, kind: int) -> None:
+        """Add a span if it meets no other."""
+        if a < b and not self.meeting(a, b):
+            insort(self.all, (a, b, kind))
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y, _ in found)
 
+def labelled_patterns(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of what looks like a mail address, number or street address; they don't overlap, earlier kinds go first."""
+    found = Spans()
     if "@" in text or "at" in text:
-        found += [(m.start(), m.end(), 0) for m in _EMAIL.finditer(text) if not _NOT_EMAIL.search(m.group())]
+        for m in _EMAIL.finditer(text):
+            if not _NOT_EMAIL.search(m.group()):
+                found.add(m.start(), m.end(), 0)
     for m in _ADDRESS.finditer(text):
-        if free(m.start(), m.end()):
-            found.append((m.start(), m.end(), 3))
+        found.add(m.start(), m.end(), 3)
     for m in _ID.finditer(text):
-        if free(m.start(), m.end()) and (_ID_CUE.search(text[max(0, m.start() - 60) : m.start()]) or re.fullmatch(r"\d{3}-\d{2}-\d{4}", m.group())):
-            found.append((m.start(), m.end(), 2))
+        if _ID_CUE.search(text[max(0, m.start() - 60) : m.start()]) or re.fullmatch(r"\d{3}-\d{2}-\d{4}", m.group()):
+            found.add(m.start(), m.end(), 2)
     for m in _PHONE.finditer(text):
-        if free(m.start(), m.end()):
-            found.append((m.start(), m.end(), 1))
-    return sorted(found)
+        found.add(m.start(), m.end(), 1)
+    return found.all
 
 
 def cued_names(text: str) -> list[tuple[int, int]]:
@@ -296,16 +317,16 @@ def _kind_of_label() -> np.ndarray:
     return np.array([0, *[1 + i // 2 for i in range(2 * len(KINDS))]])
 
 
-def add_skips(scores: np.ndarray, lengths: np.ndarray, edges: list[list[tuple[int, int]]], step: np.ndarray, strength: float, rounds: int = ROUNDS) -> None:
-    """Add the last messages over the skip edges of each padded chain (chains, tokens, labels) to its scores.
+def add_skips(scores: np.ndarray, lengths: np.ndarray, edges: Sequence[tuple[int, int, int, int]], step: np.ndarray, strength: float, rounds: int = ROUNDS) -> None:
+    """Add the last messages over skip edges (chain, token, chain, token) of padded chains (chains, tokens, labels) to their scores.
 
     A skip edge favours equal kinds at its ends; O favours nothing, since a common word may also be part of a name.
     """
-    # message m goes from token ends[m, 1] to token ends[m, 2] of chain ends[m, 0]; messages 2n and 2n + 1 are of one edge
-    ends = np.array([(c, *e) for c, pairs in enumerate(edges) for a, b in pairs for e in ((a, b), (b, a))], np.int64)
-    if not len(ends) or not strength:
+    if not len(edges) or not strength:
         return
-    to = (ends[:, 0], ends[:, 2])
+    # messages 2n and 2n + 1 are those of edge n, one each way
+    ends = np.array([e for a, i, b, j in edges for e in ((a, i, b, j), (b, j, a, i))], np.int64)
+    to = (ends[:, 2], ends[:, 3])
     back = np.arange(len(ends)) ^ 1
     kind = _kind_of_label()
     gain = np.expm1(strength)
@@ -380,13 +401,14 @@ def decoded(text: str, spans: Sequence[tuple[int, int]], labels: np.ndarray, mar
     """
     out: list[tuple[int, int, int]] = []
     n = len(labels)
+    marked = Spans(marks)
     for i in np.flatnonzero(labels % 2 == 1):
         k = int(labels[i] - 1) // 2
         j = i + 1
         while j < n and labels[j] == labels[i] + 1:
             j += 1
         a, b = spans[i][0], spans[j - 1][1]
-        same = [m for m in marks if m[2] == k and m[0] < b and m[1] > a]
+        same = [m for m in marked.meeting(a, b) if m[2] == k]
         if same:
             out += same
             continue
@@ -399,22 +421,38 @@ def decoded(text: str, spans: Sequence[tuple[int, int]], labels: np.ndarray, mar
         if a < b:
             out.append((a, b, k))
     # pieces that have grown into each other: the longer one stays
-    kept: list[tuple[int, int, int]] = []
+    kept = Spans()
     for x in sorted(set(out), key=lambda x: x[0] - x[1]):
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in kept):
-            kept.append(x)
-    return sorted(kept)
+        kept.add(*x)
+    return kept.all
 
 
 class Finder:
     """Finds personal details with a model."""
 
-    #: Tokens of one batch of chains.
-    BATCH = 20_000
+    #: Tokens of one batch of chains, and of one chain of a longer text.
+    BATCH, SEGMENT = 20_000, 2000
 
     def __init__(self, model: Model) -> None:
         self.coder = Coder(model)
 
+    def _long(self, words: list[str], codes: np.ndarray, scores: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
+        """The labels of a long text, whose chain is cut at line or sentence ends outside marked pieces; skip edges go across the cuts."""
+        starts = [0]
+        while len(words) - starts[-1] > self.SEGMENT:
+            end = starts[-1] + self.SEGMENT
+            free = [i for i in range(end, end - self.SEGMENT // 2, -1) if not codes[i - 1] and not codes[i]]
+            cut = next((i for i in free if words[i - 1].endswith("\n")), None) or next((i for i in free if words[i - 1] in ".!?"), None)
+            starts.append(cut or (free[0] if free else end))
+        lengths = np.diff([*starts, len(words)])
+        padded = np.zeros((len(starts), lengths.max(), N_LABELS), np.float32)
+        for c, (a, n) in enumerate(zip(starts, lengths)):
+            padded[c, :n] = scores[a : a + n]
+        at = np.searchsorted(starts, np.array(edges, np.int64).reshape(-1, 2), side="right") - 1
+        model = self.coder.model
+        add_skips(padded, lengths, [(a, i - starts[a], b, j - starts[b]) for (i, j), (a, b) in zip(edges, at.tolist())], model.step, model.skip)
+        return np.concatenate(best_labels(padded, model.step, lengths))
+
     def find(self, texts: Sequence[str]) -> list[list[tuple[int, int, int]]]:
         model = self.coder.model
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -429,6 +467,10 @@ class Finder:
             edges = skip_edges(words) if model.skip else []
             # edges between tokens that are both surely outside say nothing
             edges = [e for e in edges if max((scores[i, 1:] - scores[i, 0]).max() for i in e) > -4]
+            if len(spans) > self.SEGMENT:
+                labels = self._long(words, _codes(spans, marks), scores, edges)
+                out[n] = decoded(text, spans, labels, marks, model.given)
+                continue
             todo.append((len(spans), n, spans, scores, marks, edges))
         # chains with and without edges apart, each by length
         todo.sort(key=lambda x: (bool(x[5]), x[0]))
@@ -442,7 +484,7 @@ class Finder:
             padded = np.zeros((len(part), lengths.max(), N_LABELS), np.float32)
             for c, x in enumerate(part):
                 padded[c, : x[0]] = x[3]
-            add_skips(padded, lengths, [x[5] for x in part], model.step, model.skip)
+            add_skips(padded, lengths, [(c, i, c, j) for c, x in enumerate(part) for i, j in x[5]], model.step, model.skip)
             for x, labels in zip(part, best_labels(padded, model.step, lengths)):
                 out[x[1]] = decoded(texts[x[1]], x[2], labels, x[4], model.given)
             at = end
@@ -467,23 +509,21 @@ def silver_labels(texts: Sequence[str]) -> tuple[list[list[tuple[int, int, int]]
     pair = re.compile(rf"(?<![\w@.+-])(?:{'|'.join(sorted(map(re.escape, known))) or '(?!)'})(?:[ ]{_INITIAL})?[ ]{_ANY}|(?<![\w@.+-]){_ANY},[ ](?:{'|'.join(sorted(map(re.escape, known))) or '(?!)'})\b", re.I)
     out = []
     for text, names in zip(texts, cued):
-        marks = labelled_patterns(text)
-        taken = list(marks)
+        taken = Spans(labelled_patterns(text))
         extra = [m.span() for m in pair.finditer(text) if any(p.lower() in family for p in re.split(r"[ ,]+", m.group()))]
         for a, b in sorted({*names, *extra}, key=lambda s: s[0] - s[1]):
-            if all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, 4))
-        out.append(sorted(taken))
+            taken.add(a, b, 4)
+        out.append(taken.all)
     return out, frozenset(known)
 
 
-def train(texts: Sequence[str], marks: Sequence[list[tuple[int, int, int]]], epochs: int = 24, batch_tokens: int = 6_000, rate: float = 0.25, seed: int = 0) -> Model:
+def train(texts: Sequence[str], marks: Sequence[list[tuple[int, int, int]]], epochs: int = 14, batch_tokens: int = 4_000, rate: float = 0.25, seed: int = 0) -> Model:
     """Fit the chain by the gradient of its likelihood (AdaGrad)."""
     model = Model.empty()
     chains = []
     for text, m in zip(texts, marks):
-        if not m and zlib.crc32(text.encode("utf-8", "replace")) % 4:
-            continue  # most texts hold nothing; a quarter of those is enough to learn what isn't meant
+        if not m and zlib.crc32(text.encode("utf-8", "replace")) % 8:
+            continue  # most texts hold nothing; an eighth of those is enough to learn what isn't meant
         spans = tokens_of(text)
         for lo in range(0, len(spans), 400):
             part = spans[lo : lo + 400]
@@ -567,7 +607,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
 
     Without texts the model finds nothing.
     """
-    slim = documents.where(F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), "text")
+    slim = documents.where(F.length("text").between(1, LONGEST)).select("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), "text")
     share = min(1.0, sample / max(1, documents.count()))
     rows = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()
     texts = [r["text"] for r in rows]
