@@ -267,6 +267,24 @@ def test_rpc():
     assert rpc.answer('{"id": 3, "method": "tools/list"}', run)["result"]["tools"][0]["name"] == "scan_codebase"
 
 
+def test_http():
+    import threading
+    import urllib.request
+
+    from twinweave import serve
+
+    run = lambda c: json.dumps({"got": c.directory})
+    assert serve.respond("POST", "/api/scan", b"{}", run)[0] == 422 and serve.respond("GET", "/x", b"", run)[0] == 404
+    assert serve.respond("POST", "/api/scan", ScanConfig().to_json().encode(), lambda c: 1 / 0)[0] == 500
+    s = serve.server(0, run)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{s.server_port}"
+    assert json.load(urllib.request.urlopen(f"{url}/api/health"))["status"] == "ok"
+    request = urllib.request.Request(f"{url}/api/scan", ScanConfig("here").to_json().encode())
+    assert json.load(urllib.request.urlopen(request)) == {"got": "here"}
+    s.shutdown()
+
+
 # --- rescans, structure, git, streams
 
 

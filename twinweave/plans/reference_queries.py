@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinweave.config import DEFAULT_IGNORE, ScanConfig
-from twinweave.functions.scalar import mod_m61
+from twinweave.functions.scalar import commit_date, mod_m61
 from twinweave.operators import incremental, lexer, metrics, pairs, structure
 from twinweave.plans import oracles, report, view
 from twinweave.plans.scan import scan
@@ -278,6 +278,24 @@ def similarity_bands(spark, d):
     return _pairs(spark, d).groupBy(view.similarity_band("similarity").alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(
+    """WITH m AS (SELECT split_part(file_a, '/', 1) AS module, count(*) AS n_pairs, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS dup_tokens, max(similarity) AS best FROM clone_pairs WHERE file_a IS NOT NULL GROUP BY 1)
+    SELECT module, n_pairs, dup_tokens, CASE WHEN s >= 80 THEN 'high' WHEN s >= 60 THEN 'medium' ELSE 'low' END AS score_band FROM (SELECT *, greatest(100 - n_pairs, 0)::DOUBLE AS s FROM m)"""
+)
+def score_bands(spark, d):
+    p = _pairs(spark, d).where(F.col("file_a").isNotNull()).groupBy(metrics.module_of("file_a").alias("module"))
+    p = p.agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("dup_tokens"))
+    return p.withColumn("s", F.greatest(100 - F.col("n_pairs"), F.lit(0)).cast("double")).select("module", "n_pairs", "dup_tokens", view.score_band("s").alias("score_band"))
+
+
+@_query("SELECT file_a, start_line_a, regexp_extract(author_a, '^(.*) [(]line ', 1) AS author, CAST(nullif(regexp_extract(author_a, '[(]line ([0-9]+), ', 1), '') AS INTEGER) AS line, strftime(to_timestamp(epoch(found_at))::TIMESTAMP, '%Y-%m-%d') AS day FROM clone_pairs WHERE author_a IS NOT NULL")
+def author_texts(spark, d):
+    """Who and when, taken apart and dated: the reverse of the author's text."""
+    p = _pairs(spark, d).where(F.col("author_a").isNotNull())
+    line = F.nullif(F.regexp_extract("author_a", r"[(]line ([0-9]+), ", 1), F.lit("")).cast("int")
+    return p.select("file_a", "start_line_a", F.regexp_extract("author_a", "^(.*) [(]line ", 1).alias("author"), line.alias("line"), commit_date(F.unix_timestamp("found_at")).alias("day"))
+
+
 # --- reports, rescans, structure
 
 
