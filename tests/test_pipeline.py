@@ -257,6 +257,16 @@ def test_reports(spark, tmp_path, capsys):
     assert cli.main(["/nonexistent", "--format", "markdown"], spark) == 0
 
 
+def test_ignore_files(spark, tmp_path):
+    for n in ("a.rs", "b.log", "keep.log", "out/x.rs", "deep/out/y.rs", "deep/only/z.rs", "deep/w.rs", "gen/q1.rs", "with space.rs"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x")
+    (tmp_path / ".gitignore").write_text("# c\n*.log\n!keep.log\n/out/\ngen/q?.rs\n")
+    (tmp_path / "deep" / ".gitignore").write_text("only\n")
+    got = {r.path for r in files.read_directory(spark, str(tmp_path)).collect()}
+    assert got == {"a.rs", "keep.log", "deep/out/y.rs", "deep/w.rs", "with space.rs"}
+
+
 def test_rpc():
     run = lambda c: f"{c.directory} {c.min_tokens}"
     assert rpc.answer("nonsense", run)["error"]["code"] == -32700

@@ -3,13 +3,59 @@
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ignore_regex(pattern: str, below: str = "") -> str:
+    """A regular expression, for paths from the root, of a line of an ignore file that lies in the directory ``below``."""
+    anchored = "/" in pattern.rstrip("/")
+    body, i = "", 0
+    text = pattern.strip("/")
+    while i < len(text):
+        if text.startswith("**/", i):
+            body, i = body + "(?:.*/)?", i + 3
+        elif text.startswith("**", i):
+            body, i = body + ".*", i + 2
+        elif text[i] == "*":
+            body, i = body + "[^/]*", i + 1
+        elif text[i] == "?":
+            body, i = body + "[^/]", i + 1
+        elif text[i] == "[" and (end := text.find("]", i + 1)) > 0:
+            body, i = body + "[" + text[i + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]", end + 1
+        else:
+            body, i = body + re.escape(text[i + 1] if text[i] == "\\" and i + 1 < len(text) else text[i]), i + 1 + (text[i] == "\\")
+    start = "^" + (re.escape(below) + "/" if below else "") + ("" if anchored else "(?:.*/)?")
+    return start + body + ("/" if pattern.endswith("/") else "(?:/|$)")
+
+
+def ignore_rules(directory: str) -> list[tuple[str, bool]]:
+    """(expression, whether it ignores) of the ignore files of a local tree, outer ones first; the last that hits a path decides."""
+    out = []
+    for root, dirs, names in os.walk(directory):
+        dirs[:] = sorted(d for d in dirs if not d.startswith("."))
+        below = os.path.relpath(root, directory).replace(os.sep, "/")
+        for name in (".gitignore", ".ignore"):
+            if name in names:
+                with open(os.path.join(root, name), encoding="utf-8", errors="replace") as f:
+                    for line in f.read().split("\n"):
+                        line = line.rstrip()
+                        if line and not line.startswith("#"):
+                            out.append((ignore_regex(line.lstrip("!"), "" if below == "." else below), not line.startswith("!")))
+    return out
+
+
+def ignored(path: str, rules: list[tuple[str, bool]]) -> Column:
+    hit = F.lit(False)
+    for expression, ignores in rules:
+        hit = F.when(F.col(path).rlike(expression), F.lit(ignores)).otherwise(hit)
+    return hit
+
+
 def read_directory(spark: SparkSession, directory: str) -> DataFrame:
-    """(file_idx, path, content) of the files under a directory, without those hidden or in hidden directories.
+    """(file_idx, path, content) of the files under a directory, without those hidden, in hidden directories or named by ignore files.
 
     content is null where the bytes aren't UTF-8. The listing and the reading are
     Spark's; paths are relative to the directory. A missing directory gives an empty table.
@@ -25,5 +71,7 @@ def read_directory(spark: SparkSession, directory: str) -> DataFrame:
     at = F.instr(F.col("path"), base.split("://", 1)[1])
     path = F.substring(F.col("path"), at + len(base.split("://", 1)[1]) + 1, F.length("path"))
     named = raw.select(F.regexp_replace(path, "^/", "").alias("path"), "content").where(~F.col("path").rlike(r"(^|/)\."))
+    if "://" not in directory:
+        named = named.where(~ignored("path", ignore_rules(directory)))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     return named.select(F.pmod(F.xxhash64("path"), F.lit(2**62)).alias("file_idx"), "path", text.alias("content"))
