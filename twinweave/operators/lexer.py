@@ -32,54 +32,92 @@ HASH_SCHEMA = "file_idx bigint, pos int, h1 bigint, h2 bigint, line_start int, l
 
 
 @lru_cache(maxsize=64)
-def _pattern(line_comment: str, block_comment: tuple[str, str] | None):
-    import regex
+def _lexemes(line_comment: str, block_comment: tuple[str, str] | None, ascii_only: bool):
+    """A function that cuts a text into lexemes which cover it, white space and comments among them."""
+    if ascii_only:
+        import re as engine
 
-    skip = [r"\p{White_Space}+"]
+        space, word = r"[\t-\r ]+", r"[A-Za-z_][A-Za-z0-9_]*"
+    else:
+        import regex as engine
+
+        space, word = r"\p{White_Space}+", r"[\p{Alphabetic}_][\p{Alphabetic}\p{N}_]*"
+    parts = [space]
     if line_comment:
-        skip.append(regex.escape(line_comment) + r"[^\n]*")
+        parts.append(engine.escape(line_comment) + r"[^\n]*")
     if block_comment:
-        a, b = map(regex.escape, block_comment)
-        skip.append(rf"{a}(?:(?!{b})[\s\S])*+(?:{b}|\Z)")
-    strings = "|".join(rf"{q}[^{q}\\]*+(?:\\[\s\S][^{q}\\]*+)*+(?:{q}|\\?\Z)" for q in "\"'`")
-    return regex.compile(rf"(?:{'|'.join(skip)})|(?P<s>{strings})|(?P<n>[0-9][0-9A-Za-z._]*)|(?P<w>[\p{{Alphabetic}}_][\p{{Alphabetic}}\p{{N}}_]*)|(?P<p>[\s\S])")
+        x, y = map(engine.escape, block_comment)
+        parts.append(rf"{x}(?:(?!{y})[\s\S])*+(?:{y}|\Z)")
+    parts += [rf"{q}[^{q}\\]*+(?:\\[\s\S][^{q}\\]*+)*+(?:{q}|\\?\Z)" for q in "\"'`"]
+    return engine.compile("|".join([*parts, r"[0-9][0-9A-Za-z._]*", word, r"[\s\S]"])).findall
 
 
-@lru_cache(maxsize=1 << 16)
 def text_code(lexeme: str) -> int:
     return TEXT + int(hashlib.md5(lexeme.encode("utf-8", "surrogatepass")).hexdigest()[:12], 16)
 
 
+_WORD_START = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_")
+
+
+class _Codes(dict):
+    """What a lexeme is: 8 * code + kind + 1, or 0 for white space and comments. Short lexemes are remembered, up to a bound."""
+
+    LIMIT, SHORT = 200_000, 64
+
+    def __init__(self, lang: Language, type2: bool) -> None:
+        import regex
+
+        self.lang, self.type2 = lang, type2
+        self.ids: dict[str, int] = {}
+        for i, k in enumerate(lang.keywords):
+            self.ids.setdefault(k, i)
+        self.space, self.letter = regex.compile(r"\p{White_Space}").match, regex.compile(r"[\p{Alphabetic}_]").match
+
+    def __missing__(self, lexeme: str) -> int:
+        lang, c = self.lang, lexeme[0]
+        free = lambda code: code if self.type2 else text_code(lexeme)
+        if c in _WORD_START and not (lang.line_comment and lexeme.startswith(lang.line_comment)):
+            k = self.ids.get(lexeme)
+            out = 8 * free(IDENTIFIER) + 1 if k is None else 8 * (KEYWORD + k) + 4
+        elif self.space(c) or lang.line_comment and lexeme.startswith(lang.line_comment) or lang.block_comment and lexeme.startswith(lang.block_comment[0]):
+            out = 0
+        elif c in "\"'`":
+            out = 8 * free(STRING) + 2
+        elif c in "0123456789":
+            out = 8 * free(NUMBER) + 3
+        elif self.letter(c):
+            k = self.ids.get(lexeme)
+            out = 8 * free(IDENTIFIER) + 1 if k is None else 8 * (KEYWORD + k) + 4
+        else:
+            out = 8 * (PUNCTUATION + (ord(c) & 255)) + 5
+        if len(lexeme) <= self.SHORT:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[lexeme] = out
+        return out
+
+
+@lru_cache(maxsize=64)
+def _codes(lang: Language, type2: bool) -> _Codes:
+    return _Codes(lang, type2)
+
+
 def lex(text: str, lang: Language, type2: bool = True) -> tuple[np.ndarray, ...]:
     """(kind, code, first line, last line, byte offset) of the tokens of a text."""
-    ids = _keyword_ids(lang)
-    kinds, codes, starts, ends = [], [], [], []
-    for m in _pattern(lang.line_comment, lang.block_comment).finditer(text):
-        g = m.lastgroup
-        if g is None:
-            continue
-        if g == "w":
-            word = m.group()
-            k = ids.get(word)
-            kind, code = (0, IDENTIFIER if type2 else text_code(word)) if k is None else (3, KEYWORD + k)
-        elif g == "p":
-            kind, code = 4, PUNCTUATION + (ord(m.group()) & 255)
-        elif g == "s":
-            kind, code = 1, STRING if type2 else text_code(m.group())
-        else:
-            kind, code = 2, NUMBER if type2 else text_code(m.group())
-        kinds.append(kind)
-        codes.append(code)
-        a, b = m.span()
-        starts.append(a)
-        ends.append(b)
-    start, end = np.array(starts, np.int64), np.array(ends, np.int64)
-    breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
-    first = np.searchsorted(breaks, start) + 1
-    last = np.searchsorted(breaks, end) + 1
+    ascii_only = text.isascii()
+    lexemes = _lexemes(lang.line_comment, lang.block_comment, ascii_only)(text)
+    n = len(lexemes)
+    size = np.fromiter(map(len, lexemes), np.int64, n)
+    packed = np.fromiter(map(_codes(lang, type2).__getitem__, lexemes), np.int64, n)
+    end = np.cumsum(size)
+    on = packed > 0
+    packed, end = packed[on], end[on]
+    start = end - size[on]
+    chars = np.frombuffer(text.encode("ascii"), np.uint8) if ascii_only else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    breaks = np.concatenate([[0], np.cumsum(chars == 10, dtype=np.int32)])
     # only a string can hold a line break
-    offset = start if text.isascii() else _byte_offsets(text)[start] if len(start) else start
-    return np.array(kinds, np.int8), np.array(codes, np.int64), first.astype(np.int32), last.astype(np.int32), offset
+    offset = start if ascii_only or not len(start) else _byte_offsets(text)[start]
+    return ((packed & 7) - 1).astype(np.int8), packed >> 3, (breaks[start] + 1).astype(np.int32), (breaks[end] + 1).astype(np.int32), offset
 
 
 def _byte_offsets(text: str) -> np.ndarray:
@@ -88,14 +126,6 @@ def _byte_offsets(text: str) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(size)])
 
 
-@lru_cache(maxsize=64)
-def _keyword_ids(lang: Language) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i, k in enumerate(lang.keywords):
-        out.setdefault(k, i)
-    return out
-
-
 def mod_m61(x: int) -> int:
     """x modulo 2**61 - 1."""
     return x % M61
@@ -106,21 +136,20 @@ def kgram_hashes(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(codes, k)
     m = np.int64(M61)
+    powers = [[pow(base, k - 1 - d, M61) for d in range(k)] for base in BASES]
+    # powers are halved to 30 and 31 bits, codes to 24 bits each, so that no sum of up to 256 products overflows
+    table = np.array([[p[d] >> 31 for p in powers] + [p[d] & 0x7FFFFFFF for p in powers] for d in range(k)], np.int64)
 
-    def dot(part: np.ndarray, powers: list[int]) -> np.ndarray:
-        high = part @ np.array([p >> 31 for p in powers], np.int64)
-        low = part @ np.array([p & 0x7FFFFFFF for p in powers], np.int64)
-        return ((((high >> 30) + ((high & ((1 << 30) - 1)) << 31)) % m) + low) % m
+    def dot(part: np.ndarray) -> list[np.ndarray]:
+        sums = (np.lib.stride_tricks.sliding_window_view(part, k) @ table).T
+        return [((((sums[c] >> 30) + ((sums[c] & ((1 << 30) - 1)) << 31)) % m) + sums[c + 2]) % m for c in (0, 1)]
 
-    out = []
-    for base in BASES:
-        powers = [pow(base, k - 1 - d, M61) for d in range(k)]
-        # codes are halved to 24 bits each, so that no sum of up to 256 products overflows
-        high, low = dot(windows >> 24, powers), dot(windows & 0xFFFFFF, powers)
-        out.append(((high >> 37) + ((high & ((1 << 37) - 1)) << 24) + low) % m)
-    return out[0], out[1]
+    high_part = codes >> 24
+    low = dot(codes & 0xFFFFFF)
+    if not high_part.any():
+        return low[0], low[1]
+    return tuple((((h >> 37) + ((h & ((1 << 37) - 1)) << 24)) + x) % m for h, x in zip(dot(high_part), low))
 
 
 def winnow(h1: np.ndarray, h2: np.ndarray, w: int, standard: bool = False) -> np.ndarray:
@@ -133,7 +162,10 @@ def winnow(h1: np.ndarray, h2: np.ndarray, w: int, standard: bool = False) -> np
     n = len(h1)
     if not n:
         return np.zeros(0, np.int64)
-    order = np.lexsort((-np.arange(n), h2, h1))
+    order = n - 1 - np.argsort(h1[::-1], kind="stable")
+    near = np.flatnonzero(h1[order[1:]] == h1[order[:-1]])
+    if len(near) and (h2[order[near]] != h2[order[near + 1]]).any():
+        order = np.lexsort((-np.arange(n), h2, h1))
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     if n < w:
@@ -190,8 +222,9 @@ def tokens(source_files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFr
     return spread(parseable(source_files, config), "file_idx").mapInArrow(lambda it: _batches(it, make), TOKEN_SCHEMA)
 
 
-def _hashes(source_files: DataFrame, config: ScanConfig, thin: bool) -> DataFrame:
+def _hashes(source_files: DataFrame, config: ScanConfig, thin: bool, counted: bool = False) -> DataFrame:
     k, w = config.k, config.w
+    names = ["file_idx", "pos", "h1", "h2", "line_start", "line_end", "byte_offset", *(["before", "upto"] * counted)]
 
     def make(i: int, lang: Language, text: str) -> pa.RecordBatch | None:
         _, tok, a, b, at = lex(text, lang, config.detect_type2)
@@ -199,9 +232,13 @@ def _hashes(source_files: DataFrame, config: ScanConfig, thin: bool) -> DataFram
         pos = winnow(h1, h2, w) if thin else np.arange(len(h1))
         if not len(pos):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), i)), pa.array(pos.astype(np.int32)), pa.array(h1[pos]), pa.array(h2[pos]), pa.array(a[pos]), pa.array(b[pos + k - 1]), pa.array(at[pos])], ["file_idx", "pos", "h1", "h2", "line_start", "line_end", "byte_offset"])
+        first, last = a[pos], b[pos + k - 1]
+        cols = [np.full(len(pos), i), pos.astype(np.int32), h1[pos], h2[pos], first, last, at[pos]]
+        if counted:  # lines of tokens ascend
+            cols += [np.searchsorted(a, first, "left"), np.searchsorted(b, last, "right")]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return spread(parseable(source_files, config), "file_idx").mapInArrow(lambda it: _batches(it, make), HASH_SCHEMA)
+    return spread(parseable(source_files, config), "file_idx").mapInArrow(lambda it: _batches(it, make), HASH_SCHEMA + ", before bigint, upto bigint" * counted)
 
 
 def kgrams(source_files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
@@ -214,6 +251,11 @@ def fingerprints(source_files: DataFrame, config: ScanConfig = ScanConfig()) ->
     return _hashes(source_files, config, True)
 
 
+def counted_fingerprints(source_files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """fingerprints with before and upto: the file's tokens that begin before its first line, and that end on its last line or before."""
+    return _hashes(source_files, config, True, counted=True)
+
+
 def parsed_files(source_files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """(file_idx, language, token_count) of every file that a scan reads."""
 

@@ -17,6 +17,7 @@ from twinweave.sources.languages import language
 #: Lines that may lie between two matches that are merged.
 MAX_GAP = 3
 
+COUNTS = ("before_a", "before_b", "upto_a", "upto_b")
 RAW = ("file_a", "start_a", "end_a", "file_b", "start_b", "end_b", "h1", "h2")
 
 
@@ -28,9 +29,11 @@ def raw_pairs(fingerprints: DataFrame, scan_self: bool = True) -> DataFrame:
     Null hashes match nothing. The join is an equi-join on the hash with the rest as its
     condition; adaptive execution splits the partitions of frequent hashes. Nearly
     all hashes of normalised tokens of real code are rare; where the whole result
-    is not wanted, use groups of copies instead.
+    is not wanted, use groups of copies instead. before and upto of
+    lexer.counted_fingerprints, if there, are carried as before_a, upto_a and so on.
     """
-    side = lambda s: fingerprints.select("h1", "h2", F.col("file_idx").alias(f"file_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("line_start").alias(f"start_{s}"), F.col("line_end").alias(f"end_{s}"))
+    counts = [c for c in ("before", "upto") if c in fingerprints.columns]
+    side = lambda s: fingerprints.select("h1", "h2", *[F.col(c).alias(f"{c}_{s}") for c in counts], F.col("file_idx").alias(f"file_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("line_start").alias(f"start_{s}"), F.col("line_end").alias(f"end_{s}"))
     a, b = side("a"), side("b")
     same = F.col("file_a") == F.col("file_b")
     order = F.col("file_a") < F.col("file_b")
@@ -40,30 +43,33 @@ def raw_pairs(fingerprints: DataFrame, scan_self: bool = True) -> DataFrame:
     return a.join(b, ["h1", "h2"]).where(order)
 
 
-def _fold(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
+def _fold(batches: Iterator[pa.RecordBatch], gap: int, counted: bool = False) -> Iterator[pa.RecordBatch]:
     """Merge sorted raw pairs; only the open pair is held, however many a pair of files has."""
     cur: list | None = None
     done: list[tuple] = []
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 7]
+    names = [*RAW, "n_raw", *COUNTS] if counted else [*RAW, "n_raw"]
 
     def flush() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        cols = list(zip(*done)) if done else [()] * 9
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [*RAW, "n_raw"])
+        cols = list(zip(*done)) if done else [()] * len(names)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
         done.clear()
         return batch
 
     for batch in batches:
-        for fa, sa, ea, fb, sb, eb, h1, h2 in zip(*(c.to_pylist() for c in batch.columns)):
+        for fa, sa, ea, fb, sb, eb, h1, h2, *count in zip(*(c.to_pylist() for c in batch.columns)):
             if cur is not None and cur[0] == fa and cur[3] == fb and sa <= cur[2] + gap and sb <= cur[5] + gap:
                 end_a, end_b = max(cur[2], ea), max(cur[5], eb)
                 first_end, second_start = (end_a, cur[4]) if cur[1] <= cur[4] else (end_b, cur[1])
                 if fa != fb or first_end < second_start:
                     cur[2], cur[5] = end_a, end_b
                     cur[8] += 1
+                    if counted:  # ends and running counts ascend together
+                        cur[11], cur[12] = max(cur[11], count[2]), max(cur[12], count[3])
                     continue
             if cur is not None:
                 done.append(tuple(cur))
-            cur = [fa, sa, ea, fb, sb, eb, h1, h2, 1]
+            cur = [fa, sa, ea, fb, sb, eb, h1, h2, 1, *count]
         if len(done) > 20_000:
             yield flush()
     if cur is not None:
@@ -76,10 +82,17 @@ def merged_pairs(pairs: DataFrame, gap: int = MAX_GAP) -> DataFrame:
 
     A pair joins the one before it if it begins at most ``gap`` lines after it on
     both sides and, in one file, the two sides then still don't overlap. Ends are raised, starts
-    never lowered; the hash is the first pair's. n_raw counts the pairs united.
+    never lowered; the hash is the first pair's. n_raw counts the pairs united. If the
+    pairs carry running counts, tokens_a and tokens_b are the tokens wholly within each side's lines.
     """
-    parts = pairs.select(*RAW).repartition("file_a", "file_b").sortWithinPartitions("file_a", "file_b", "start_a", "start_b", "end_a", "end_b", "h1", "h2")
-    return parts.mapInArrow(lambda it: _fold(it, gap), "file_a bigint, start_a int, end_a int, file_b bigint, start_b int, end_b int, h1 bigint, h2 bigint, n_raw bigint")
+    counted = all(c in pairs.columns for c in COUNTS)
+    parts = pairs.select(*RAW, *(COUNTS if counted else ())).repartition("file_a", "file_b").sortWithinPartitions("file_a", "file_b", "start_a", "start_b", "end_a", "end_b", "h1", "h2")
+    schema = "file_a bigint, start_a int, end_a int, file_b bigint, start_b int, end_b int, h1 bigint, h2 bigint, n_raw bigint"
+    if not counted:
+        return parts.mapInArrow(lambda it: _fold(it, gap), schema)
+    folded = parts.mapInArrow(lambda it: _fold(it, gap, True), schema + "".join(f", {c} bigint" for c in COUNTS))
+    tokens = [F.greatest(F.col(f"upto_{s}") - F.col(f"before_{s}"), F.lit(0)).alias(f"tokens_{s}") for s in "ab"]
+    return folded.select(*RAW, "n_raw", *tokens)
 
 
 def line_counts(source_files: DataFrame, config: ScanConfig) -> DataFrame:
@@ -123,10 +136,14 @@ def fragment_hash(h1: str = "h1", h2: str = "h2") -> F.Column:
 def clone_pairs(source_files: DataFrame, fingerprints: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """The result rows of a scan, of at least min_tokens tokens, one per six line numbers and files.
 
+    fingerprints may be counted ones; others need a second pass over the files for the tokens of spans.
+
     The count of a pair is the smaller of its sides', at least k. file_a and
     file_b are paths. The type is Exact; authors are null (see sources.git for them).
     """
-    counted = span_tokens(merged_pairs(raw_pairs(fingerprints, config.scan_self)), line_counts(source_files, config))
+    counted = merged_pairs(raw_pairs(fingerprints, config.scan_self))
+    if "tokens_a" not in counted.columns:
+        counted = span_tokens(counted, line_counts(source_files, config))
     tokens = F.greatest(F.lit(config.k), F.least("tokens_a", "tokens_b"))
     kept = counted.withColumn("token_count", tokens.cast("bigint")).where(F.col("token_count") >= config.min_tokens)
     six = ["file_a", "start_a", "end_a", "file_b", "start_b", "end_b"]

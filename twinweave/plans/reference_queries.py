@@ -164,7 +164,7 @@ def span_token_count(spark, d):
 @_query(f"{_PAIRS} SELECT * FROM found")
 def clone_pairs(spark, d):
     f = _files(spark, d)
-    return pairs.clone_pairs(f, lexer.fingerprints(f, EXACT), EXACT)
+    return pairs.clone_pairs(f, lexer.counted_fingerprints(f, EXACT), EXACT)
 
 
 @_query(f"{_PAIRS} SELECT * FROM found ORDER BY token_count DESC, file_a, file_b, start_line_a, start_line_b, end_line_a, end_line_b LIMIT 25")

@@ -68,7 +68,7 @@ def scan(spark: SparkSession, source_files: DataFrame, config: ScanConfig = Scan
     parsed = lexer.parsed_files(source_files, config)
     prints = lexer.fingerprints(source_files, config)
     phase("Indexing", 0.5, "Matching fingerprints")
-    found = pairs.clone_pairs(source_files, prints, config)
+    found = pairs.clone_pairs(source_files, lexer.counted_fingerprints(source_files, config), config)
     phase("Merging", 0.8, "Merging matches")
     figures = metrics.duplication(found, parsed.agg(F.sum("token_count").alias("total_tokens")))
     out = Scan(str(uuid.uuid4()), config, source_files, parsed, prints, found, metrics.language_breakdown(parsed), total_files, figures)
