@@ -68,6 +68,11 @@ def test_token_kinds():
     assert kinds("/* open") == [] and kinds('"open \\') == ["string"]
 
 
+def test_comment_marks_of_letters():
+    basic = Language("Basic", ("bas",), ("LET",), "REM", None)
+    assert [lexer.KINDS[k] for k in lexer.lex("LET x REM y z\nw é", basic)[0]] == ["keyword", "identifier", "identifier", "identifier"]
+
+
 def test_lines_and_offsets():
     kind, tok, a, b, at = lexer.lex("é 'x\ny' z\r\n½ end", language("Rust"))
     assert (a.tolist(), b.tolist(), at.tolist()) == ([1, 1, 2, 3, 3], [1, 2, 2, 3, 3], [0, 3, 9, 12, 15])

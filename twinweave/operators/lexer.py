@@ -53,7 +53,8 @@ def _lexemes(line_comment: str, block_comment: tuple[str, str] | None, ascii_onl
 
 
 def text_code(lexeme: str) -> int:
-    return TEXT + int(hashlib.md5(lexeme.encode("utf-8", "surrogatepass")).hexdigest()[:12], 16)
+    """TEXT and the first 48 bits of the text's MD5."""
+    return TEXT + int.from_bytes(hashlib.md5(lexeme.encode("utf-8", "surrogatepass")).digest()[:6], "big")
 
 
 _WORD_START = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_")
@@ -68,26 +69,27 @@ class _Codes(dict):
         import regex
 
         self.lang, self.type2 = lang, type2
+        # comment marks that begin like a word, as REM does
+        self.lettered = any(m and m[0] in _WORD_START for m in (lang.line_comment, *(lang.block_comment or ())[:1]))
         self.ids: dict[str, int] = {}
         for i, k in enumerate(lang.keywords):
             self.ids.setdefault(k, i)
         self.space, self.letter = regex.compile(r"\p{White_Space}").match, regex.compile(r"[\p{Alphabetic}_]").match
 
     def __missing__(self, lexeme: str) -> int:
-        lang, c = self.lang, lexeme[0]
-        free = lambda code: code if self.type2 else text_code(lexeme)
-        if c in _WORD_START and not (lang.line_comment and lexeme.startswith(lang.line_comment)):
+        lang, c, type2 = self.lang, lexeme[0], self.type2
+        if c in _WORD_START and not self.lettered:
             k = self.ids.get(lexeme)
-            out = 8 * free(IDENTIFIER) + 1 if k is None else 8 * (KEYWORD + k) + 4
+            out = 8 * (KEYWORD + k) + 4 if k is not None else 8 * (IDENTIFIER if type2 else text_code(lexeme)) + 1
         elif self.space(c) or lang.line_comment and lexeme.startswith(lang.line_comment) or lang.block_comment and lexeme.startswith(lang.block_comment[0]):
             out = 0
         elif c in "\"'`":
-            out = 8 * free(STRING) + 2
+            out = 8 * (STRING if type2 else text_code(lexeme)) + 2
         elif c in "0123456789":
-            out = 8 * free(NUMBER) + 3
+            out = 8 * (NUMBER if type2 else text_code(lexeme)) + 3
         elif self.letter(c):
             k = self.ids.get(lexeme)
-            out = 8 * free(IDENTIFIER) + 1 if k is None else 8 * (KEYWORD + k) + 4
+            out = 8 * (KEYWORD + k) + 4 if k is not None else 8 * (IDENTIFIER if type2 else text_code(lexeme)) + 1
         else:
             out = 8 * (PUNCTUATION + (ord(c) & 255)) + 5
         if len(lexeme) <= self.SHORT:
@@ -131,15 +133,19 @@ def mod_m61(x: int) -> int:
     return x % M61
 
 
+@lru_cache(maxsize=64)
+def _powers(k: int) -> np.ndarray:
+    """The powers of both bases by which k codes are weighted, halved to 30 and 31 bits; codes are halved to 24, so no sum of up to 256 products overflows."""
+    powers = [[pow(base, k - 1 - d, M61) for d in range(k)] for base in BASES]
+    return np.array([[p[d] >> 31 for p in powers] + [p[d] & 0x7FFFFFFF for p in powers] for d in range(k)], np.int64)
+
+
 def kgram_hashes(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The two polynomial hashes, modulo 2**61 - 1, of every k successive codes (below 2**49), in 64-bit arithmetic only."""
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    m = np.int64(M61)
-    powers = [[pow(base, k - 1 - d, M61) for d in range(k)] for base in BASES]
-    # powers are halved to 30 and 31 bits, codes to 24 bits each, so that no sum of up to 256 products overflows
-    table = np.array([[p[d] >> 31 for p in powers] + [p[d] & 0x7FFFFFFF for p in powers] for d in range(k)], np.int64)
+    m, table = np.int64(M61), _powers(k)
 
     def dot(part: np.ndarray) -> list[np.ndarray]:
         sums = (np.lib.stride_tricks.sliding_window_view(part, k) @ table).T
@@ -190,10 +196,10 @@ def winnow(h1: np.ndarray, h2: np.ndarray, w: int, standard: bool = False) -> np
 def _batches(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
-            for i, name, text in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)):
-                out = make(i, language(name), text)
-                if out is not None:
-                    yield out
+            made = [make(i, language(name), text) for i, name, text in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns))]
+            made = [b for b in made if b is not None]
+            if made:  # one batch for many files: each sent costs a fixed time
+                yield from pa.Table.from_batches(made).combine_chunks().to_batches()
 
 
 def parseable(source_files: DataFrame, config: ScanConfig) -> DataFrame:
