@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from twinweave.plans import reference_queries, skewed
 
-FLAGSHIP = "clone_pairs"
+FLAGSHIP = "clone_pairs_normalised"
 
 QUERIES = {**reference_queries.QUERIES, **skewed.QUERIES}
 SQL = {**reference_queries.SQL, **skewed.SQL}

@@ -12,7 +12,7 @@ from twinweave.functions.scalar import commit_date, mod_m61
 from twinweave.operators import incremental, lexer, metrics, pairs, structure
 from twinweave.plans import oracles, report, view
 from twinweave.plans.scan import scan
-from twinweave.session import table
+from twinweave.session import cut, table
 from twinweave.sources.languages import extension_of, language_of, registry
 
 #: Names and literals must be equal, as suits a whole collection; NORMALISED is the default of a scan.
@@ -37,6 +37,7 @@ _LANG = f"SELECT file_idx, path, l.name AS language FROM source_files LEFT JOIN
 _IGNORED = " OR ".join(f"contains(path, '{p}')" for p in DEFAULT_IGNORE)
 _EXACT_CTES, _NORMAL_CTES = oracles.ctes(EXACT), oracles.ctes(NORMALISED)
 _PAIRS = f"WITH RECURSIVE {_EXACT_CTES}, {oracles.pair_ctes(EXACT)}"
+_NORMAL_PAIRS = f"WITH RECURSIVE {_NORMAL_CTES}, {oracles.pair_ctes(NORMALISED)}"
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -183,6 +184,66 @@ def scan_result(spark, d):
     return scan(spark, _files(spark, d), EXACT).result().select("total_files", "total_tokens", "total_clones", "duplication_percentage")
 
 
+# --- the same with names and literals normalised, as a scan does by default: pairs grow with the square of frequent fragments
+
+
+@_query(f"WITH {_NORMAL_CTES} SELECT * FROM kgrams")
+def kgram_hashes_normalised(spark, d):
+    return lexer.kgrams(_files(spark, d), NORMALISED)
+
+
+@_query(f"{_NORMAL_PAIRS} SELECT * FROM raw")
+def raw_pairs_normalised(spark, d):
+    return pairs.raw_pairs(lexer.fingerprints(_files(spark, d), NORMALISED))
+
+
+@_query(f"{_NORMAL_PAIRS} SELECT * FROM raw WHERE file_a <> file_b")
+def raw_pairs_cross_normalised(spark, d):
+    return pairs.raw_pairs(lexer.fingerprints(_files(spark, d), NORMALISED), scan_self=False)
+
+
+@_query(f"{_NORMAL_PAIRS} SELECT * FROM merged")
+def merged_pairs_normalised(spark, d):
+    return pairs.merged_pairs(pairs.raw_pairs(lexer.fingerprints(_files(spark, d), NORMALISED)))
+
+
+@_query(f"{_NORMAL_PAIRS} SELECT file_a, file_b, start_a, end_a, start_b, end_b, tokens_a, tokens_b FROM counted")
+def span_token_count_normalised(spark, d):
+    f = _files(spark, d)
+    m = pairs.merged_pairs(pairs.raw_pairs(lexer.counted_fingerprints(f, NORMALISED)))
+    return m.select("file_a", "file_b", "start_a", "end_a", "start_b", "end_b", "tokens_a", "tokens_b")
+
+
+@_query(f"{_NORMAL_PAIRS} SELECT * FROM found")
+def clone_pairs_normalised(spark, d):
+    f = _files(spark, d)
+    return pairs.clone_pairs(f, lexer.counted_fingerprints(f, NORMALISED), NORMALISED)
+
+
+@_query(f"{_NORMAL_PAIRS} SELECT * FROM found ORDER BY token_count DESC, file_a, file_b, start_line_a, start_line_b, end_line_a, end_line_b LIMIT 25")
+def top_clones_normalised(spark, d):
+    return pairs.in_order(clone_pairs_normalised(spark, d)).limit(25)
+
+
+@_query(
+    f"""{_NORMAL_PAIRS}, s AS (SELECT count(*) AS total_tokens FROM tokens), p AS (SELECT count(*) AS total_clones, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS dup_tokens FROM found)
+    SELECT (SELECT count(*) FROM ({_LANG}) WHERE language IS NOT NULL AND NOT ({_IGNORED})) AS total_files, total_tokens, total_clones, least(100.0, dup_tokens / total_tokens * 100)::DOUBLE AS duplication_percentage FROM s, p"""
+)
+def scan_result_normalised(spark, d):
+    """The figures of a whole scan; its pairs, which result() would nest in one row, are only counted."""
+    done = scan(spark, _files(spark, d), NORMALISED)
+    return done.total_files.crossJoin(done.metrics).select("total_files", "total_tokens", "total_clones", "duplication_percentage")
+
+
+@_query(f"WITH {_NORMAL_CTES}, c AS (SELECT h1, h2, count(*) AS n_places, count(DISTINCT file_idx) AS n_files FROM prints GROUP BY h1, h2 HAVING count(*) > 1) SELECT p.h1, p.h2, n_places, n_files, p.file_idx, p.pos, p.line_start, p.line_end FROM prints p JOIN c ON c.h1 = p.h1 AND c.h2 = p.h2")
+def fragment_members_normalised(spark, d):
+    """All raw pairs as classes and members, in linear space: every place of each fragment that stands in two places or more."""
+    fp = cut(lexer.fingerprints(_files(spark, d), NORMALISED))
+    files = fp.groupBy("h1", "h2", "file_idx").agg(F.count(F.lit(1)).alias("n"))  # two steps, so that no frequent hash is one task's work
+    classes = files.groupBy("h1", "h2").agg(F.sum("n").alias("n_places"), F.count(F.lit(1)).alias("n_files")).where(F.col("n_places") > 1)
+    return fp.join(classes, ["h1", "h2"]).select("h1", "h2", "n_places", "n_files", "file_idx", "pos", "line_start", "line_end")
+
+
 # --- figures over the given clone pairs
 
 
