@@ -17,3 +17,16 @@ def test_renamed_copies_are_found_by_the_flagship(spark, tmp_path):
     assert one("scan_result_normalised").total_clones > one("scan_result").total_clones
     members = entry.queries()["fragment_members_normalised"](spark, str(tmp_path)).collect()
     assert {m.file_idx for m in members} == {1, 2} and all(m.n_places > 1 for m in members)
+
+
+def test_shared_tokens_are_counted(spark, tmp_path):
+    shared = [f"a{i} = b + c + d + e" for i in range(8)]
+    own = [f"x{i}" for i in range(8)]
+    text = "\n".join(own + shared)
+    spark.createDataFrame([(1, "a.py", text), (2, "b.py", "\n".join(shared)), (3, "c.odd", text)], "file_idx bigint, path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    prints = [(1, i, 100 + i, 0, i + 1, i + 1) for i in range(8)] + [(1, 8 + i, i, 0, 9 + i, 9 + i) for i in range(8)] + [(f, i, i, 0, i + 1, i + 1) for f in (2, 3) for i in range(8)]
+    spark.createDataFrame(prints, "file_idx bigint, pos int, h1 bigint, h2 bigint, line_start int, line_end int").write.parquet(f"{tmp_path}/fingerprints.parquet")
+    rows = {r.file_idx: r for r in entry.queries()["p1_share_counted"](spark, str(tmp_path)).collect()}
+    assert (rows[1].share, rows[1].token_count, rows[1].shared_tokens) == (0.5, 80, 72)
+    assert (rows[2].share, rows[2].token_share) == (1.0, 1.0)
+    assert rows[3].share == 1.0 and rows[3].shared_tokens is None

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinweave.config import ScanConfig
 from twinweave.llm import encode, groups, handwritten, mix, pii, spans, syntax
+from twinweave.plans import oracles
 from twinweave.session import table
 
 
@@ -19,6 +21,11 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(table(spark, sf_dir, "fingerprints"), table(spark, sf_dir, "parsed_files"))
 
 
+def p1_share_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each file's fingerprints and tokens stands elsewhere too, tokens counted in the files."""
+    return spans.counted_share(table(spark, sf_dir, "fingerprints"), table(spark, sf_dir, "source_files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nobody wrote by hand."""
     return handwritten.unwritten_files(table(spark, sf_dir, "source_files"))
@@ -77,7 +84,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p2_found, p2_held_out, p2_ignored, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_share_counted, p2_found, p2_held_out, p2_ignored, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 _SPANS = """
         WITH d AS (SELECT file_idx, pos, min(row(h1 IS NULL, h1, h2 IS NULL, h2)) AS h, min(line_start) AS ls, min(line_end) AS le FROM fingerprints WHERE file_idx IS NOT NULL AND pos IS NOT NULL GROUP BY file_idx, pos),
@@ -94,6 +101,13 @@ SQL = {
         t AS (SELECT file_idx, max(token_count) AS token_count FROM parsed_files GROUP BY file_idx)
         SELECT n.file_idx, n_fingerprints, coalesce(n_shared, 0) AS n_shared, coalesce(n_shared, 0) / n_fingerprints AS share, CAST(round(coalesce(n_shared, 0) / n_fingerprints * token_count) AS BIGINT) AS shared_tokens
         FROM n LEFT JOIN k ON k.file_idx = n.file_idx LEFT JOIN t ON t.file_idx = n.file_idx""",
+    "p1_share_counted": _SPANS + f""", {oracles.ctes(ScanConfig(ignore_patterns=()))}, n AS (SELECT file_idx, count(*) AS n_fingerprints FROM d GROUP BY file_idx),
+        k AS (SELECT file_idx, CAST(sum(b - a + 1) AS BIGINT) AS n_shared FROM x GROUP BY file_idx),
+        l AS (SELECT DISTINCT x.file_idx, unnest(range(p.ls, q.le + 1)) AS line FROM x JOIN d p ON p.file_idx = x.file_idx AND p.pos = x.a JOIN d q ON q.file_idx = x.file_idx AND q.pos = x.b),
+        i AS (SELECT t.file_idx, t.pos FROM tokens t JOIN l ON l.file_idx = t.file_idx AND l.line BETWEEN t.line_start AND t.line_end GROUP BY t.file_idx, t.pos, t.line_start, t.line_end HAVING count(*) = t.line_end - t.line_start + 1),
+        t AS (SELECT f.file_idx, (SELECT count(*) FROM tokens t WHERE t.file_idx = f.file_idx) AS token_count, (SELECT count(*) FROM i WHERE i.file_idx = f.file_idx) AS shared_tokens FROM files f)
+        SELECT n.file_idx, n_fingerprints, coalesce(n_shared, 0) AS n_shared, coalesce(n_shared, 0) / n_fingerprints AS share, token_count, shared_tokens, shared_tokens / nullif(token_count, 0) AS token_share
+        FROM n LEFT JOIN k ON k.file_idx = n.file_idx LEFT JOIN t ON t.file_idx = n.file_idx""",
     "p5_found": r"""
         WITH RECURSIVE l AS (
             SELECT regexp_replace(replace(file_a, '\', '/'), '^\./', '') AS a, regexp_replace(replace(file_b, '\', '/'), '^\./', '') AS b

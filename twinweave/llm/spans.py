@@ -30,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinweave.config import ScanConfig
+from twinweave.operators.lexer import lex, parseable
 from twinweave.operators.skew import fragment_replicate_join, plan_skew
 from twinweave.session import cut
+from twinweave.sources.languages import language
 
 #: Symbols of a shared run, at least.
 MIN_RUN = 8
@@ -421,7 +424,8 @@ def shared_spans(fingerprints: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 def shared_share(fingerprints: DataFrame, parsed_files: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(file_idx, n_fingerprints, n_shared, share, shared_tokens): how much of each file stands elsewhere too.
 
-    shared_tokens is the share of the file's token_count; null if that isn't known. Every file of fingerprints has a row.
+    shared_tokens is an estimate, the share of the file's token_count; null if that isn't known. Every file of
+    fingerprints has a row. See counted_share for counted tokens.
     """
     spans = shared_spans(fingerprints, min_run).groupBy("file_idx").agg(F.sum(F.col("last_pos") - F.col("first_pos") + 1).alias("n_shared"))
     sizes = fingerprints.where(F.col("file_idx").isNotNull() & F.col("pos").isNotNull()).select("file_idx", "pos").distinct().groupBy("file_idx").agg(F.count(F.lit(1)).alias("n_fingerprints"))
@@ -429,3 +433,40 @@ def shared_share(fingerprints: DataFrame, parsed_files: DataFrame, min_run: int
     n = F.coalesce("n_shared", F.lit(0))
     share = n / F.col("n_fingerprints")
     return sizes.join(spans, "file_idx", "left").join(tokens, "file_idx", "left").select("file_idx", "n_fingerprints", n.alias("n_shared"), share.alias("share"), F.round(share * F.col("token_count")).cast("bigint").alias("shared_tokens"))
+
+
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each file, and those of them all of whose lines lie in its spans."""
+    for batch in batches:
+        rows = []
+        for i, name, text, spans in zip(*(batch.column(c).to_pylist() for c in ("file_idx", "language", "content", "spans"))):
+            _, _, first, last, _ = lex(text, language(name))
+            edge = np.zeros((int(last.max()) if len(last) else 0) + 2, np.int64)
+            for x in spans or ():
+                # lines beyond the last token hold none
+                edge[min(max(x["line_start"], 1), len(edge) - 1)] += 1
+                edge[min(max(x["line_end"], 0) + 1, len(edge) - 1)] -= 1
+            covered = np.cumsum(np.cumsum(edge) > 0)
+            rows.append((i, len(first), int((covered[last] - covered[first - 1] == last - first + 1).sum())))
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["file_idx", "token_count", "shared_tokens"])
+
+
+def counted_share(fingerprints: DataFrame, source_files: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """(file_idx, n_fingerprints, n_shared, share, token_count, shared_tokens, token_share): what part of each file's fingerprints and of its tokens stands elsewhere too.
+
+    Tokens are the lexer's, counted in source_files; those all of whose lines lie in shared stretches are shared, each
+    once. They are null for files without content or of no known language. Every file of fingerprints has a row.
+    """
+    spans = shared_spans(fingerprints, min_run).groupBy("file_idx").agg(
+        F.sum(F.col("last_pos") - F.col("first_pos") + 1).alias("n_shared"),
+        F.collect_list(F.when(F.col("line_start").isNotNull() & F.col("line_end").isNotNull(), F.struct("line_start", "line_end"))).alias("spans"),
+    )
+    sizes = fingerprints.where(F.col("file_idx").isNotNull() & F.col("pos").isNotNull()).select("file_idx", "pos").distinct().groupBy("file_idx").agg(F.count(F.lit(1)).alias("n_fingerprints"))
+    shares = cut(sizes.join(spans, "file_idx", "left"))
+    texts = parseable(source_files, ScanConfig(ignore_patterns=())).join(shares.select("file_idx", "spans"), "file_idx")
+    counted = texts.select("file_idx", "language", "content", "spans").mapInArrow(_count_shared, "file_idx bigint, token_count bigint, shared_tokens bigint")
+    n = F.coalesce("n_shared", F.lit(0))
+    return shares.join(counted, "file_idx", "left").select(
+        "file_idx", "n_fingerprints", n.alias("n_shared"), (n / F.col("n_fingerprints")).alias("share"), "token_count", "shared_tokens", (F.col("shared_tokens") / F.nullif("token_count", F.lit(0))).alias("token_share")
+    )
