@@ -1,6 +1,7 @@
 """The queries do their whole job on small tables made for it."""
 
 import __spark_entry__ as entry
+from twinweave.llm.parse.check import check_source
 from twinweave.plans import catalog
 
 FN = "fn work(a: u32, b: u32) -> u32 {\n    let mut total = a + b;\n    for i in 0..10 {\n        total += i * a;\n    }\n    if total > 100 { return total; }\n    println!(\"{}\", total);\n    total\n}\n\n"
@@ -30,3 +31,15 @@ def test_shared_tokens_are_counted(spark, tmp_path):
     assert (rows[1].share, rows[1].token_count, rows[1].shared_tokens) == (0.5, 80, 72)
     assert (rows[2].share, rows[2].token_share) == (1.0, 1.0)
     assert rows[3].share == 1.0 and rows[3].shared_tokens is None
+
+
+def test_expressions_inside_templates_and_markup_are_parsed():
+    bad = [("a.tsx", "x = <p>{a b}</p>;"), ("a.jsx", "x = <p a={}/>;"), ("a.js", "x = `${a b}`;"), ("a.js", "x = `${`${a b}`}`;"), ("a.ts", "x = `${a) + (b}`;"), ("a.ts", "x = `${}`;")]
+    good = [
+        ("a.tsx", "x = <p a={1} {...r} s={{a: 1}}>{/* c */}{a && <b>{`x${f(y => y + 1)}`}</b>} don't {l.map((i) => { return <i key={i}>{i}</i>; })}</p>;"),
+        ("a.ts", "type F<T> = T extends `${infer A}.${string}` ? A : never;\nconst s = `${a // c\n} ${await g(x as T)} ${{a: 1}.a}`;"),
+        ("a.js", "s = t`a${`b${c}`}` + `\\${a b}`;"),
+    ]
+    assert not any(check_source(*x).valid for x in bad)
+    assert all(check_source(*x).valid for x in good)
+    assert check_source("a.js", "\nx = `\n${a\n b}`;\n").line == 4

@@ -270,8 +270,8 @@ def _nested_comments(text: str) -> str:
     return "".join(out) + text[last:]
 
 
-def _end_of_template(text: str, at: int) -> int:
-    """Past the template literal that opens at ``at``; -1 if it stays open."""
+def _end_of_template(text: str, at: int, inner: list[tuple[int, int, bool]] | None = None) -> int:
+    """Past the template literal that opens at ``at``; -1 if it stays open. The spans of what its ${} hold go to inner, see _unfit."""
     i, n = at + 1, len(text)
     while i < n:
         c = text[i]
@@ -280,9 +280,11 @@ def _end_of_template(text: str, at: int) -> int:
         elif c == "`":
             return i + 1
         elif c == "$" and text.startswith("${", i):
-            i = _end_of_braces(text, i + 1)
+            first, i = i + 2, _end_of_braces(text, i + 1)
             if i < 0:
                 return -1
+            if inner is not None:
+                inner.append((first, i - 1, False))
         else:
             i += 1
     return -1
@@ -319,8 +321,8 @@ def _end_of_braces(text: str, at: int) -> int:
 _MARKUP = re.compile(r"<(/?)([A-Za-z][\w.:-]*)?")
 
 
-def _end_of_markup(text: str, at: int) -> int:
-    """Past the JSX element that opens at ``at``; -1 if there is none."""
+def _end_of_markup(text: str, at: int, inner: list[tuple[int, int, bool]]) -> int:
+    """Past the JSX element that opens at ``at``; -1 if there is none. The spans of what its braces hold go to inner, see _unfit."""
     names: list[str] = []
     i, n = at, len(text)
     while i < n:
@@ -335,9 +337,10 @@ def _end_of_markup(text: str, at: int) -> int:
                 if not i:
                     return -1
             elif text[i] == "{":
-                i = _end_of_braces(text, i)
+                first, i = i + 1, _end_of_braces(text, i)
                 if i < 0:
                     return -1
+                inner.append((first, i - 1, False))
             elif text.startswith("/>", i):
                 single = True
                 i += 1
@@ -358,9 +361,10 @@ def _end_of_markup(text: str, at: int) -> int:
             return i
         while i < n and text[i] != "<":
             if text[i] == "{":
-                i = _end_of_braces(text, i)
+                first, i = i + 1, _end_of_braces(text, i)
                 if i < 0:
                     return -1
+                inner.append((first, i - 1, True))
             elif text[i] in "}>":
                 return -1
             else:
@@ -375,8 +379,37 @@ _ECMA_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n]
 _BEFORE_OPERAND = re.compile(r"(?:[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|yield|await))\s*\Z|\A\s*\Z")
 
 
-def _ecma_literals(markup: bool) -> Callable[[str], str]:
-    """Comments, strings, templates, regular expressions and JSX elements replaced: what a single pattern can't find."""
+@lru_cache(maxsize=4096)
+def _inner_verdict(name: str, text: str, markup: bool) -> Verdict:
+    """Of an expression inside ${} or the braces of JSX, by the grammar of the text around it."""
+    if markup and (spread := re.match(r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*\.\.\.", text)):
+        text = "\n" * spread.group().count("\n") + text[spread.end() :]
+    # in brackets no line break ends a statement; both kinds, so that it can't close the one it stands in
+    forms = [f"({text}\n)", f"[{text}\n]"]
+    found = next((v for v in map(language(name).check, forms) if not v.valid), VALID)
+    if not found.valid and not markup and name != "js" and all(language(name).check(f"type T = {x}").valid for x in forms):
+        return VALID  # in the template of a type stand types
+    return found
+
+
+def _unfit(name: str, text: str, inner: list[tuple[int, int, bool]], markup: bool) -> int | None:
+    """The place of the line of the first token that doesn't fit in the inner spans (first, end, whether it may be empty); None if all fit."""
+    for first, end, empty in inner:
+        part = text[first:end]
+        if empty and not _ECMA_COMMENT.sub("", part).strip():
+            continue
+        v = _inner_verdict(name, part, markup)
+        if not v.valid:
+            return text.count("\n", 0, first) + min(v.line - 1, part.count("\n"))
+    return None
+
+
+def _ecma_literals(name: str) -> Callable[[str], str]:
+    """Comments, strings, templates, regular expressions and JSX elements replaced: what a single pattern can't find.
+
+    The expressions inside templates and JSX elements are checked on their own; one that doesn't fit leaves an error on its line.
+    """
+    markup = name != "ts"
 
     def prepare(text: str) -> str:
         if text.startswith("#!"):
@@ -387,11 +420,12 @@ def _ecma_literals(markup: bool) -> Callable[[str], str]:
         while m := _ECMA_OPENER.search(text, at):
             start, c = m.start(), m.group()
             end, stand = -1, ""
+            inner: list[tuple[int, int, bool]] = []
             if c in _ECMA_STRINGS:
                 if x := _ECMA_STRINGS[c].match(text, start):
                     end, stand = x.end(), STR
             elif c == "`":
-                end, stand = _end_of_template(text, start), STR
+                end, stand = _end_of_template(text, start, inner), STR
             elif c == "/" and text[start + 1 : start + 2] in ("/", "*"):
                 if x := _ECMA_COMMENT.match(text, start):
                     end = x.end()
@@ -403,13 +437,17 @@ def _ecma_literals(markup: bool) -> Callable[[str], str]:
                     if x := _ECMA_REGEX.match(text, start):
                         end, stand = x.end(), REGEX
                 elif free and markup:
-                    end, stand = _end_of_markup(text, start), JSX
+                    end, stand = _end_of_markup(text, start, inner), JSX
                 if end < 0:
                     at = start + 1
                     continue
             if end < 0:
                 out += [text[kept:start], ERR]
                 return "".join(out)
+            line = _unfit(name, text, inner, stand == JSX) if inner else None
+            if line is not None:
+                out += [text[kept:start], "\n" * (line - text.count("\n", 0, start)), ERR]
+                return "".join(out)
             breaks = text.count("\n", start, end)
             out += [text[kept:start], stand + FOLD * breaks if stand else "\n" * breaks or " "]
             at = kept = end
@@ -507,7 +545,7 @@ def language(name: str) -> Language:
         literals = [(r"//[^\n]*", ""), (r'r(?<!\w\wr)(?P<h>#*)"[\s\S]*?"(?P=h)', STR), (r'"(?:[^"\\]|\\[\s\S])*"', STR), (r"'(?:[^'\\\n]|\\(?:x[\da-fA-F]{2}|u\{[^}\n]*\}|[^\n]))'", CHR), (r"'[^\W\d]\w*(?!')", LIFE), (r"r#(?<!\wr#)(?=[^\W\d])", "")]
         return Language(grammars.RUST, literals, r"/\*|\"|'", r"_?(?:[iu](?:8|16|32|64|128|size)|f32|f64)", "union auto raw box yield async await dyn", prepare=_nested_comments, prefix="[bc]")
     if name in ("js", "ts", "tsx"):
-        return Language(grammars.ecma(name != "js"), [], r"/\*|\"|'|`", "n", layout="asi", prepare=_ecma_literals(name != "ts"), names=_ECMA_NAMES)
+        return Language(grammars.ecma(name != "js"), [], r"/\*|\"|'|`", "n", layout="asi", prepare=_ecma_literals(name), names=_ECMA_NAMES)
     if name == "python":
         literals = [(r"#[^\n]*", ""), (r"\\\n", FOLD), (r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""', STR), (r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''", STR), (r'"(?!"")(?:[^"\\\n]|\\[\s\S])*"', STR), (r'""(?!")', STR), (r"'(?!'')(?:[^'\\\n]|\\[\s\S])*'", STR), (r"''(?!')", STR)]
         return Language(grammars.PYTHON, literals, r"\"|'", soft="match case type _", layout="indent", prefix="[rR][bBfF]?|[bBfF][rR]?|[uU]", number=_PYTHON_NUMBER)
