@@ -43,3 +43,41 @@ def test_expressions_inside_templates_and_markup_are_parsed():
     assert not any(check_source(*x).valid for x in bad)
     assert all(check_source(*x).valid for x in good)
     assert check_source("a.js", "\nx = `\n${a\n b}`;\n").line == 4
+
+
+def test_indented_sass_is_parsed():
+    good = """// a comment
+   that goes on
+@use "sass:math"
+$w: 10px
+=round($r: 4px)
+  border-radius: $r
+.a,
+.b
+  +round(2px)
+  color: red
+  &:hover
+    font:
+      family: "x"
+      size: math.div($w, 2)
+  > li + li
+    @extend %p
+  @media (min-width: $w)
+    width: calc(100% - #{$w})
+/* loud
+   more
+.alone
+@each $k, $v in (a: b)
+  .t-#{$k}
+    top: $v
+@if $w == 1
+  p
+    top: 0
+@else
+  p
+    top: 1
+"""
+    assert check_source("a.sass", good) == (True, None, None)
+    for bad, line in [("<<<<<<< HEAD\n.a\n  top: 1\n=======\n.a\n  top: 2\n>>>>>>> x\n", 1), (".a\n  color:\n", 2), (".a\n    top: 1\n  left: 2\n", 3), ("  .a\n", 1), ("int main() ; return 0 ;\n", 1), (".a\n  top: (1\n", 2)]:
+        v = check_source("a.sass", bad)
+        assert (v.valid, v.line) == (False, line), (bad, v)

@@ -486,25 +486,87 @@ class StyleSheet(Language):
         return tuple(out)
 
 
-class Sass(Language):
-    """The indented syntax, which has no brackets to nest with: literals and brackets must close."""
+class Sass(StyleSheet):
+    """The indented syntax: lines are fed to the grammar of SCSS, with braces for deeper and semicolons for equal indentation."""
+
+    _MIXIN = ((re.compile(r"=\s*(?=[^\W\d]|-)"), "@mixin "), (re.compile(r"\+(?=[^\W\d]|-)"), "@include "))
 
     def check(self, text: str) -> Verdict:
         text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
         if "{" in re.sub(r"#\{", "", text):
             return language("scss").check(text)
-        open_: list[str] = []
-        for number, line in enumerate(self.stripped(text).split("\n"), 1):
-            for c in line:
-                if c == ERR:
-                    return Verdict(False, number, "$err")
-                if c in "([{":
-                    open_.append(")]}"["([{".index(c)])
-                elif c in ")]}" and (not open_ or open_.pop() != c):
-                    return Verdict(False, number, c)
-            if open_:
+        self.parser.tidy()
+        lines, number = [], 1
+        for line in self.stripped(_indented_comments(text)).split("\n"):
+            if line.strip():
+                lines.append((number, len((line[: len(line) - len(line.lstrip())]).expandtabs(8)), line.strip()))
+            number += 1 + line.count(FOLD)
+        stacks, levels, begun = self.parser.start, [0], False
+        for i, (number, indent, line) in enumerate(lines):
+            if (bad := self._open(line)) is not None:
+                return Verdict(False, number, bad)
+            below = lines[i + 1][1] if i + 1 < len(lines) else 0
+            tokens: list[str] = []
+            if not begun:  # the lines of a list of selectors need not be indented alike
+                while indent < levels[-1]:
+                    levels.pop()
+                    tokens.append("'}'")
+                if indent != levels[-1]:
+                    return Verdict(False, number, "indent")
+                for mark, word in self._MIXIN:
+                    line = mark.sub(word, line, count=1) if mark.match(line) else line
+            tokens += self.tokens(line)
+            begun = line.endswith(",") and i + 1 < len(lines)
+            ends = [[]] if begun else [["'{'"]] if below > levels[-1] else [["';'"]] if line.endswith(":") else [["';'"], ["'{'", "'}'"]]  # a selector may stand alone
+            if ends == [["'{'"]]:
+                levels.append(below)
+            stacks, at = self._feed(stacks, tokens)
+            if stacks is None:
+                return Verdict(False, number, tokens[at].strip("'"))
+            after = [to for e in ends if (to := self._feed(stacks, e)[0]) is not None]
+            if not after or line.endswith(":") and below <= indent:
                 return Verdict(False, number, "line break")
-        return VALID
+            stacks = frozenset().union(*after)
+        stacks, _ = self._feed(stacks, ["'}'"] * (len(levels) - 1))
+        return VALID if stacks is not None and self.parser.accepts(stacks) else Verdict(False, number - 1, "end")
+
+    def _feed(self, stacks: frozenset[int], tokens: list[str]) -> tuple[frozenset[int] | None, int]:
+        for i, t in enumerate(tokens):
+            to = self._step(stacks, t)
+            if to is None:
+                return None, i
+            stacks = to
+        return stacks, len(tokens)
+
+    @staticmethod
+    def _open(line: str) -> str | None:
+        """What leaves the brackets of a line open or unopened."""
+        open_: list[str] = []
+        for c in line:
+            if c == ERR:
+                return "$err"
+            if c in "([{":
+                open_.append(")]}"["([{".index(c)])
+            elif c in ")]}" and (not open_ or open_.pop() != c):
+                return c
+        return "line break" if open_ else None
+
+
+def _indented_comments(text: str) -> str:
+    """Sass comments blanked: lines that begin with a comment mark, and the deeper ones below them."""
+    out, level = [], -1
+    closed = True
+    for line in text.split("\n"):
+        bare = line.strip()
+        indent = len((line[: len(line) - len(line.lstrip())]).expandtabs(8))
+        if bare and level >= 0 and indent <= level and not (not closed and bare.startswith("*")):
+            level, closed = -1, True
+        if level < 0 and bare.startswith(("//", "/*")) and not ("*/" in bare and not bare.endswith("*/")):
+            level, closed = indent, not bare.startswith("/*")
+        if level >= 0:
+            closed |= "*/" in bare
+        out.append("" if level >= 0 else line)
+    return "\n".join(out)
 
 
 def _c(cpp: bool) -> Language:
@@ -531,7 +593,7 @@ def language(name: str) -> Language:
     if name == "less":
         return StyleSheet(grammars.css("less"), [*css_literals, lines, (r"`[^`]*`", STR)], r"/\*|\"|'", soft="when", names=_CSS_NAMES)
     if name == "sass":
-        return Sass(grammars.css("scss"), [*css_literals, lines], r"/\*|\"|'")
+        return Sass(grammars.css("scss"), [*css_literals, lines], r"/\*|\"|'", names=_CSS_NAMES)
     if name in ("c", "cpp"):
         return _c(name == "cpp")
     if name == "go":
