@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 from twinweave.llm.parse.check import check_source
+from twinweave.operators import structure
 from twinweave.plans import catalog
 
 FN = "fn work(a: u32, b: u32) -> u32 {\n    let mut total = a + b;\n    for i in 0..10 {\n        total += i * a;\n    }\n    if total > 100 { return total; }\n    println!(\"{}\", total);\n    total\n}\n\n"
@@ -81,3 +82,16 @@ $w: 10px
     for bad, line in [("<<<<<<< HEAD\n.a\n  top: 1\n=======\n.a\n  top: 2\n>>>>>>> x\n", 1), (".a\n  color:\n", 2), (".a\n    top: 1\n  left: 2\n", 3), ("  .a\n", 1), ("int main() ; return 0 ;\n", 1), (".a\n  top: (1\n", 2)]:
         v = check_source("a.sass", bad)
         assert (v.valid, v.line) == (False, line), (bad, v)
+
+
+def test_broken_python_has_subtrees():
+    good = "def f(x):\n    if x:\n        return [1, (x, 2)]\n"
+    whole = {h for h, *_, kind, _ in structure.subtree_hashes(good, "Python") if kind != "Module"}
+    for text, line in [(good + "def (\n", 1), ("x = = 1\n" + good, 2), ("class A:\n    y = (1, 2))\n" + "".join(f"    {x}\n" for x in good.splitlines()), 3)]:
+        got = structure.subtree_hashes(text, "Python")
+        assert whole <= {r[0] for r in got}
+        f = next(r for r in got if r[4] == "FunctionDef")
+        assert (f[1], f[2], text.encode()[f[3] :].startswith(b"def f")) == (line, line + 2, True)
+    assert structure.subtree_hashes("x = " + "(" * 500 + ")" * 500, "Python")
+    assert structure.subtree_hashes("x = " + "1 + " * 5000 + "f(a, (b))", "Python")
+    assert any(r[4] == "(" and r[1] == 2 for r in structure.subtree_hashes("y = 1\nx = f((1, 2)) = = \n", "Python"))

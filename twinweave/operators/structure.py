@@ -1,14 +1,15 @@
 """Hashes of syntax subtrees, and clones by them.
 
 Trees come from the standard library: ``ast`` for Python, ``html.parser`` for
-HTML, and for all other languages the nesting of brackets over the tokens of the lexer.
+HTML, and for all other languages, and what ``ast`` rejects, the nesting of brackets over the tokens of the lexer.
 """
 
 from __future__ import annotations
 
 import ast
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -33,22 +34,66 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def _python(text: str) -> Node | None:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
+_UNPARSED = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def _python(text: str) -> Node:
     offsets = [0]
     for line in text.split("\n"):
-        offsets.append(offsets[-1] + len(line.encode()) + 1)
+        offsets.append(offsets[-1] + len(line.encode("utf-8", "surrogatepass")) + 1)
 
-    def build(n: ast.AST, at: Node) -> Node:
-        start = getattr(n, "lineno", at.start)
-        node = Node(type(n).__name__, start, getattr(n, "end_lineno", at.end) or start, offsets[start - 1] + getattr(n, "col_offset", 0))
-        node.children = [build(c, node) for c in ast.iter_child_nodes(n)]
+    def build(n: ast.AST, at: Node, shift: int = 0) -> Node:
+        start = n.lineno + shift if hasattr(n, "lineno") else at.start
+        node = Node(type(n).__name__, start, (getattr(n, "end_lineno", None) or start - shift) + shift if hasattr(n, "lineno") else at.end, offsets[start - 1] + getattr(n, "col_offset", 0))
+        node.children = [build(c, node, shift) for c in ast.iter_child_nodes(n)]
         return node
 
-    return build(tree, Node("Module", 1, text.count("\n") + 1))
+    try:
+        return build(ast.parse(text), Node("Module", 1, text.count("\n") + 1))
+    except _UNPARSED:
+        pass
+    lines = text.split("\n")
+    try:
+        return Node("ERROR", 1, len(lines), 0, _statements(lines, offsets, build))
+    except RecursionError:
+        return Node("ERROR", 1, len(lines), 0, _brackets(text, "Python").children)
+
+
+def _statements(lines: list[str], offsets: list[int], build: Callable[..., Node]) -> list[Node]:
+    """The trees of the statements of a text that doesn't parse as a whole; of those that don't parse either, their blocks' statements, and brackets."""
+    _, _, first, last, _ = lex("\n".join(lines), language("Python"))
+    inside = {n for x, y in zip(first.tolist(), last.tolist()) for n in range(x + 1, y + 1)}  # lines that begin in a string
+    begun = set(first.tolist())
+    indent = [len(x) - len(x.lstrip()) for x in lines]
+
+    def parts(lo: int, hi: int) -> list[Node]:
+        """Of the lines from lo to before hi, from 0."""
+        own = [i for i in range(lo, hi) if i + 1 in begun and i + 1 not in inside]
+        if not own:
+            return []
+        least = min(indent[i] for i in own)
+        heads = [i for i in own if indent[i] == least and not _GOES_ON.match(lines[i], least)]
+        heads = [i for n, i in enumerate(heads) if n == 0 or not lines[heads[n - 1]].lstrip().startswith("@")]
+        heads = [lo, *heads[1:]] if heads and heads[0] >= own[0] else [lo, *heads]
+        return [t for i, j in zip(heads, [*heads[1:], hi]) for t in statement(i, j)]
+
+    def statement(lo: int, hi: int) -> list[Node]:
+        text = "\n".join(lines[lo:hi])
+        own = next((i for i in range(lo, hi) if i + 1 in begun), lo)
+        deep = indent[own] > 0
+        try:
+            tree = ast.parse(f"if 1:\n{text}" if deep else text)
+            return [build(x, Node("", lo + 1, hi), lo - deep) for x in (tree.body[0].body if deep else tree.body)]
+        except _UNPARSED:
+            head = next((i for i in range(own + 1, hi) if i + 1 in begun and i + 1 not in inside), hi)
+            broken = _brackets("\n".join(lines[lo:head]), "Python", lo, offsets[lo]).children
+            return [Node("ERROR", lo + 1, hi, offsets[lo], broken + parts(head, hi))]
+
+    return parts(0, len(lines))
+
+
+#: How a line begins that goes on with the statement before it.
+_GOES_ON = re.compile(r"(?:else|elif|except|finally)\b|[)\]}]")
 
 
 class _Html(HTMLParser):
@@ -75,9 +120,11 @@ class _Html(HTMLParser):
                     break
 
 
-def _brackets(text: str, name: str) -> Node:
+def _brackets(text: str, name: str, line: int = 0, offset: int = 0) -> Node:
+    """The tree of brackets; line and offset are what stands before the text."""
     kind, tok, a, b, at = lex(text, language(name))
-    root = Node("source", 1, text.count("\n") + 1)
+    a, b, at = a + line, b + line, at + offset
+    root = Node("source", 1 + line, text.count("\n") + 1 + line, offset)
     stack = [root]
     for k, t, x, y, o in zip(kind.tolist(), tok.tolist(), a.tolist(), b.tolist(), at.tolist()):
         mark = chr(t - 2000) if k == 4 else ""
@@ -96,7 +143,8 @@ def subtree_hashes(text: str, name: str, min_depth: int = 2) -> list[tuple[str,
     """(hash, first line, last line, byte offset, kind, depth) of the subtrees at least min_depth deep, children before parents.
 
     A hash is of the node's kind and its children's hashes: names and values don't count.
-    Nodes of comments aren't hashed, and neither they nor strings are listed.
+    Nodes of comments aren't hashed, and neither they nor strings are listed, nor the nodes of kind ERROR that
+    hold together what is left of Python that doesn't parse.
     """
     if name == "Python":
         root = _python(text)
@@ -107,8 +155,6 @@ def subtree_hashes(text: str, name: str, min_depth: int = 2) -> list[tuple[str,
     else:
         root = _brackets(text, name)
     out: list[tuple[str, int, int, int, str, int]] = []
-    if root is None:
-        return out
     # post-order without recursion, so that deep trees are no limit
     result: dict[int, tuple[str, int]] = {}
     todo = [(root, False)]
@@ -123,13 +169,13 @@ def subtree_hashes(text: str, name: str, min_depth: int = 2) -> list[tuple[str,
         depth = 1 + max((result[id(c)][1] for c in node.children), default=0)
         result[id(node)] = (h, depth)
         low = node.kind.lower()
-        if depth >= min_depth and "comment" not in low and "string" not in low:
+        if depth >= min_depth and node.kind != "ERROR" and "comment" not in low and "string" not in low:
             out.append((h, node.start, node.end, node.offset, node.kind, depth))
     return out
 
 
 def ast_hashes(source_files: DataFrame, config: ScanConfig = ScanConfig(), min_depth: int = 2) -> DataFrame:
-    """The subtree hashes of every file that a scan reads; files that can't be parsed have none."""
+    """The subtree hashes of every file that a scan reads; of files that can't be parsed, those of their parts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
