@@ -1,9 +1,14 @@
 """The queries do their whole job on small tables made for it."""
 
+import subprocess
+
 import __spark_entry__ as entry
+from twinweave.config import ScanConfig
 from twinweave.llm.parse.check import check_source
 from twinweave.operators import structure
 from twinweave.plans import catalog
+from twinweave.plans.scan import scan
+from twinweave.sources.files import read_directory
 
 FN = "fn work(a: u32, b: u32) -> u32 {\n    let mut total = a + b;\n    for i in 0..10 {\n        total += i * a;\n    }\n    if total > 100 { return total; }\n    println!(\"{}\", total);\n    total\n}\n\n"
 
@@ -95,3 +100,20 @@ def test_broken_python_has_subtrees():
     assert structure.subtree_hashes("x = " + "(" * 500 + ")" * 500, "Python")
     assert structure.subtree_hashes("x = " + "1 + " * 5000 + "f(a, (b))", "Python")
     assert any(r[4] == "(" and r[1] == 2 for r in structure.subtree_hashes("y = 1\nx = f((1, 2)) = = \n", "Python"))
+
+
+def test_scan_names_git_authors(spark, tmp_path):
+    env = {"GIT_AUTHOR_NAME": "Ann", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "Ann", "GIT_COMMITTER_EMAIL": "a@x", "HOME": str(tmp_path), "PATH": "/usr/bin:/bin"}
+    (tmp_path / "x.rs").write_text(FN * 3)
+    for c in (["init", "-q"], ["add", "."], ["commit", "-qm", "x"]):
+        subprocess.run(["git", "-C", str(tmp_path), *c], check=True, env=env)
+    (tmp_path / "y.rs").write_text(FN * 3)
+    files = read_directory(spark, str(tmp_path))
+    blamed = scan(spark, files, ScanConfig(str(tmp_path), enable_git_blame=True))
+    plain = scan(spark, files, ScanConfig(str(tmp_path)))
+    rows = blamed.pairs.collect()
+    assert blamed.pairs.columns == plain.pairs.columns and len(rows) == plain.pairs.count() > 0
+    for r in rows:
+        for path, line, author in [(r.file_a, r.start_line_a, r.author_a), (r.file_b, r.start_line_b, r.author_b)]:
+            assert author.startswith(f"Ann (line {line}, ") if path == "x.rs" else author is None
+    assert all(r.author_a is None and r.author_b is None for r in plain.pairs.collect())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from twinweave.config import ScanConfig
 from twinweave.operators import lexer, metrics, pairs
+from twinweave.sources import git
 
 Progress = Callable[[str, float, str], None]
 
@@ -51,6 +52,7 @@ class Scan:
 def scan(spark: SparkSession, source_files: DataFrame, config: ScanConfig = ScanConfig(), progress: Progress | None = None, cancelled: Callable[[], bool] = lambda: False) -> Scan:
     """Compose a scan of a table with file_idx, path and content.
 
+    With enable_git_blame, authors are those of the git work tree in the configuration's directory.
     total_files counts the files that match the configuration, with or without readable content;
     progress hears of each phase as its part of the plan is made. Raises Cancelled when told to.
     """
@@ -69,6 +71,9 @@ def scan(spark: SparkSession, source_files: DataFrame, config: ScanConfig = Scan
     prints = lexer.fingerprints(source_files, config)
     phase("Indexing", 0.5, "Matching fingerprints")
     found = pairs.clone_pairs(source_files, lexer.counted_fingerprints(source_files, config), config)
+    if config.enable_git_blame:
+        paths = found.select(F.explode(F.array("file_a", "file_b")).alias("path")).distinct()
+        found = git.with_authors(found, git.line_authors(spark, config.directory, paths)).select(found.columns)
     phase("Merging", 0.8, "Merging matches")
     figures = metrics.duplication(found, parsed.agg(F.sum("token_count").alias("total_tokens")))
     out = Scan(str(uuid.uuid4()), config, source_files, parsed, prints, found, metrics.language_breakdown(parsed), total_files, figures)
