@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,15 +49,32 @@ def parallelism(spark: SparkSession) -> int:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy row-local work enough tasks.
 
-    A table that already has as many input splits as the session runs tasks is
-    left alone, so at scale nothing is shuffled; only a small table of few
+    A table that already has as many input splits as there are cores is left
+    alone, so at scale nothing is shuffled; only a small table of few
     splits is spread, by the hash of its keys.
     """
-    want = parallelism(df.sparkSession)
+    want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *[F.col(k) for k in keys])
 
 
+def draw(df: DataFrame, n: int, *keys: str, rows: int | None = None) -> list[Row]:
+    """At most n rows, those whose keys have the least 64-bit hashes: the same rows at every run, whatever the size of the table.
+
+    Only rows below a bound on the hash are sorted; the bound follows from the
+    number of rows (counted where not given) and is raised until it lets half of n through or everything.
+    Repeated rows count apart; an empty table gives no rows.
+    """
+    share = n / max(1, df.count() if rows is None else rows)
+    at = F.xxhash64(*keys)
+    while True:
+        below = df if share >= 1 else df.where(at < F.lit(int(share * 2**64) - 2**63))
+        drawn = below.orderBy(at, *keys).limit(n).collect()
+        if share >= 1 or 2 * len(drawn) >= n:
+            return drawn
+        share *= 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
