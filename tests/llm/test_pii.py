@@ -1,10 +1,12 @@
 import itertools
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
 from twinweave.llm import pii
+from twinweave.llm.details import labelled_patterns
 
 GIVEN, FAMILY = "Anna Boris Clara Dario Elena Farid Gita Hugo".split(), "Brandt Castello Dubois Eklund Farkas Garimov Holgado Ivarsson".split()
 NOISE = ["The Main Window shows 3 tabs.", "Version 3.318 is fine.", "counter 7832-340-7832 wraps", "Use git@code.example.org:a/b.git now.", "icon@2x.png is copied", "See #4512 on 2024-01-02."]
@@ -73,12 +75,16 @@ def test_redacted(corpus):
 
 
 def test_long_text_as_its_parts(corpus):
+    # a chain is never cut: far apart texts are found alike
     df, want, model = corpus
-    texts = [r.text for r in df.where("doc_id < 500").orderBy("doc_id").collect()]
-    whole = "\n".join(texts * 3)
-    found = {(pii.KINDS[k], whole[a:b]) for a, b, k in pii.Finder(model).find([whole])[0]}
-    parts = {(pii.KINDS[k], t[a:b]) for t, spans in zip(texts, pii.Finder(model).find(texts)) for a, b, k in spans}
-    assert len(found & parts) > 0.97 * len(found | parts)
+    texts = [r.text for r in df.where("doc_id < 100").orderBy("doc_id").collect()]
+    gap = "\n" + "the " * 30 + "\n"
+    texts = [t for t in texts if t]
+    whole = gap + gap.join(texts * 40) + gap
+    finder = pii.Finder(replace(model, skip=np.zeros_like(model.skip)))
+    found = [(pii.KINDS[k], whole[a:b]) for a, b, k in finder.find([whole])[0]]
+    parts = [(pii.KINDS[k], t[a:b]) for t, spans in zip(texts, finder.find([gap + t + gap for t in texts])) for t in [gap + t + gap] for a, b, k in spans]
+    assert sorted(found) == sorted(parts * 40)
 
 
 def test_empty(spark):
@@ -104,20 +110,107 @@ def test_chain_against_enumeration():
     assert tuple(pii.best_labels(scores, step, np.array([n]))[0]) == best[1]
 
 
-def test_skip_edges_pass_labels_on():
-    words = ["Ekman", "x", "y", "Ekman"]
-    edges = pii.skip_edges(words)
-    assert edges == [(0, 3)]
-    scores = np.zeros((1, 4, pii.N_LABELS), np.float32)
-    scores[0, :, 0] = 2
-    scores[0, 0, 9] = 9  # surely a name at first
-    scores[0, 3, 9] = 1
-    before = pii.marginals(scores, pii._allowed(), np.array([4]))[0][0, 3, 9]
-    pii.add_skips(scores, np.array([4]), [(0, i, 0, j) for i, j in edges], pii._allowed(), 2.0)
-    after = pii.marginals(scores, pii._allowed(), np.array([4]))[0]
-    assert after[0, 3, 9] > before + 0.2 and after[0, 1, 0] > 0.5
+def joined(words):
+    names = {"": 0}
+    n = np.array([[names.setdefault(x, len(names)) for x in pii.skip_words(w, frozenset(["the"]))] for w in words])
+    return {tuple(e) for e in pii.skip_edges(n[:, 0], n[:, 1], np.zeros(len(words), int)).tolist()}
+
+
+def test_skip_edges():
+    assert joined([" Ekman", " the", ",", " ekman", " the", "EKMAN"]) == {(0, 3, 0), (3, 5, 0)}
+    assert joined([" Lindqvist", " Lindqvists", "Kim", " Kim"]) == {(0, 1, 1), (2, 3, 0)}
+    n = np.ones(4, int)
+    assert pii.skip_edges(n, n * 0, np.array([0, 0, 1, 1])).tolist() == [[0, 1, 0], [2, 3, 0]]
+
+
+def random_model(rng):
+    m = pii.Model.empty()
+    m.step = (pii._allowed() + rng.normal(size=m.step.shape)).astype(np.float32)
+    m.skip = rng.normal(size=m.skip.shape).astype(np.float32)
+    m.skip += m.skip.transpose(0, 2, 1)
+    return m
+
+
+def test_lattice_leaves_nothing_out():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        m = random_model(rng)
+        n = int(rng.integers(5, 120))
+        scores = rng.normal(size=(n, pii.N_LABELS), scale=2).astype(np.float32)
+        scores[:, 0] += rng.choice([3, 6, 9])
+        edges = np.array([(*sorted(rng.choice(n, 2, replace=False)), rng.integers(2)) for _ in range(4)])
+        padded = np.concatenate([np.zeros((3, pii.N_LABELS), np.float32), scores, np.zeros((3, pii.N_LABELS), np.float32)])
+        pad = np.array([True] * 3 + [False] * n + [True] * 3)
+        lattice = pii.Lattice(padded, pad, edges + [3, 3, 0], m)
+        lattice.pass_messages()
+        # the messages added, the best labels of the whole chain
+        total = (lattice._total() - lattice.bias)[3:-3]
+        assert (lattice.labels()[3:-3] == pii.best_labels(total[None], m.step, np.array([n]))[0]).all()
+
+
+def test_messages_on_a_tree_are_exact():
+    # two chains of one token each, joined by one edge, have no loop
+    rng = np.random.default_rng(5)
+    m = random_model(rng)
+    scores = rng.normal(size=(11, pii.N_LABELS)).astype(np.float32)
+    pad = np.ones(11, bool)
+    pad[[3, 7]] = False
+    scores[[3, 7], 2::2] = -50
+    lattice = pii.Lattice(scores, pad, np.array([[3, 7, 0]]), m)
+    lattice.pass_messages()
+    joint = np.zeros((pii.N_KINDS, pii.N_KINDS))
+    for a in range(pii.N_LABELS):
+        for b in range(pii.N_LABELS):
+            joint[pii._KIND[a], pii._KIND[b]] += np.exp(scores[3, a] + scores[7, b] + m.skip[0, pii._KIND[a], pii._KIND[b]])
+    assert lattice.active[[3, 7]].all() and np.allclose(lattice.pairs()[0], joint / joint.sum(), atol=1e-4)
+
+
+# Nothing here is in the package: names, what stands around them, formats.
+UNSEEN_GIVEN = "Oluwaseun Tjitske Radosław Ioanna Ruaridh Ximena Tariq Mireille Þórunn Desislava Bogdan Yosef Nilufar Cillian Maarten Xiulan Tevita Annelise Ferdinand Ludmila".split()
+UNSEEN_FAMILY = "Hollingsworth Wójcik Adebayo Terpstra Karamanlis MacAskill Cárdenas Boulanger Stoyanova Ionescu Shapiro Rahimi Fitzgerald Dijkstra Taufa Rosenqvist Weatherby Zhukova Haverkamp Duplessis".split()
+UNSEEN_CUES = ["The demo was given by our guest {}.", "Could you forward this to {}?", "On Friday {} restarted the cluster.", "Invoice issued for {}, please archive.", "We hired {} as a consultant.", "It was {} who noticed the leak.", "Waiting on a reply from {}.", "The keys are with {} downstairs.", "Slides prepared jointly with {}.", "After lunch, {} explained the cache."]
+UNSEEN_OTHER = [
+    ("phone", "fax number: {}", ["+48 22 555 01 23", "0912-345-678", "(022) 555-0134", "+41 44 555 01 23", "00 31 20 555 0123"]),
+    ("id_number", "his identity number is {}", ["85073003328", "12.345.678-5", "AK 458712", "571-97-4423", "8001015009087"]),
+    ("email", "drop a line to {} please", ["w.terpstra@post.example.nl", "ioanna_k (at) mail (dot) example", "radek AT firma DOT pl", "x9@sub.host.example"]),
+    ("address", "parcels go to {} from now on", ["ul. Polna 14, 60-535 Poznań", "Via Verdi 8, 40126 Bologna", "27 Harbour Way, Galway", "Keizersgracht 12, 1015 Amsterdam", "Rua Augusta 250, 01305 Campinas"]),
+]
+
+
+def unseen():
+    for g in UNSEEN_GIVEN:
+        for f in UNSEEN_FAMILY[::3]:
+            for cue in UNSEEN_CUES:
+                yield "name", cue.format(f"{g} {f}"), f"{g} {f}"
+    for kind, cue, values in UNSEEN_OTHER:
+        for v in values:
+            yield kind, cue.format(v), v
+
+
+def test_unseen_names_cues_and_formats(corpus):
+    *_, model = corpus
+    cases = list(unseen())
+    found = pii.Finder(model).find([t for _, t, _ in cases])
+    hit = [(k, v) in {(pii.KINDS[c], t[a:b]) for a, b, c in f} for (k, t, v), f in zip(cases, found)]
+    names = [h for h, c in zip(hit, cases) if c[0] == "name"]
+    others = [h for h, c in zip(hit, cases) if c[0] != "name"]
+    assert sum(names) / len(names) > 0.8 and sum(others) / len(others) > 0.6
+
+
+def test_learned_skips_carry_names_on(corpus):
+    # a name plain at one place, and in small letters without a plain context at another
+    *_, model = corpus
+    assert model.skip[0, 5, 5] > 0.3 and model.skip[0, 5, 5] > model.skip[0, 0, 5]
+    texts, marks = [], []
+    for _, text, name in [c for c in unseen() if c[0] == "name"][:700]:
+        text = f"Reviewed-by: {name} <x@mail.example.com>\n" + text.replace(name, name.lower())
+        at = text.rindex(name.lower())
+        texts.append(text)
+        marks.append((at, at + len(name), 4))
+    hits = lambda m: sum(g in f for g, f in zip(marks, pii.Finder(m).find(texts)))
+    assert hits(model) > 1.1 * hits(replace(model, skip=np.zeros_like(model.skip)))
 
 
 @pytest.mark.parametrize("text,want", [("mail a.b@c.example, ok", ["a.b@c.example"]), ("at 0.173 even", []), ("git@h.example.org:a/b.git", []), ("x @deco", []), ("counter 7832-340-7832", []), ("Call +44 (0)20 7946 0780.", ["+44 (0)20 7946 0780"]), ("Range 127.0.0.219", []), ("5829 Lane Detection samples", []), ("DNI nº 75415136E in", ["75415136E"]), ("build 202505153364", []), ("I live at 66 High Terrace, Townville ZV5 5BG.", ["66 High Terrace, Townville ZV5 5BG"])])
 def test_patterns(text, want):
-    assert [text[a:b] for a, b, _ in pii.labelled_patterns(text)] == want
+    assert [text[a:b] for a, b, _ in labelled_patterns(text)] == want

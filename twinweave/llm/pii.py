@@ -1,150 +1,76 @@
 """Personal details in free text, by a skip-chain conditional random field.
 
 Every text is one chain of tokens with the labels O and B/I of five kinds.
-Scores come from features of the tokens around (word, shape, prefix, suffix),
-from patterns of what mail addresses, numbers and street addresses look like, and
-from transitions. Tokens of a text that repeat, letter case aside, are joined by skip edges:
-messages are passed along the chain and over these edges, several times over, so that
-a name found where the context is plain is also found where it isn't.
-
-No text is labelled, so training uses labelling functions: the patterns, the
-cues that stand before or after names, and the given names and surnames seen
-with such cues, wherever they stand together. The sample is bounded; texts of
-held-out repositories choose the strength of the skip edges.
+Scores come from features of the tokens around (word, shape, prefix, suffix, class of
+the word, whether the collection uses it as a common word), from patterns of numbers and addresses as
+further observations, and from transitions. Tokens of a text that are equal or alike are joined
+by skip edges whose potentials are learned; messages are passed along the
+chain and over these edges, several times over, so that a name found where
+the context is plain is also found where it isn't. What is found is what the field labels.
+
+No text is labelled. Training has three sources: texts labelled by functions
+(patterns, places that name somebody in any collection, given names learned from these), the same
+texts with other names, and made texts, whose lines come from the collection
+and whose details are invented. In the last two, words and patterns are hidden at random, so that
+no detail is known by its own words or its cue alone. The sample is bounded.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
-from functools import lru_cache
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.session import spread
+from twinweave.llm.details import ANY, CLASSES, GIVEN, INITIAL, KINDS, PLAIN, STREET_END, Maker, Spans, cued_names, labelled_patterns
+from twinweave.session import draw, spread
 
-KINDS = ("email", "phone", "id_number", "address", "name")
 #: O, then B and I of each kind.
 N_LABELS = 1 + 2 * len(KINDS)
+N_KINDS = 1 + len(KINDS)
 #: Texts in the training sample, at most.
 SAMPLE = 8000
 #: Characters of a text in the training sample, at most; longer texts are searched like all others, but don't train.
-LONGEST = 200_000
-#: Buckets of hashed features, and the tokens to either side whose features count.
-BUCKETS, REACH = 1 << 14, 3
-#: Given names that a model knows, at most.
-GIVEN = 20_000
+LONGEST = 20_000
+#: Made texts.
+MADE = 6500
+#: Features of tokens that a model knows, at most, and the tokens to either side whose features count.
+FEATURES, REACH = 1 << 15, 3
+#: Given names, and common words, that a model knows, at most.
+GIVEN_NAMES, COMMON = 20_000, 50_000
 #: Rounds of messages over the skip edges.
 ROUNDS = 3
-#: Strengths of the skip edges to choose from.
-STRENGTHS = (0.0, 0.5, 1.0, 2.0)
-
-_TOKEN = re.compile(r"\w+|[^\w\s]|\r?\n")
-
-_CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
-_TOWN_WORD = r"[A-ZÀ-ÖØ-Þ][a-zß-ÿ'’]+"
-_CITY = rf"{_TOWN_WORD}(?:[ -]{_TOWN_WORD})?"
-# Words for streets and units, and titles of official numbers, by language.
-_STREET_EN = r"Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Court|Ct|Crescent|Close|Mews|Terrace|Drive|Dr|Way|Place|Square|Row|Hill|Gardens|Grove|Park"
-_STREET_DE = r"(?:straße|strasse|str\.|gasse|platz|weg|allee|ring|damm|ufer)"
-_STREET_FR = r"rue|avenue|allée|chemin|boulevard|bd|impasse|place|quai|cours|route|passage|square"
-_STREET_ES = r"Calle|C/|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|Camino|Ronda|Travesía"
-_UNIT = r"(?:,?[ \t](?:#[ ]?\w+|(?:Apt|Unit|Suite|Ste|Flat|Floor|Fl|Room)\.?[ ]\w+))?"
-_AFTER = r"(?:,[ \t]*|[ \t]*\r?\n[ \t]*)"
-_POSTCODE = r"(?:,?[ ][A-Z]{2}[ ]\d{5}|[ ][A-Z]{1,2}\d\w?[ ]\d[A-Z]{2}|[ ]\d{5})"
-_EN_TOWN = rf"(?:,[ \t]*{_CITY}{_POSTCODE}?|{_AFTER}{_CITY}{_POSTCODE})?"
-_CODE_TOWN = rf"(?:{_AFTER}\d{{4,5}}[ ]{_CITY})?"
-_ADDRESS = re.compile(
-    rf"(?<![\w.#/])(?:"
-    rf"\d{{1,5}}\w?[ ](?:{_CAP}[ ]){{1,3}}(?:{_STREET_EN})\b(?:\.(?=,))?{_UNIT}{_EN_TOWN}"
-    rf"|(?:\d{{4,5}}[ ]{_CITY},[ ])?[A-ZÄÖÜ][\wäöüß-]*{_STREET_DE}[ ]\d+[ ]?[a-z]?\b{_CODE_TOWN}"
-    rf"|\d+(?:[ ](?:bis|ter|quater))?,?[ ](?:{_STREET_FR})[ ](?:(?:de[ ]la|de[ ]l['’]|du|des|de|d['’])[ ]?)?{_CAP}(?:[ ]{_CAP})*{_CODE_TOWN}"
-    rf"|(?:{_STREET_ES})[ ](?:(?:de[ ]la|del|de[ ]las|de[ ]los|de)[ ])?{_CAP}(?:[ ]{_CAP})*,?[ ]\d+(?:,[ ]\d+º[ ]?[A-Z]?)?{_CODE_TOWN}"
-    rf")"
-)
-_DOT = r"(?:\.|[ ]?[\[(][ ]?(?:dot|punkt|point|punto)[ ]?[\])][ ]?|[ ](?:dot|punkt)[ ])"
-_AT = r"(?:@|[ ]?[\[(][ ]?(?:at|@)[ ]?[\])][ ]?)"
-_EMAIL = re.compile(rf"(?<![\w@/.+-])[A-Za-z0-9](?:[\w.+-]*[\w+])?(?:{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}|[ ]at[ ][A-Za-z0-9-]+(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]+)*[ ]dot[ ][A-Za-z]{{2,}})(?![\w:/])")
-_NOT_EMAIL = re.compile(r"^git@|@\d+x\.|@\d+\.\d+|\.(?:png|jpe?g|svg|gif|webp|git)$", re.I)
-_PHONE = re.compile(
-    r"(?<![\w.+/#=-])(?:\+\d{1,3}[ .-]?(?:\(0\)[ ]?)?\d[\d .()/-]{5,14}\d|\(\d{3}\)[ ]?\d{3}[-. ]\d{4}|(?:1[-. ])?\d{3}[-.]\d{3}[-.]\d{4}|\(?0\d{2,4}\)?[ /]\d{3,4}[ ]?\d{2,4}(?:[ ]?\d{2,3})?|0\d{2}[ /]\d{5,8}|0\d(?:[ .]\d{2}){4}|00\d{2}[ ]\d(?:[ ]\d{2}){4}|0\d{4}[ ]\d{6})"
-    r"(?:,?[ ](?:ext\.?|x|extension|Durchwahl|poste)[ ]?\d{1,6})?(?![\w/-]|\.\d)"
-)
-_ID_TITLE = r"(?:SSN|social security(?: number)?|NI number|NINO|national insurance(?: no\.?| number)?|passport(?: number| no\.?)?|Reisepass(?:nummer)?|pasaporte|passeport|DNI|NIE|NIF|tax id|Steuer-?ID|Steueridentifikationsnummer|Personalausweis(?:nummer)?|INSEE|numéro de sécurité sociale)"
-_ID = re.compile(
-    rf"(?<![\w.#/=-])(?:\d{{3}}[- ]\d{{2}}[- ]\d{{4}}|[A-Z]{{2}}[ ]?\d{{2}}[ ]?\d{{2}}[ ]?\d{{2}}[ ]?[A-D]|\d{{8}}-?[A-Z]|[XYZ]-?\d{{7}}-?[A-Z]|(?i:(?<=[ ])(?<!\bAT-))[A-Z]{{1,2}}\d{{6,8}}|\d{{2}}[ ]\d{{3}}[ ]\d{{3}}[ ]\d{{3}}|\d{{11}})(?![\w-]|\.\d)"
-)
-_ID_CUE = re.compile(rf"(?i:\b{_ID_TITLE})(?:[ ]?(?:#|nº|no\.|n°|:|number))*(?:[ ](?:is|ist|es|est|lautet))?[ :]*$")
-
-_ANY = r"[^\W\d_][^\W\d_'’]*(?:[-'’][^\W\d_]+)*"
-_INITIAL = r"[^\W\d_]\."
-_NAME = rf"(?:{_ANY},[ ]{_ANY}(?:[ ]{_INITIAL})?|(?:{_ANY}|{_INITIAL})(?:[ ]{_INITIAL})?[ ]{_ANY})"
-# What stands before and after names in messages of the supported languages.
-_BEFORE = (
-    "Found by", "Reviewed-by:", "Signed-off-by:", "Co-authored-by:", "Acked-by:", "Tested-by:", "Reported-by:", "cc", "thanks", "talked with", "Signalé par", "Demander à", "Trouvé par", "Visto por", "Preguntar a", "Gefunden von",
-    "Contact for this module:", "Postal contact:", "Parcel label in the sample:", "Post an", "Courrier :", "Correo postal:", '"name": "',
-)
-_CUED = [re.compile(rf"(?:(?<=\s)|(?<=^)|(?<=[\[({{]))(?:{'|'.join(map(re.escape, _BEFORE))})[ ]?({_NAME})(?=[\s.,;!?<\"]|$)"), re.compile(rf"(?:(?<=Bitte )({_NAME})(?= fragen))|({_NAME})(?= asked for a second look)")]
-
-
-class Spans:
-    """Spans of a text that don't overlap, in order."""
-
-    def __init__(self, spans: Sequence[tuple[int, int, int]] = ()) -> None:
-        self.all = sorted(spans)
-
-    def meeting(self, a: int, b: int) -> list[tuple[int, int, int]]:
-        """The spans that share a character with a to b."""
-        i = bisect_left(self.all, (a,))
-        if i and self.all[i - 1][1] > a:
-            i -= 1
-        j = i
-        while j < len(self.all) and self.all[j][0] < b:
-            j += 1
-        return self.all[i:j]
-
-    def add(self, a: int, b: int, kind: int) -> None:
-        """Add a span if it meets no other."""
-        if a < b and not self.meeting(a, b):
-            insort(self.all, (a, b, kind))
-
-
-def labelled_patterns(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of what looks like a mail address, number or street address; they don't overlap, earlier kinds go first."""
-    found = Spans()
-    if "@" in text or "at" in text:
-        for m in _EMAIL.finditer(text):
-            if not _NOT_EMAIL.search(m.group()):
-                found.add(m.start(), m.end(), 0)
-    for m in _ADDRESS.finditer(text):
-        found.add(m.start(), m.end(), 3)
-    for m in _ID.finditer(text):
-        if _ID_CUE.search(text[max(0, m.start() - 60) : m.start()]) or re.fullmatch(r"\d{3}-\d{2}-\d{4}", m.group()):
-            found.add(m.start(), m.end(), 2)
-    for m in _PHONE.finditer(text):
-        found.add(m.start(), m.end(), 1)
-    return found.all
-
-
-def cued_names(text: str) -> list[tuple[int, int]]:
-    """The names that a cue points to."""
-    out = []
-    for p in _CUED:
-        for m in p.finditer(text):
-            g = 1 if m.group(1) else 2
-            out.append(m.span(g))
-    return out
-
-
-def tokens_of(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text)]
+#: Tokens of a chain in training, which is cut at line ends; in use no chain is cut.
+PIECE = 80
+
+#: A token, with the blank before it, or other white space; they cover a text.
+_TOKEN = re.compile(r"[ \t]?(?:\w+|[^\w\s]|\r?\n)|\s")
+#: Marks a token whose word is hidden, and one of which it isn't known either whether it is a common word.
+_HIDDEN, _STRANGE = "\0", "\1"
+#: Kind of each label, 0 for O.
+_KIND = np.array([0, *[1 + i // 2 for i in range(2 * len(KINDS))]])
+_BY_KIND = np.eye(N_KINDS, dtype=np.float32)[_KIND]
+
+
+def tokens_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Tokens with the blank before them, where they start without it, and where they end."""
+    keys = _TOKEN.findall(text)
+    n = len(keys)
+    size = np.fromiter(map(len, keys), np.int64, n)
+    end = np.cumsum(size)
+    size -= np.fromiter([k[0] in " \t" for k in keys], bool, n)
+    blank = np.fromiter([k[-1] != "\n" and k.isspace() for k in keys], bool, n)
+    if blank.any():
+        on = ~blank
+        keys = [k for k, x in zip(keys, on) if x]
+        size, end = size[on], end[on]
+    return keys, end - size, end
 
 
 def _shape(w: str) -> str:
@@ -152,43 +78,93 @@ def _shape(w: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", s) if len(s) > 2 else s
 
 
-@lru_cache(maxsize=1 << 17)
-def token_features(w: str) -> tuple[int, ...]:
-    """Hashed features of a token by itself."""
+N_FEATURES = 9
+
+
+def token_features(key: str, given: frozenset[str], common: frozenset[str]) -> tuple[str, ...]:
+    """Features of a token by itself."""
+    hidden, strange = key[0] in _HIDDEN + _STRANGE, key[0] == _STRANGE
+    key = key[1:] if hidden else key
+    spaced = key[0] in " \t"
+    w = key[1:] if spaced else key
     low = w.lower()
     digits = sum(c.isdigit() for c in w)
-    raw = (f"w={low if not digits else re.sub(r'[0-9]', '0', low)[:10]}", f"s={_shape(w)}", f"p={low[:3]}", f"e={low[-3:]}", f"f={low[-4:]}", f"l={min(len(w), 12)}{w[:1].isupper()}{w.isupper()}{digits > 0}")
-    return tuple(zlib.crc32(f.encode()) & (BUCKETS - 1) for f in raw)
+    case = "U" if len(w) > 1 and w.isupper() else "C" if w[:1].isupper() else "l" if w[:1].islower() else "0" if digits else "x"
+    classes = CLASSES.get(low, "") + ("Gi" if low in given and not hidden else "") + ("Se" if STREET_END.fullmatch(low) else "")
+    known = "y" if low in common and not strange else "n"
+    word = "?" if hidden and case != "x" else low if not digits else re.sub(r"[0-9]", "0", low)[:10]
+    return (
+        f"w={word}", f"s={_shape(w)}", f"p={'?' if hidden else low[:3]}", f"e={'?' if hidden else low[-3:]}", f"l={min(len(w), 12)}{case}{digits > 0}",
+        f"k={known}{case}", f"c={classes}{case}", f"b={spaced}{case}{w if case == 'x' else ''}", f"d={min(digits, 9)}{digits == len(w)}{spaced}",
+    )
+
+
+#: Classes of tokens of which three in a row are a feature; 0 is the space between texts.
+N_CLASSES = 16
+
+
+def token_class(key: str, given: frozenset[str], common: frozenset[str]) -> int:
+    """Break, punctuation, number, initial, or word, by its letter case and whether it is a common word or a given name."""
+    hidden = key[0] in _HIDDEN + _STRANGE
+    w = key.lstrip(_HIDDEN + _STRANGE + " \t")
+    if not w or not w[0].isalnum():
+        return 1 if key.endswith("\n") else {".": 2, ",": 3, ":": 4, "<": 5, "@": 5, "-": 6}.get(w, 7)
+    if w[0].isdigit():
+        return 8
+    low = w.lower()
+    if low in common and key[0] != _STRANGE:
+        return 10 if w[0].isupper() else 9
+    if len(w) == 1:
+        return 11
+    if w[0].islower() or not w.isalpha():
+        return 15 if low in given and not hidden else 12
+    return 15 if low in given and not hidden else 14 if w.isupper() else 13
 
 
-def _codes(spans: Sequence[tuple[int, int]], marks: Sequence[tuple[int, int, int]]) -> np.ndarray:
+def _grams(c: np.ndarray) -> list[np.ndarray]:
+    """Three classes in a row, up to each token, around it and from it on."""
+    p = np.concatenate([[0, 0], c, [0, 0]]).astype(np.int64)
+    n = len(c)
+    code = lambda a: (p[a : a + n] * N_CLASSES + p[a + 1 : a + 1 + n]) * N_CLASSES + p[a + 2 : a + 2 + n]
+    return [code(0), code(1), code(2)]
+
+
+def _codes(start: np.ndarray, end: np.ndarray, marks: Sequence[tuple[int, int, int]]) -> np.ndarray:
     """The label of each token of marked pieces of text."""
-    out = np.zeros(len(spans), np.int8)
-    i = 0
+    out = np.zeros(len(start), np.int8)
     for a, b, k in marks:
-        while i < len(spans) and spans[i][1] <= a:
-            i += 1
-        first = True
-        while i < len(spans) and spans[i][0] < b:
-            out[i] = 1 + 2 * k + (not first)
-            first = False
-            i += 1
+        i, j = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
+        if i < j:
+            out[i:j] = 2 + 2 * k
+            out[i] = 1 + 2 * k
     return out
 
 
 @dataclass
 class Model:
-    """token: (2 * REACH + 1, BUCKETS, labels); pattern: (3, labels, labels) of the marks before, at and after a token; step: transitions; skip: strength of skip edges; given: given names seen with cues, at most GIVEN."""
+    """token: (2 * REACH + 1, features, labels), features numbered by ``features`` (at most FEATURES; 0 is that of all unknown ones and weighs nothing); pattern: (3, labels, labels) of the marks before, at and after a token; step: transitions.
+
+    gram: (3, classes ** 3, labels) of three classes in a row. skip: potentials of the two sorts of skip edges (equal, alike) by the kinds at their ends; given and common: words the collection
+    uses as given names and as common words, at most GIVEN_NAMES and COMMON.
+    """
 
     token: np.ndarray
     pattern: np.ndarray
     step: np.ndarray
-    skip: float = 0.0
+    gram: np.ndarray
+    skip: np.ndarray = field(default_factory=lambda: np.zeros((2, N_KINDS, N_KINDS), np.float32))
     given: frozenset[str] = frozenset()
+    common: frozenset[str] = frozenset()
+    features: dict[str, int] = field(default_factory=dict)
+
+    def numbers(self, key: str) -> list[int]:
+        """Of a token's features."""
+        return [self.features.get(f, 0) for f in token_features(key, self.given, self.common)]
 
     @classmethod
-    def empty(cls) -> Model:
-        return cls(np.zeros((2 * REACH + 1, BUCKETS, N_LABELS), np.float32), np.zeros((3, N_LABELS, N_LABELS), np.float32), _allowed())
+    def empty(cls, given: frozenset[str] = frozenset(), common: frozenset[str] = frozenset(), features: dict[str, int] | None = None) -> Model:
+        features = features or {}
+        return cls(np.zeros((2 * REACH + 1, len(features) + 1, N_LABELS), np.float32), np.zeros((3, N_LABELS, N_LABELS), np.float32), _allowed(), np.zeros((3, N_CLASSES**3, N_LABELS), np.float32), given=given, common=common, features=features)
 
 
 def _allowed() -> np.ndarray:
@@ -208,40 +184,49 @@ class Coder:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.ids: dict[str, int] = {}
-        self.table = np.empty((1024, *model.token.shape[::2]), np.float32)
-
-    def _ids(self, words: list[str]) -> np.ndarray:
-        ids, token = self.ids, self.model.token
-        if len(ids) > self.LIMIT:
-            ids.clear()
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            n = ids.get(w)
+        self.table = np.zeros((1024, *model.token.shape[::2]), np.float32)
+        self.classes = np.zeros(1024, np.int64)
+        #: numbers of the words and stems of skip edges
+        self.joined = np.zeros((2, 1024), np.int64)
+        self.names: dict[str, int] = {"": 0}
+
+    def encode(self, keys: list[str]) -> np.ndarray:
+        """Ids of tokens; 0 is that of the space between texts."""
+        ids, model = self.ids, self.model
+        out = np.empty(len(keys), np.int64)
+        for i, key in enumerate(keys):
+            n = ids.get(key)
             if n is None:
-                n = ids[w] = len(ids)
+                n = ids[key] = len(ids) + 1
                 if n == len(self.table):
-                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                self.table[n] = token[:, list(token_features(w))].sum(1)
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                    self.classes = np.concatenate([self.classes, np.zeros_like(self.classes)])
+                    self.joined = np.concatenate([self.joined, np.zeros_like(self.joined)], 1)
+                self.classes[n] = token_class(key, model.given, model.common)
+                self.joined[:, n] = [self.names.setdefault(x, len(self.names)) for x in skip_words(key, model.common)]
+                self.table[n] = model.token[:, model.numbers(key)].sum(1)
             out[i] = n
         return out
 
-    def scores(self, words: list[str], codes: np.ndarray) -> np.ndarray:
-        """(tokens, labels)."""
-        ids = self._ids(words)
-        n = len(words)
-        out = np.zeros((n, N_LABELS), np.float32)
+    def forget(self) -> None:
+        """Between batches: bound what is remembered."""
+        if len(self.ids) > self.LIMIT:
+            self.ids.clear()
+            self.names = {"": 0}
+
+    def scores(self, ids: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(tokens, labels) of texts one after the other, REACH ids of 0 before, between and after them."""
+        n = len(ids)
+        model = self.model
+        out = model.pattern[1][codes]
+        out[1:] += model.pattern[0][codes[:-1]]
+        out[:-1] += model.pattern[2][codes[1:]]
+        for gram, at in zip(model.gram, _grams(self.classes[ids])):
+            out += gram[at]
         for o in range(-REACH, REACH + 1):
             a, b = max(0, -o), min(n, n - o)
-            if a < b:
-                out[a:b] += self.table[ids[a + o : b + o], o + REACH]
-        return out + pattern_scores(self.model, codes)
-
-
-def pattern_scores(model: Model, codes: np.ndarray) -> np.ndarray:
-    out = model.pattern[1][codes].copy()
-    out[1:] += model.pattern[0][codes[:-1]]
-    out[:-1] += model.pattern[2][codes[1:]]
-    return out
+            out[a:b] += self.table[ids[a + o : b + o], o + REACH]
+        return out
 
 
 def marginals(scores: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -300,329 +285,507 @@ def best_labels(scores: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> li
     return out
 
 
-def skip_edges(words: list[str]) -> list[tuple[int, int]]:
-    """Pairs of successive places of a word that may be part of a name or number: a number of edges linear in the text."""
-    last: dict[str, int] = {}
-    edges = []
-    for i, w in enumerate(words):
-        if len(w) >= 4 and (w[0].isupper() or w[0].isdigit()) or len(w) >= 5 and w.isalpha() and w.lower() in last:
-            low = w.lower()
-            if low in last:
-                edges.append((last[low], i))
-            last[low] = i
-    return edges
+def skip_words(key: str, common: frozenset[str]) -> tuple[str, str]:
+    """The word and the stem by which a token is joined with others, letter case aside: common words, single characters and punctuation by none, short words by no stem."""
+    low = key.strip(" \t" + _HIDDEN + _STRANGE).lower()
+    if len(low) < 2 or not (low[0].isalnum() or low[0] == "_") or low in common:
+        return "", ""
+    return low, low[:5] if len(low) >= 5 else ""
 
 
-def _kind_of_label() -> np.ndarray:
-    return np.array([0, *[1 + i // 2 for i in range(2 * len(KINDS))]])
+def skip_edges(words: np.ndarray, stems: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """(token, token, sort) of successive places in a text of equal words (0) and of other words of one stem (1); number 0 is no word or stem.
+
+    At most two edges per token, however often it stands.
+    """
+    out = []
+    for sort, of in enumerate((words, stems)):
+        at = np.flatnonzero(of)
+        at = at[np.lexsort((at, text[at], of[at]))]
+        a, b = at[:-1], at[1:]
+        on = (of[a] == of[b]) & (text[a] == text[b])
+        if sort:
+            on &= words[a] != words[b]
+        out.append(np.stack([a[on], b[on], np.full(on.sum(), sort)], 1))
+    return np.concatenate(out)
+
+
+class Lattice:
+    """Chains of texts one after the other, cut down, without loss, to the regions that can hold details.
+
+    A token is left out if no run of tokens around it, whatever its labels, transitions and messages,
+    can score above the same run labelled O: then the best labelling has O there. For messages
+    such tokens count as O.
+    """
 
+    def __init__(self, scores: np.ndarray, pad: np.ndarray, edges: np.ndarray, model: Model) -> None:
+        step = model.step
+        self.model, self.scores = model, scores
+        inner = step.copy()
+        inner[inner <= -15] = -np.inf
+        into, out_of = float(inner[:, 1:].max() - step[0, 0]), float(inner[1:, 0].max() - step[0, 0])
+        u = (scores[:, 1:].max(1) - scores[:, 0]).astype(np.float64) + into
+        # the most that a message can speak for a detail
+        helps = np.maximum(0, (model.skip[:, :, 1:] - model.skip[:, :, :1]).max((1, 2)))
+        for end in (0, 1):
+            np.add.at(u, edges[:, end], helps[edges[:, 2]])
+        u[pad] = -1e4
+        ending = np.cumsum(u)
+        ending -= np.minimum.accumulate(np.concatenate([[0.0], ending[:-1]]))
+        back = u[::-1]
+        starting = np.cumsum(back)
+        starting -= np.minimum.accumulate(np.concatenate([[0.0], starting[:-1]]))
+        self.active = (ending + starting[::-1] - u + max(0.0, out_of) > 0) & ~pad
+        edge = np.diff(np.concatenate([[0], self.active.astype(np.int8), [0]]))
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        order = np.argsort(b - a, kind="stable")
+        self.first, self.length = a[order], (b - a)[order]
+        # borders are O on both sides unless the text ends there
+        n = len(scores)
+        self.bias = np.zeros_like(scores)
+        left, right = self.first[(self.first > 0) & ~pad[np.maximum(self.first - 1, 0)]], (self.first + self.length)[(self.first + self.length < n) & ~pad[np.minimum(self.first + self.length, n - 1)]] - 1
+        self.bias[left] += step[0]
+        self.bias[right] += step[:, 0]
+        self.edges = edges[self.active[edges[:, 0]] | self.active[edges[:, 1]]] if len(edges) else edges
+        self.messages = np.zeros((2 * len(self.edges), N_KINDS), np.float32)
+
+    def _groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, padded to the longest; which of them count; lengths) of regions of about one length."""
+        i = 0
+        while i < len(self.first):
+            j = int(np.searchsorted(self.length, max(self.length[i] * 1.5, 8), "right"))
+            j = min(j, i + max(1, 200_000 // int(self.length[j - 1])))
+            size = self.length[i:j]
+            at = self.first[i:j, None] + np.arange(size.max())[None, :]
+            yield np.minimum(at, len(self.scores) - 1), np.arange(size.max())[None, :] < size[:, None], size
+            i = j
+
+    def _total(self) -> np.ndarray:
+        total = self.scores + self.bias
+        if len(self.edges):
+            # message 2n goes to the second token of edge n, message 2n + 1 to its first
+            np.add.at(total, self.edges[:, 1], self.messages[0::2][:, _KIND])
+            np.add.at(total, self.edges[:, 0], self.messages[1::2][:, _KIND])
+        return total
+
+    def _beliefs(self) -> tuple[np.ndarray, np.ndarray]:
+        """By directed message: what its sender believes without the receiver's own message, as kinds."""
+        kinds = np.zeros((len(self.scores), N_KINDS), np.float32)
+        kinds[:, 0] = 1
+        total = self._total()
+        for at, on, size in self._groups():
+            p, _, _ = marginals(total[at], self.model.step, size)
+            kinds[at[on]] = p[on] @ _BY_KIND
+        told = self.messages
+        out = []
+        for sender, back in ((self.edges[:, 0], told[1::2]), (self.edges[:, 1], told[0::2])):
+            live = self.active[sender][:, None]
+            cavity = np.log(np.maximum(kinds[sender], 1e-12)) - np.where(live, back, 0)
+            cavity = np.exp(cavity - cavity.max(1, keepdims=True))
+            out.append(cavity / cavity.sum(1, keepdims=True))
+        return out[0], out[1]
+
+    def pass_messages(self, rounds: int = ROUNDS) -> None:
+        if not len(self.edges) or not self.model.skip.any():
+            return
+        potential = np.exp(self.model.skip)[self.edges[:, 2]]
+        for _ in range(rounds):
+            a, b = self._beliefs()
+            self.messages[0::2] = np.log(np.einsum("nk,nkl->nl", a, potential))
+            self.messages[1::2] = np.log(np.einsum("nk,nlk->nl", b, potential))
+            self.messages -= self.messages[:, :1]
+
+    def pairs(self) -> np.ndarray:
+        """(edges, kinds, kinds): beliefs of the kinds at both ends."""
+        a, b = self._beliefs()
+        p = a[:, :, None] * b[:, None, :] * np.exp(self.model.skip)[self.edges[:, 2]]
+        return p / p.sum((1, 2), keepdims=True)
+
+    def labels(self) -> np.ndarray:
+        out = np.zeros(len(self.scores), np.int8)
+        total = self._total()
+        for at, on, size in self._groups():
+            for row, found in zip(at, best_labels(total[at], self.model.step, size)):
+                out[row[: len(found)]] = found
+        return out
 
-def add_skips(scores: np.ndarray, lengths: np.ndarray, edges: Sequence[tuple[int, int, int, int]], step: np.ndarray, strength: float, rounds: int = ROUNDS) -> None:
-    """Add the last messages over skip edges (chain, token, chain, token) of padded chains (chains, tokens, labels) to their scores.
 
-    A skip edge favours equal kinds at its ends; O favours nothing, since a common word may also be part of a name.
-    """
-    if not len(edges) or not strength:
-        return
-    # messages 2n and 2n + 1 are those of edge n, one each way
-    ends = np.array([e for a, i, b, j in edges for e in ((a, i, b, j), (b, j, a, i))], np.int64)
-    to = (ends[:, 2], ends[:, 3])
-    back = np.arange(len(ends)) ^ 1
-    kind = _kind_of_label()
-    gain = np.expm1(strength)
-    messages = np.zeros((len(ends), N_LABELS), np.float32)
-    for _ in range(rounds):
-        total = scores.copy()
-        np.add.at(total, to, messages)
-        p, _, _ = marginals(total, step, lengths)
-        # what the sender believes without what the receiver told it
-        cavity = np.log(np.maximum(p[ends[:, 0], ends[:, 1]], 1e-12)) - messages[back]
-        cavity = np.exp(cavity - cavity.max(1, keepdims=True))
-        cavity /= cavity.sum(1, keepdims=True)
-        by_kind = np.zeros((len(ends), len(KINDS) + 1), np.float32)
-        for c in range(N_LABELS):
-            by_kind[:, kind[c]] += cavity[:, c]
-        by_kind[:, 0] = 0
-        messages = np.log1p(gain * by_kind)[:, kind].astype(np.float32)
-    np.add.at(scores, to, messages)
+_OUTSIDE = "\"'“”‘’<>[]{},;:!?*_`|/-"
 
 
 def _fixed_ends(text: str, a: int, b: int) -> tuple[int, int]:
-    """A span without punctuation around it."""
-    while a < b and (text[a].isspace() or text[a] in "\"'“”‘’<>()[]{},;:.!?*_`|/-"):
-        if text[a] == "(" and re.match(r"\(\d+\)", text[a:b]):
-            break
+    """A span without blanks and punctuation around it."""
+    while a < b and (text[a].isspace() or text[a] in _OUTSIDE or text[a] in ").") and not (text[a] == "("):
         a += 1
-    while a < b and (text[b - 1].isspace() or text[b - 1] in "\"'“”‘’<>([{},;:!?*_`|/-") or text[a:b].endswith((")", "]")) and text.count(text[b - 1], a, b) > text.count("(" if text[b - 1] == ")" else "[", a, b):
+    while a < b and (text[b - 1].isspace() or text[b - 1] in _OUTSIDE + "(" or text[b - 1] == ")" and text.count(")", a, b) > text.count("(", a, b)):
         b -= 1
+    if text[a : a + 1] == "(" and ")" not in text[a:b]:
+        a += 1
     if b > a and text[b - 1] == "." and not re.search(r"(?:\b[^\W\d_]|St|Ave|Rd|Blvd|str)\.$", text[a:b]):
         b -= 1
     return a, b
 
 
-_WHOLE_NAME = re.compile(rf"{_NAME}")
-_LEFT_OF_NAME = re.compile(rf"(?:(?:{_ANY}|{_INITIAL})[ ])?(?:{_INITIAL}[ ])?$")
-
-
-def checked_name(text: str, a: int, b: int, given: frozenset[str] = frozenset()) -> tuple[int, int] | None:
-    """A name's span made whole: one line, with the rest of a hyphenated part and, for a surname alone, what precedes it; None if two parts can't be found."""
-    if re.search(r"[ ][^\W\d_]$", text[a:b]) and (m := re.match(rf"\.[ ]{_ANY}", text[b : b + 40])):
-        b += m.end()
-    if m := re.match(rf"-{_ANY}", text[b : b + 40]):
-        b += m.end()
-    piece = re.split(r"[\r\n]", text[a:b])
-    if len(piece) > 1:
-        longest = max(piece, key=len)
-        a = text.index(longest, a)
-        b = a + len(longest)
-    if re.fullmatch(rf"{_NAME}", text[a:b]) and not re.match(rf"{_INITIAL}[ ]", text[a:b]):
-        first = re.match(_ANY, text[a:b])
-        if given and first and re.match(rf"{_ANY}[ ]{_INITIAL}[ ]", text[a:b]) and first.group().lower() not in given:
-            a += first.end() + 1
-        return a, b
-    if re.fullmatch(rf"{_ANY}", text[a:b]) and (m := re.match(rf",[ ]({_ANY})(?=[\s.,;]|$)", text[b : b + 40])) and m.group(1)[0].isupper():
-        return a, b + m.end()
-    # an initial in front may be all there is of the given name, or follow it
-    if (m := _LEFT_OF_NAME.search(text, max(0, a - 30), a)) and m.group() and (m.group()[0].isupper() or re.fullmatch(rf"{_ANY}", text[a:b])):
-        start = m.start()
-        word = re.match(_ANY, text[start:a])
-        if word and re.search(rf"[ ]{_INITIAL}[ ]", text[start:b]) and given and word.group().lower() not in given:
-            start += word.end() + 1  # a word before an initial is part of the name only if it is a given name
-        left = text[start:b]
-        if re.fullmatch(rf"{_NAME}", left) and (re.match(_INITIAL, left) or left[0].isupper()):
-            return start, b
-    return (a, b) if re.fullmatch(rf"{_NAME}", text[a:b]) else None
-
-
-def decoded(text: str, spans: Sequence[tuple[int, int]], labels: np.ndarray, marks: Sequence[tuple[int, int, int]] = (), given: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of the labelled pieces of a text, their ends checked.
-
-    A piece that meets a marked pattern of its kind is that pattern, whole.
-    """
+def decoded(text: str, start: np.ndarray, end: np.ndarray, labels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the labelled pieces of a text, without punctuation at their ends; a name that hasn't two parts is left out."""
     out: list[tuple[int, int, int]] = []
     n = len(labels)
-    marked = Spans(marks)
     for i in np.flatnonzero(labels % 2 == 1):
         k = int(labels[i] - 1) // 2
         j = i + 1
         while j < n and labels[j] == labels[i] + 1:
             j += 1
-        a, b = spans[i][0], spans[j - 1][1]
-        same = [m for m in marked.meeting(a, b) if m[2] == k]
-        if same:
-            out += same
+        a, b = _fixed_ends(text, int(start[i]), int(end[j - 1]))
+        if k == 4 and len(re.findall(r"[^\W\d_]+", text[a:b])) < 2:
             continue
-        a, b = _fixed_ends(text, a, b)
-        if k == 4:
-            whole = checked_name(text, a, b, given) if a < b else None
-            if whole is None:
-                continue
-            a, b = whole
         if a < b:
             out.append((a, b, k))
-    # pieces that have grown into each other: the longer one stays
-    kept = Spans()
-    for x in sorted(set(out), key=lambda x: x[0] - x[1]):
-        kept.add(*x)
-    return kept.all
+    return out
+
+
+class Texts:
+    """Texts one after the other as the model sees them, REACH empty places before, between and after."""
+
+    def __init__(self, texts: Sequence[str], hide=None, marks: Sequence[list[tuple[int, int, int]]] | None = None) -> None:
+        """hide(keys, codes), where given, hides words and patterns of a text; marks give gold labels."""
+        self.spans: list[tuple[np.ndarray, np.ndarray]] = []
+        self.keys: list[list[str]] = []
+        codes, gold = [], []
+        self.at: list[int] = []
+        at = REACH
+        for n, text in enumerate(texts):
+            keys, start, end = tokens_of(text)
+            code = _codes(start, end, labelled_patterns(text))
+            if marks is not None:
+                gold.append(_codes(start, end, marks[n]))
+            if hide:
+                keys, code = hide(keys, code)
+            self.spans.append((start, end))
+            self.keys.append(keys)
+            codes.append(code)
+            self.at.append(at)
+            at += len(keys) + REACH
+        self.n = at
+        self.codes, self.gold, self.pad = np.zeros(at, np.int8), np.zeros(at, np.int8), np.ones(at, bool)
+        for a, code in zip(self.at, codes):
+            self.codes[a : a + len(code)] = code
+            self.pad[a : a + len(code)] = False
+        for a, g in zip(self.at, gold):
+            self.gold[a : a + len(g)] = g
+
+    def edges(self, coder: Coder, ids: np.ndarray) -> np.ndarray:
+        text = np.zeros(self.n, np.int64)
+        text[self.at[1:]] = 1
+        return skip_edges(*coder.joined[:, ids], np.cumsum(text))
+
+    def ids(self, encode) -> np.ndarray:
+        out = np.zeros(self.n, np.int64)
+        for a, keys in zip(self.at, self.keys):
+            out[a : a + len(keys)] = encode(keys)
+        return out
 
 
 class Finder:
     """Finds personal details with a model."""
 
-    #: Tokens of one batch of chains, and of one chain of a longer text.
-    BATCH, SEGMENT = 20_000, 2000
+    #: Characters of texts that are looked at together, unless one text has more.
+    BATCH = 500_000
 
     def __init__(self, model: Model) -> None:
         self.coder = Coder(model)
 
-    def _long(self, words: list[str], codes: np.ndarray, scores: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
-        """The labels of a long text, whose chain is cut at line or sentence ends outside marked pieces; skip edges go across the cuts."""
-        starts = [0]
-        while len(words) - starts[-1] > self.SEGMENT:
-            end = starts[-1] + self.SEGMENT
-            free = [i for i in range(end, end - self.SEGMENT // 2, -1) if not codes[i - 1] and not codes[i]]
-            cut = next((i for i in free if words[i - 1].endswith("\n")), None) or next((i for i in free if words[i - 1] in ".!?"), None)
-            starts.append(cut or (free[0] if free else end))
-        lengths = np.diff([*starts, len(words)])
-        padded = np.zeros((len(starts), lengths.max(), N_LABELS), np.float32)
-        for c, (a, n) in enumerate(zip(starts, lengths)):
-            padded[c, :n] = scores[a : a + n]
-        at = np.searchsorted(starts, np.array(edges, np.int64).reshape(-1, 2), side="right") - 1
-        model = self.coder.model
-        add_skips(padded, lengths, [(a, i - starts[a], b, j - starts[b]) for (i, j), (a, b) in zip(edges, at.tolist())], model.step, model.skip)
-        return np.concatenate(best_labels(padded, model.step, lengths))
-
     def find(self, texts: Sequence[str]) -> list[list[tuple[int, int, int]]]:
-        model = self.coder.model
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        todo = []
-        for n, text in enumerate(texts):
-            spans = tokens_of(text) if text else []
-            if not spans:
-                continue
-            words = [text[a:b] for a, b in spans]
-            marks = labelled_patterns(text)
-            scores = self.coder.scores(words, _codes(spans, marks))
-            edges = skip_edges(words) if model.skip else []
-            # edges between tokens that are both surely outside say nothing
-            edges = [e for e in edges if max((scores[i, 1:] - scores[i, 0]).max() for i in e) > -4]
-            if len(spans) > self.SEGMENT:
-                labels = self._long(words, _codes(spans, marks), scores, edges)
-                out[n] = decoded(text, spans, labels, marks, model.given)
-                continue
-            todo.append((len(spans), n, spans, scores, marks, edges))
-        # chains with and without edges apart, each by length
-        todo.sort(key=lambda x: (bool(x[5]), x[0]))
-        at = 0
-        while at < len(todo):
-            end = at + 1
-            while end < len(todo) and todo[end][0] * (end + 1 - at) <= self.BATCH and bool(todo[end][5]) == bool(todo[at][5]):
-                end += 1
-            part = todo[at:end]
-            lengths = np.array([x[0] for x in part])
-            padded = np.zeros((len(part), lengths.max(), N_LABELS), np.float32)
-            for c, x in enumerate(part):
-                padded[c, : x[0]] = x[3]
-            add_skips(padded, lengths, [(c, i, c, j) for c, x in enumerate(part) for i, j in x[5]], model.step, model.skip)
-            for x, labels in zip(part, best_labels(padded, model.step, lengths)):
-                out[x[1]] = decoded(texts[x[1]], x[2], labels, x[4], model.given)
-            at = end
+        out: list[list[tuple[int, int, int]]] = []
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= self.BATCH):
+                size += len(texts[hi])
+                hi += 1
+            out += self._find(texts[lo:hi])
+            lo = hi
         return out
 
-
-def silver_labels(texts: Sequence[str]) -> tuple[list[list[tuple[int, int, int]]], frozenset[str]]:
-    """What the labelling functions make of texts (patterns, cued names, and pairs of names known from cues), and the given names."""
+    def _find(self, texts: Sequence[str]) -> list[list[tuple[int, int, int]]]:
+        model = self.coder.model
+        self.coder.forget()
+        t = Texts(texts)
+        ids = t.ids(self.coder.encode)
+        lattice = Lattice(self.coder.scores(ids, t.codes), t.pad, t.edges(self.coder, ids), model)
+        lattice.pass_messages()
+        labels = lattice.labels()
+        return [decoded(text, *spans, labels[a : a + len(spans[0])]) if text else [] for text, spans, a in zip(texts, t.spans, t.at)]
+
+
+_WORD = re.compile(ANY)
+_GOES_ON = re.compile(rf"(?:[ ]{INITIAL})?[ ]({ANY})(?![\w@(]|\.\w)")
+_COMES_BEFORE = re.compile(rf"(?<![\w@.+-])({ANY}),[ ]$")
+_INITIALS = re.compile(rf"(?<![\w.@&])[A-ZÀ-ÖØ-Þ]\.[ ](?=[A-ZÀ-ÖØ-Þ])({ANY})(?![\w@(]|\.\w)")
+_MIDDLE = re.compile(rf"[ ]{INITIAL}")
+
+
+def silver_labels(texts: Sequence[str]) -> tuple[list[list[tuple[int, int, int]]], frozenset[str], frozenset[str]]:
+    """What the labelling functions make of texts (patterns, cued names, and given names known from cues with a surname), the given names, and the common words."""
+    patterns = [labelled_patterns(t) for t in texts]
+    seen: Counter[str] = Counter()
+    capital: Counter[str] = Counter()
+    for text, marks in zip(texts, patterns):
+        bare = text
+        for a, b, _ in reversed(marks):
+            bare = bare[:a] + " " + bare[b:]
+        words = set(re.findall(r"[^\W\d_]+", bare))
+        seen.update({w for w in words if w.islower()})
+        capital.update({w.lower() for w in words if w[0].isupper()})
+    # names are written small now and then, but seldom
+    common = {w for w, n in seen.most_common(COMMON) if n >= 3 and 2 * n >= capital[w]} | PLAIN
     given: Counter[str] = Counter()
     family: Counter[str] = Counter()
     cued = []
     for text in texts:
-        names = [(a, b) for a, b in cued_names(text) if not re.match(r"(?i)(?:the|a|an|this|that|our|it|for|all)[ ,]", text[a:b])]
-        cued.append(names)
-        for a, b in names:
+        names = []
+        for a, b in cued_names(text):
             parts = [p for p in re.split(r"[ ,]+", text[a:b]) if not p.endswith(".")]
-            if len(parts) == 2:
-                first, last = (parts[1], parts[0]) if "," in text[a:b] else parts
-                given[first.lower()] += 1
-                family[last.lower()] += 1
-    known = {w for w, n in given.most_common(GIVEN) if n >= 3}
-    pair = re.compile(rf"(?<![\w@.+-])(?:{'|'.join(sorted(map(re.escape, known))) or '(?!)'})(?:[ ]{_INITIAL})?[ ]{_ANY}|(?<![\w@.+-]){_ANY},[ ](?:{'|'.join(sorted(map(re.escape, known))) or '(?!)'})\b", re.I)
+            if parts and all(p[0].isupper() and p.lower() not in common for p in parts):
+                names.append((a, b))
+                if len(parts) == 2:
+                    first, last = (parts[1], parts[0]) if "," in text[a:b] else parts
+                    given[first.lower()] += 1
+                    family[last.lower()] += 1
+        cued.append(names)
+    known = {w for w, n in given.most_common(GIVEN_NAMES) if n >= 3 and n > family[w]}
+    common -= known
+    firsts = (known | set(GIVEN)) - common
     out = []
-    for text, names in zip(texts, cued):
-        taken = Spans(labelled_patterns(text))
-        extra = [m.span() for m in pair.finditer(text) if any(p.lower() in family for p in re.split(r"[ ,]+", m.group()))]
+    for text, names, marks in zip(texts, cued, patterns):
+        extra = []
+        for m in _WORD.finditer(text):
+            low = m.group().lower()
+            before = text[max(0, m.start() - 40) : m.start()]
+            if low not in firsts or before[-1:] and (before[-1].isalnum() or before[-1] in "_@.+-/"):
+                continue
+            upper = m.group()[0].isupper()
+            if (x := _COMES_BEFORE.search(before)) and x.group(1).lower() not in common and (x.group(1)[0].isupper() == upper or x.group(1).lower() in family):
+                end = m.end()
+                if y := _MIDDLE.match(text, end):
+                    end = y.end()
+                extra.append((m.start() - len(x.group()), end))
+            elif (x := _GOES_ON.match(text, m.end())) and x.group(1).lower() not in common and (upper and x.group(1)[0].isupper() or low in known and (x.group(1).lower() in family or not upper and len(x.group(1)) > 3)):
+                extra.append((m.start(), x.end(1)))
+        for m in _INITIALS.finditer(text):
+            if m.group(1).lower() not in common:
+                extra.append(m.span())
+        taken = Spans(marks)
         for a, b in sorted({*names, *extra}, key=lambda s: s[0] - s[1]):
             taken.add(a, b, 4)
         out.append(taken.all)
-    return out, frozenset(known)
+    return out, frozenset(known), frozenset(common)
+
 
+def _renamed(text: str, marks: Sequence[tuple[int, int, int]], maker: Maker) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with other names."""
+    out, new, at = "", [], 0
+    for a, b, k in marks:
+        value = maker.name() if k == 4 else text[a:b]
+        out += text[at:a]
+        new.append((len(out), len(out) + len(value), k))
+        out += value
+        at = b
+    return out + text[at:], new
 
-def train(texts: Sequence[str], marks: Sequence[list[tuple[int, int, int]]], epochs: int = 14, batch_tokens: int = 4_000, rate: float = 0.25, seed: int = 0) -> Model:
+
+def _hider(seed: int, words: float, patterns: float):
+    """Hides words, of each text another share up to twice ``words``, and the pattern's marks of a whole text, at random."""
+    rng = np.random.default_rng(seed)
+
+    def hide(keys: list[str], codes: np.ndarray) -> tuple[list[str], np.ndarray]:
+        off = rng.random(len(keys)) < words * 2 * rng.random()
+        strange = rng.random(len(keys)) < 0.35
+        if rng.random() < patterns:
+            codes = np.zeros_like(codes)
+        return [(_STRANGE if s and k.strip()[0].islower() else _HIDDEN) + k if h and k[-1].isalpha() else k for k, h, s in zip(keys, off, strange)], codes
+
+    return hide
+
+
+class _Batch:
+    """Pieces of chains that are trained together, and what their gradients need in order."""
+
+    def __init__(self, t: Texts, ids: np.ndarray, features: np.ndarray, grams: list[np.ndarray], pieces: list[tuple[int, int]]) -> None:
+        self.lengths = np.array([n for _, n in pieces])
+        width = int(self.lengths.max())
+        at = np.array([a for a, _ in pieces])[:, None] + np.arange(width)[None, :]
+        self.on = np.arange(width)[None, :] < self.lengths[:, None]
+        place = at[self.on]
+        self.gold = t.gold[place]
+        self.codes = [t.codes[place + o] for o in (-1, 0, 1)]
+        self.grams = [g[place] for g in grams]
+        self.by_gram = [_runs(g) for g in self.grams]
+        around = [ids[place + o] for o in range(-REACH, REACH + 1)]
+        used, local = np.unique(np.concatenate(around), return_inverse=True)
+        self.around = np.split(local, len(around))
+        # sums by word, then by feature, as runs of sorted places
+        self.by_word = [_runs(x) for x in self.around]
+        self.features = features[used]
+        self.n_words = len(used)
+        # feature 0 has no weights
+        owner = np.repeat(np.arange(self.n_words), N_FEATURES)
+        flat = self.features.ravel()
+        owner, flat = owner[flat > 0], flat[flat > 0]
+        order, self.starts, self.rows = _runs(flat)
+        self.owner = owner[order]
+        same = np.cumsum(self.lengths)[:-1]
+        inner = np.ones(len(place), bool)
+        inner[0] = False
+        inner[same] = False
+        self.steps = np.flatnonzero(inner)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(x, kind="stable")
+    values, starts = np.unique(x[order], return_index=True)
+    return order, starts, values
+
+
+def _pieces(t: Texts) -> list[tuple[int, int]]:
+    """Where chains are cut for training: at line ends, or else after PIECE tokens outside details."""
+    out = []
+    for a, keys in zip(t.at, t.keys):
+        lo = 0
+        while lo < len(keys):
+            hi = min(len(keys), lo + PIECE)
+            if hi < len(keys):
+                ok = [i for i in range(hi, lo + PIECE // 2, -1) if not t.gold[a + i] or t.gold[a + i] % 2]
+                hi = next((i for i in ok if keys[i - 1].endswith("\n")), ok[0] if ok else hi)
+            out.append((a + lo, hi - lo))
+            lo = hi
+    return out
+
+
+def train(parts: Sequence[Texts], given: frozenset[str], common: frozenset[str], epochs: int = 10, batch_tokens: int = 4_000, rate: float = 0.25, seed: int = 0) -> Model:
     """Fit the chain by the gradient of its likelihood (AdaGrad)."""
-    model = Model.empty()
-    chains = []
-    for text, m in zip(texts, marks):
-        if not m and zlib.crc32(text.encode("utf-8", "replace")) % 8:
-            continue  # most texts hold nothing; an eighth of those is enough to learn what isn't meant
-        spans = tokens_of(text)
-        for lo in range(0, len(spans), 400):
-            part = spans[lo : lo + 400]
-            words = [text[a:b] for a, b in part]
-            gold = _codes(part, m)
-            chains.append((len(part), words, _codes(part, labelled_patterns(text)), gold))
-    if not chains:
-        return model
-    vocabulary: dict[str, int] = {}
-    ids_of = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in c[1]]) for c in chains]
-    features = np.array([token_features(w) for w in vocabulary])
+    vocabulary: dict[str, int] = {"": 0}
+    ids = [t.ids(lambda keys: [vocabulary.setdefault(k, len(vocabulary)) for k in keys]) for t in parts]
+    counts: Counter[str] = Counter()
+    for k, n in zip(list(vocabulary)[1:], np.bincount(np.concatenate(ids), minlength=len(vocabulary))[1:].tolist()):
+        for f in token_features(k, given, common):
+            counts[f] += n
+    model = Model.empty(given, common, {f: i for i, (f, n) in enumerate(counts.most_common(FEATURES), 1) if n > 1})
+    features = np.array([[0] * N_FEATURES, *[model.numbers(k) for k in vocabulary if k]])
+    classes = np.array([0, *[token_class(k, given, common) for k in vocabulary if k]])
+    batches = []
+    for t, x in zip(parts, ids):
+        grams = _grams(classes[x])
+        now, longest = [], 0
+        for piece in sorted(_pieces(t), key=lambda p: p[1]):
+            longest = max(longest, piece[1])
+            now.append(piece)
+            if longest * len(now) >= batch_tokens:
+                batches.append(_Batch(t, x, features, grams, now))
+                now, longest = [], 0
+        if now:
+            batches.append(_Batch(t, x, features, grams, now))
     rng = np.random.default_rng(seed)
-    order = np.argsort([c[0] for c in chains], kind="stable")
-    batches, now, longest = [], [], 0
-    for i in order:
-        longest = max(longest, chains[i][0])
-        now.append(i)
-        if longest * len(now) >= batch_tokens:
-            batches.append(now)
-            now, longest = [], 0
-    if now:
-        batches.append(now)
-    params = [model.token, model.pattern, model.step]
-    squares = [np.full_like(p, 1e-2) for p in params]
+    squares = [np.full_like(p, 1e-2) for p in (model.token, model.pattern, model.step, model.gram)]
     barred = _allowed() < 0
-    for epoch in range(epochs):
+    for _ in range(epochs):
         for k in rng.permutation(len(batches)):
-            part = [chains[i] for i in batches[k]]
-            lengths = np.array([c[0] for c in part])
-            width = lengths.max()
-            scores = np.zeros((len(part), width, N_LABELS), np.float32)
-            flat = np.concatenate([ids_of[i] for i in batches[k]])
-            used, local = np.unique(flat, return_inverse=True)
-            table = model.token[:, features[used]].sum(2)  # offsets, words, labels
-            ends = np.cumsum(lengths)
-            for c, (n, _, codes, _) in enumerate(part):
-                ids = local[ends[c] - n : ends[c]]
-                s = pattern_scores(model, codes)
-                for o in range(-REACH, REACH + 1):
-                    a, b = max(0, -o), min(n, n - o)
-                    if a < b:
-                        s[a:b] += table[o + REACH, ids[a + o : b + o]]
-                scores[c, :n] = s
-            p, moves, _ = marginals(scores, model.step, lengths)
-            grad_table = np.zeros_like(table)
-            grad_pattern = np.zeros_like(model.pattern)
+            b = batches[k]
+            table = model.token[:, b.features].sum(2)
+            flat = sum(model.pattern[o][b.codes[o]] for o in range(3))
+            for gram, at in zip(model.gram, b.grams):
+                flat += gram[at]
+            for o, words in enumerate(b.around):
+                flat += table[o, words]
+            scores = np.zeros((*b.on.shape, N_LABELS), np.float32)
+            scores[b.on] = flat
+            p, moves, _ = marginals(scores, model.step, b.lengths)
+            g = -p[b.on]
+            g[np.arange(len(g)), b.gold] += 1
             grad_step = -moves.astype(np.float32)
-            for c, (n, _, codes, gold) in enumerate(part):
-                g = -p[c, :n]
-                g[np.arange(n), gold] += 1
-                np.add.at(grad_step, (gold[:-1], gold[1:]), 1)
-                ids = local[ends[c] - n : ends[c]]
-                np.add.at(grad_pattern[1], codes, g)
-                np.add.at(grad_pattern[0], codes[:-1], g[1:])
-                np.add.at(grad_pattern[2], codes[1:], g[:-1])
-                for o in range(-REACH, REACH + 1):
-                    a, b = max(0, -o), min(n, n - o)
-                    if a < b:
-                        np.add.at(grad_table[o + REACH], ids[a + o : b + o], g[a:b])
-            # only buckets of words in the batch move
-            rows, place = np.unique(features[used], return_inverse=True)
-            grad_token = np.zeros((grad_table.shape[0], len(rows), N_LABELS), np.float32)
-            for f in range(features.shape[1]):
-                np.add.at(grad_token, (slice(None), place.reshape(features[used].shape)[:, f]), grad_table)
+            np.add.at(grad_step, (b.gold[b.steps - 1], b.gold[b.steps]), 1)
             grad_step[barred] = 0
-            for x, g, q, on in zip(params, (grad_token, grad_pattern, grad_step), squares, ((slice(None), rows), ..., ...)):
+            grad_pattern = np.zeros_like(model.pattern)
+            for o in range(3):
+                np.add.at(grad_pattern[o], b.codes[o], g)
+            grad_table = np.zeros((len(b.around), b.n_words, N_LABELS), np.float32)
+            for o, (order, starts, values) in enumerate(b.by_word):
+                grad_table[o, values] = np.add.reduceat(g[order], starts)
+            grad_token = np.add.reduceat(grad_table[:, b.owner], b.starts, axis=1)
+            updates = [(model.token, grad_token, squares[0], (slice(None), b.rows)), (model.pattern, grad_pattern, squares[1], ...), (model.step, grad_step, squares[2], ...)]
+            updates += [(model.gram[o], np.add.reduceat(g[order], starts), squares[3][o], values) for o, (order, starts, values) in enumerate(b.by_gram)]
+            for x, grad, q, on in updates:
                 now = x[on]
-                g -= 2e-5 * np.where(np.abs(now) < 20, now, 0) * len(flat) / 1000
-                q[on] += g * g
-                x[on] = now + rate * g / np.sqrt(q[on])
+                grad -= 2e-5 * np.where(np.abs(now) < 20, now, 0) * len(g) / 1000
+                q[on] += grad * grad
+                x[on] = now + rate * grad / np.sqrt(q[on])
     return model
 
 
-def _f1(found: Sequence[list], marks: Sequence[list]) -> float:
+def train_skips(model: Model, parts: Sequence[Texts], epochs: int = 6, rate: float = 0.3) -> np.ndarray:
+    """Fit the potentials of the skip edges to texts the chain hasn't seen, by the gradient of their likelihood; expectations are those of loopy message passing."""
+    coder = Coder(model)
+    model = replace(model, skip=np.zeros((2, N_KINDS, N_KINDS), np.float32))
+    ids = [t.ids(coder.encode) for t in parts]
+    seen = [(coder.scores(x, t.codes), t.edges(coder, x)) for t, x in zip(parts, ids)]
+    square = np.full_like(model.skip, 1e-2)
+    for _ in range(epochs):
+        for t, (s, edges) in zip(parts, seen):
+            lattice = Lattice(s, t.pad, edges, model)
+            if not len(lattice.edges):
+                continue
+            lattice.pass_messages()
+            believed = lattice.pairs()
+            grad = np.zeros_like(model.skip)
+            kinds = _KIND[t.gold]
+            for n in (0, 1):
+                on = lattice.edges[:, 2] == n
+                np.add.at(grad[n], (kinds[lattice.edges[on, 0]], kinds[lattice.edges[on, 1]]), 1)
+                grad[n] -= believed[on].sum(0)
+            grad += grad.transpose(0, 2, 1)
+            grad -= 0.02 * model.skip
+            square += grad * grad
+            model.skip = model.skip + rate * grad / np.sqrt(square)
+    return model.skip.astype(np.float32)
+
+
+def f1(found: Sequence[list], marks: Sequence[list]) -> float:
+    """Agreement of spans."""
     a = sum(len(set(f) & set(map(tuple, m))) for f, m in zip(found, marks))
     return 2 * a / max(1, sum(map(len, found)) + sum(map(len, marks)))
 
 
+def fit_texts(texts: Sequence[str], repos: Sequence[str], made: int = MADE) -> Model:
+    """Train on texts; those of about an eighth of the repositories, and made texts of their lines, teach the skip edges only."""
+    if not texts:
+        return Model.empty()
+    marks, given, common = silver_labels(texts)
+    held = [zlib.crc32(r.encode()) % 8 == 0 for r in repos]
+    maker = Maker()
+    lines: tuple[list[str], list[str]] = ([], [])
+    for text, m, h in zip(texts, marks, held):
+        if not m:
+            lines[h].extend(x.strip() for x in text.splitlines() if 0 < len(x.strip()) < 200)
+    words = sorted(w for w in common if len(w) > 1)
+    keep = lambda h: [(t, m) for t, m, x in zip(texts, marks, held) if x == h and (m or zlib.crc32(t.encode("utf-8", "replace")) % 8 == 0)]
+    real = keep(False)  # most texts hold nothing; an eighth of those is enough to learn what isn't meant
+    other = [_renamed(t, m, maker) for t, m in real if any(k == 4 for *_, k in m)]
+    invented = [maker.example(lines[0], words) for _ in range(made)]
+    sets = [(real, None), (other, _hider(1, 0.3, 0.2)), (invented, _hider(2, 0.45, 0.5))]
+    parts = [Texts([t for t, _ in x], hide, [m for _, m in x]) for x, hide in sets if x]
+    model = train(parts, given, common)
+    unseen = [maker.example(lines[1] or lines[0], words) for _ in range(made // 3)]
+    blocks = [(keep(True), None), (unseen, _hider(3, 0.4, 0.5))]
+    model.skip = train_skips(model, [Texts([t for t, _ in x[i : i + 200]], hide, [m for _, m in x[i : i + 200]]) for x, hide in blocks for i in range(0, len(x), 200)])
+    return model
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` texts, drawn by the hash of their id whatever they hold; about an eighth of the repositories is held out to choose the skip edges' strength.
+    """Train on at most ``sample`` texts, drawn by the hash of their id whatever they hold.
 
     Without texts the model finds nothing.
     """
-    slim = documents.where(F.length("text").between(1, LONGEST)).select("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), "text")
-    share = min(1.0, sample / max(1, documents.count()))
-    rows = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect()
-    texts = [r["text"] for r in rows]
-    marks, given = silver_labels(texts)
-    held = [zlib.crc32(r["repo"].encode()) % 8 == 0 for r in rows]
-    model = train([t for t, h in zip(texts, held) if not h], [m for m, h in zip(marks, held) if not h])
-    model.given = given
-    test, gold = [t for t, h in zip(texts, held) if h], [m for m, h in zip(marks, held) if h]
-    if test:
-        best = -1.0
-        for s in STRENGTHS:
-            score = _f1(Finder(replace(model, skip=s)).find(test), gold)
-            if score >= best:
-                best, model.skip = score, s
-    return model
+    rows = draw(documents.where(F.length("text").between(1, LONGEST)).select("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), "text"), sample, "doc_id", rows=documents.count())
+    return fit_texts([r["text"] for r in rows], [r["repo"] for r in rows])
 
 
 def _found(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
