@@ -545,15 +545,17 @@ def silver_labels(texts: Sequence[str]) -> tuple[list[list[tuple[int, int, int]]
         names = []
         for a, b in cued_names(text):
             parts = [p for p in re.split(r"[ ,]+", text[a:b]) if not p.endswith(".")]
-            if parts and all(p[0].isupper() and p.lower() not in common for p in parts):
-                names.append((a, b))
+            first, last = (parts[-1], parts[0]) if "," in text[a:b] else (parts[0], parts[-1])
+            # a given name may look like a common word, its surname then doesn't
+            if all(p[0].isupper() for p in parts) and last.lower() not in common and first.lower() not in PLAIN:
+                names.append((a, b, first.lower()))
                 if len(parts) == 2:
-                    first, last = (parts[1], parts[0]) if "," in text[a:b] else parts
                     given[first.lower()] += 1
                     family[last.lower()] += 1
         cued.append(names)
-    known = {w for w, n in given.most_common(GIVEN_NAMES) if n >= 3 and n > family[w]}
+    known = {w for w, n in given.most_common(GIVEN_NAMES) if n >= 3 and n > family[w] and 3 * n >= seen[w]}
     common -= known
+    cued = [[(a, b) for a, b, first in names if first not in common] for names in cued]
     firsts = (known | set(GIVEN)) - common
     out = []
     for text, names, marks in zip(texts, cued, patterns):
