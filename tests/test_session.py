@@ -1,4 +1,4 @@
-from twinweave.session import draw
+from twinweave.session import draw, drawn
 
 
 def test_draw_at_any_size(spark):
@@ -14,3 +14,10 @@ def test_draw_at_any_size(spark):
 def test_draw_repeated_and_null(spark):
     df = spark.createDataFrame([(None,), (1,), (1,), (1,)], "k bigint")
     assert len(draw(df, 10, "k")) == 4 and len(draw(df, 2, "k")) == 2
+
+
+def test_drawn_at_any_size(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    assert drawn(df, 5000, "k").count() == 3000 and drawn(df.where("k < 0"), 10, "k").count() == 0
+    assert 120 < drawn(df, 200, "k").count() < 300
+    assert drawn(df, 200, "k", rows=10**11).count() >= 100

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(want, *[F.col(k) for k in keys])
 
 
+def _below(df: DataFrame, share: float, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys' 64-bit hash is in the lowest share of all hashes."""
+    return df if share >= 1 else df.where(F.xxhash64(*keys) < F.lit(int(share * 2**64) - 2**63))
+
+
 def draw(df: DataFrame, n: int, *keys: str, rows: int | None = None) -> list[Row]:
     """At most n rows, those whose keys have the least 64-bit hashes: the same rows at every run, whatever the size of the table.
 
@@ -67,14 +73,20 @@ def draw(df: DataFrame, n: int, *keys: str, rows: int | None = None) -> list[Row
     Repeated rows count apart; an empty table gives no rows.
     """
     share = n / max(1, df.count() if rows is None else rows)
-    at = F.xxhash64(*keys)
     while True:
-        below = df if share >= 1 else df.where(at < F.lit(int(share * 2**64) - 2**63))
-        drawn = below.orderBy(at, *keys).limit(n).collect()
+        drawn = _below(df, share, keys).orderBy(F.xxhash64(*keys), *keys).limit(n).collect()
         if share >= 1 or 2 * len(drawn) >= n:
             return drawn
         share *= 16
 
 
+def drawn(df: DataFrame, n: int, *keys: str, rows: int | None = None) -> DataFrame:
+    """As draw, about n rows, not collected: for work on rows that shouldn't come to the driver."""
+    share = n / max(1, df.count() if rows is None else rows)
+    while share < 1 and 2 * _below(df, share, keys).limit(n).count() < n:
+        share *= 16
+    return _below(df, share, keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
