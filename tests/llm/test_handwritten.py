@@ -47,6 +47,51 @@ def test_found(files):
     assert all(r.recall > 0.9 for r in hw.held_out_accuracy(df).collect())
 
 
+# A second collection, whose tools and vendors word their banners otherwise.
+OTHER_TOOLS = ("# This module was produced automatically from {}.yaml\n", "# @generated by {}\n", "# Machine-written. Manual modifications get discarded by {}.\n", "# Datei durch {} erzeugt\n", "# Built by {} 4.2, do not modify\n")
+OTHER_VENDORS = ("# Taken from https://{0}.example.org at release 3.1\n", "# {0} version 2.0.11\n", "# Copyright 2019 {0} contributors\n", "# Vendored from {0}, tag v7.2\n")
+
+
+@pytest.fixture(scope="module")
+def other_files(spark):
+    rng = random.Random(7)
+    rows, truth = [], {}
+    for i in range(600):
+        kind = rng.choice(["hand"] * 7 + ["made", "hidden", "vendor"])
+        path, text = hand(rng) if kind == "hand" else made(rng, False)
+        if kind == "made":
+            text = rng.choice(OTHER_TOOLS).format(rng.choice(WORDS)) + text
+        elif kind == "vendor":
+            name = "".join(rng.sample(WORDS, 2))
+            path, text = f"lib/{name}.py", rng.choice(OTHER_VENDORS).format(name) + hand(rng)[1]
+        rows.append((i, f"team{rng.randrange(12)}/m-{i:x}/{path}", text))
+        truth[i] = kind != "hand"
+    return spark.createDataFrame(rows, SRC), truth
+
+
+def test_other_banners(other_files):
+    df, truth = other_files
+    got = {r.file_idx for r in hw.unwritten_files(df).collect()}
+    want = {i for i, t in truth.items() if t}
+    assert len(got & want) / len(want) > 0.95 and len(got - want) / max(1, len(got)) < 0.05
+
+
+def test_kept(files, spark):
+    df, _ = files
+    model = hw.fit(df)
+    kept = hw.kept_files(df, model)
+    assert kept.columns == df.columns
+    ids, found = {r.file_idx for r in kept.collect()}, {r.file_idx for r in hw.unwritten_files(df, model).collect()}
+    assert ids | found == {r.file_idx for r in df.collect()} and not ids & found and {900, 901, 902, 903} <= ids
+    assert hw.kept_files(spark.createDataFrame([], SRC)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["Emits a DO NOT EDIT banner into its output", "All rights reserved", "Parses generated files", "Copies records from one table to another", "Version 2 of the parser"])
+def test_no_banner(spark, line):
+    df = spark.createDataFrame([(1, "r/a.py", f"# {line}\nx = 1\n")], SRC)
+    assert hw.weak_labels(df).where("tool_banner or vendor_banner").count() == 0
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], SRC)
     assert hw.unwritten_files(e).count() == 0 and hw.held_out_accuracy(e).count() == 0

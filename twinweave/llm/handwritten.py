@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from twinweave.llm.parse.check import check_source, extension
 from twinweave.llm.syntax import repository
-from twinweave.session import spread
+from twinweave.session import drawn, spread
 
 #: Hash buckets of each kind of feature.
 BUCKETS = 1 << 12
@@ -38,25 +38,23 @@ SAMPLE = 9000
 #: Parts into which repositories are divided; each is judged by classifiers that haven't seen it.
 FOLDS = 4
 
-# Phrases by which tools and vendors mark their files, as regular expressions.
+# How tools and vendors mark their files in any collection: that something made the file, that edits are of no use, where it is from.
+_MADE = r"(?:generated|produced|created|emitted|built|written|compiled|bundled|derived|erzeugt|generiert|erstellt|généré|generado)"
+_BY = r"(?:by|from|with|using|via|automatically|durch|von|aus|par|por)"
 TOOL_BANNERS = (
-    r"code generated by \S+.{0,40}do not edit",
-    r"auto-?generated file",
-    r"<auto-?generated",
-    r"automatisch erzeugt durch",
-    r"(?:produced|generated|created) automatically by",
-    r"machine written \(",
-    r"any change will be lost on the next run",
-    r"edits are overwritten at every build",
-    r"this file (?:is|was) (?:auto-?)?generated",
     r"@generated\b",
+    r"<?auto-?matically[ -]generated|<?auto-?generated",
+    r"\bmachine[- ](?:written|made|generated|produced)\b",
+    rf"\b(?:code|file|source|module|script|header|datei|fichier|archivo)\b[^\n]{{0,25}}\b{_MADE}\b[^\n]{{0,20}}\b{_BY}\b",
+    rf"^\W*{_MADE}\s+(?:automatically\s+)?{_BY}\b|\b{_MADE}\s+automatically\b|\bautomati(?:cally|sch)\s+{_MADE}\b",
+    rf"\b{_MADE}\b[^\n]{{0,60}}\bdo\s+not\s+(?:edit|modify|change|touch)\b",
+    r"\b(?:edits?|changes?|modifications?|änderungen)\b[^\n]{0,40}\b(?:lost|overwritten|discarded|wiped|undone|überschrieben)\b",
 )
 VENDOR_BANNERS = (
-    r"upstream: \S+/\S+",
-    r"imported from the upstream release",
-    r"copied from tag \S+",
-    r"^\W*\w[\w.-]* (?:v|- version )\d+\.\d+\.\d+",
-    r"\(c\) the \S+ (?:project|authors)",
+    r"^\W*(?:upstream|origin|homepage)\s*:\s*\S+/\S+",
+    r"\b(?:imported|copied|taken|vendored|mirrored|forked|synced|adapted|pulled)\s+(?:verbatim\s+|unchanged\s+)?from\b[^\n]{0,60}(?:release|tag|version|commit|upstream|v?\d+\.\d+|https?://)",
+    r"^\W*\w[\w.-]* (?:v|- version |version |release )\d+\.\d+\.\d+",
+    r"(?:\(c\)|copyright)[^\n]{0,40}\b(?:project|authors|contributors|foundation)\b",
 )
 # Directories and name parts that are kept for such files, in lower case.
 VENDOR_DIRS = ("vendor", "vendored", "third_party", "thirdparty", "node_modules", "contrib", "external", "deps", "bower_components", "site-packages")
@@ -215,9 +213,7 @@ def fit(source_files: DataFrame, sample: int = SAMPLE) -> Model:
     not read twice. Without labelled files of both kinds (an empty table, say)
     the weights are zero and nothing is found.
     """
-    share = min(1.0, sample / max(1, source_files.count()))
-    drawn = source_files.where(F.pmod(F.xxhash64("path"), F.lit(1_000_000)) < int(share * 1_000_000))
-    labelled = weak_labels(drawn)
+    labelled = weak_labels(drawn(source_files, sample, "path"))
     body = F.col("tool_banner") | F.col("tool_path") | F.col("data_path")
     label = F.when(body, "made").when(F.col("vendor_banner") | F.col("vendor_path"), "vendor").otherwise("plain")
     rows = labelled.select(label.alias("label"), (F.col("vendor_banner") & ~body).alias("vendor_banner"), "repo", "path", "content")
@@ -287,6 +283,18 @@ def _scored(batches: Iterator[pa.RecordBatch], body: np.ndarray, path: np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(b, pa.float64()), pa.array(p, pa.float64())], ["file_idx", "body_score", "path_score"])
 
 
+def _unmade(batches: Iterator[pa.RecordBatch], body: np.ndarray, path: np.ndarray) -> Iterator[pa.RecordBatch]:
+    model = Model(body, path)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            keep = []
+            for name, text in zip(part.column("path").to_pylist(), part.column("content").to_pylist()):
+                made = bool(name and text) and max(model.score(name, text)) > 0
+                keep.append(not made or ((v := check_source(name, text)) is not None and not v.valid))
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+
 def scored_files(source_files: DataFrame, model: Model | None = None, parse: bool = True) -> DataFrame:
     """(file_idx, body_score, path_score) of every file; either above 0 means not written by hand.
 
@@ -304,6 +312,12 @@ def unwritten_files(source_files: DataFrame, model: Model | None = None) -> Data
     return scored_files(source_files, model).where("body_score > 0 or path_score > 0").select("file_idx")
 
 
+def kept_files(source_files: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of source_files, all columns, but for those of unwritten_files: what is left was written by hand, doesn't parse, or has no content or path."""
+    model = model or fit(source_files)
+    return spread(source_files, "file_idx").mapInArrow(lambda it: _unmade(it, model.body, model.path), source_files.schema)
+
+
 def held_out_accuracy(source_files: DataFrame) -> DataFrame:
     """(classifier, n_files, precision, recall) on the held-out repositories, against the weak labels."""
     return source_files.sparkSession.createDataFrame(fit(source_files).held_out, "classifier string, n_files bigint, precision double, recall double")
@@ -312,5 +326,5 @@ def held_out_accuracy(source_files: DataFrame) -> DataFrame:
 def ignored_by_pattern(source_files: DataFrame, scan_configs: DataFrame) -> DataFrame:
     """(file_idx, ignored): whether a pattern of the repository's configuration is part of the path, to compare with what was found."""
     patterns = scan_configs.select(F.col("directory").alias("repo"), F.explode("ignore_patterns").alias("pattern")).where(F.col("pattern").isNotNull()).groupBy("repo").agg(F.collect_set("pattern").alias("patterns"))
-    joined = source_files.select("file_idx", "path", repository("path").alias("repo")).join(F.broadcast(patterns), "repo", "left")
+    joined = source_files.select("file_idx", "path", repository("path").alias("repo")).join(patterns, "repo", "left")
     return joined.select("file_idx", F.coalesce(F.exists("patterns", lambda p: F.col("path").contains(p)), F.lit(False)).alias("ignored"))

@@ -31,6 +31,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.unwritten_files(table(spark, sf_dir, "source_files"))
 
 
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that remain: all but those of p2_found."""
+    return handwritten.kept_files(table(spark, sf_dir, "source_files")).select("file_idx", "path")
+
+
 def p2_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the classifiers do on repositories they haven't seen, against the weak labels."""
     return handwritten.held_out_accuracy(table(spark, sf_dir, "source_files"))
@@ -84,7 +89,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_share_counted, p2_found, p2_held_out, p2_ignored, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_share_counted, p2_found, p2_kept, p2_held_out, p2_ignored, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 _SPANS = """
         WITH d AS (SELECT file_idx, pos, min(row(h1 IS NULL, h1, h2 IS NULL, h2)) AS h, min(line_start) AS ls, min(line_end) AS le FROM fingerprints WHERE file_idx IS NOT NULL AND pos IS NOT NULL GROUP BY file_idx, pos),
