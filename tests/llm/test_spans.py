@@ -51,8 +51,9 @@ def test_against_brute_force(spark, seed):
     assert run(spark, rows, n) == brute(rows, n)
 
 
-def test_copies_hot_minimizers_and_blocks(spark):
-    small = spans.Limits(block=16, heavy_pieces=10, shard_symbols=50, memo_pieces=20)
+@pytest.mark.parametrize("sent", [1000, 1])
+def test_copies_hot_minimizers_and_blocks(spark, sent):
+    small = spans.Limits(block=16, heavy_symbols=100, heavy_sent=sent, shard_symbols=50, memo_pieces=20)
     rng = random.Random(9)
     head = [rng.randrange(50) for _ in range(40)]
     rows = []
@@ -62,6 +63,39 @@ def test_copies_hot_minimizers_and_blocks(spark):
     assert run(spark, rows, 8, small) == brute(rows, 8)
 
 
+def test_no_shard_is_larger_than_its_bound(spark):
+    # a third of all pieces of one minimizer: what a task is given stays bounded
+    rng = random.Random(2)
+    rows = [(r, p, s, 0) for r in range(80) for p, s in enumerate([3, 3, 3, 3, *(rng.randrange(10**6) for _ in range(8))] * 2)]
+    limits = spans.Limits(heavy_symbols=200, shard_symbols=100)
+    df = spark.createDataFrame(rows, SCHEMA)
+    many = [r.n for r in spans._blocks(df, 8, limits.block).mapInArrow(lambda it: spans._count_routes(spans._dedup(it), 8, limits), "route bigint, n bigint").groupBy("route").sum("n").toDF("route", "n").collect()]
+    assert max(many) > 200  # there is something to split
+    assert run(spark, rows, 8, limits) == brute(rows, 8)
+
+
+def test_reference_of_bounded_size(spark):
+    rng = random.Random(11)
+    rows = [(r, p + (p > 40) * (r % 3), None if rng.random() < 0.02 else rng.randrange(3), 0) for r in range(20) for p in range(rng.randrange(0, 90))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, spans.stretches(spans.spans_in_reference(df, df, 5)).collect()))
+    assert got == brute(rows, 5) and got
+    part = df.where("record < 4")
+    want = sorted(map(tuple, spans.stretches(spans.spans_in_reference(df, part, 5)).where("record >= 4").collect()))
+    at = {x for x in want}
+    assert at and at != {x for x in got if x[0] >= 4}
+    with pytest.raises(ValueError):
+        spans.spans_in_reference(df, df, 5, most=10)
+    assert spans.spans_in_reference(df, df.where("false"), 5).count() == 0
+
+
+def test_removed(spark):
+    rows = [(f, p, f * 100 + p if p > 9 else p, 0, p, p) for f in (1, 2) for p in range(14)] + [(3, 0, None, 1, 0, 0), (None, 0, 1, 1, 0, 0)]
+    fp = spark.createDataFrame(rows + rows[:3], "file_idx bigint, pos int, h1 bigint, h2 bigint, line_start int, line_end int")
+    assert sorted(map(tuple, spans.without_shared(fp).collect())) == [(f, p, f * 100 + p, 0) for f in (1, 2) for p in range(10, 14)] + [(3, 0, None, 1)]
+    assert spans.without_shared(fp.where("false")).count() == 0
+
+
 def test_empty_and_clashing_columns(spark):
     assert run(spark, [], 8) == []
     fp = spark.createDataFrame([(f, p, p, 0, p + 1, p + 2, "x", 1) for f in (1, 2) for p in range(9)], "file_idx bigint, pos int, h1 bigint, h2 bigint, line_start int, line_end int, record string, block int")

@@ -87,22 +87,24 @@ def connected_groups(pairs: DataFrame, a: str, b: str, max_edges: int = MAX_EDGE
     edges = pairs.select(F.col(a).alias("node"), F.col(b).alias("root")).where(F.col("node") != F.col("root"))
     forest = cut(spanning_forest(edges, max_nodes))
     size, parts = forest.count(), forest.rdd.getNumPartitions()
-    # merge forests: each level unites FAN_IN partitions, none larger than max_edges
-    while size > max_edges and parts > 1:
-        parts_next = max(-(-size // max_edges), parts // FAN_IN, 1)
-        merged = cut(spanning_forest(forest.repartition(parts_next, "node"), max_nodes))
-        merged_size = merged.count()
-        done = merged_size > 0.7 * size
-        forest, size, parts = merged, merged_size, parts_next
-        if done:
+    # merge forests: each level unites FAN_IN partitions, none larger than max_edges, until there are no fewer partitions to go to
+    while size > max_edges:
+        parts_next = max(-(-size // max_edges), parts // FAN_IN)
+        if parts_next >= parts:
             break
+        forest = cut(spanning_forest(forest.repartition(parts_next, "node"), max_nodes))
+        size, parts = forest.count(), parts_next
     if size <= max_edges:
         return forest.coalesce(1).mapInArrow(lambda it: _forest(it, max_nodes, roots=True), "node string, root string").withColumnRenamed("root", "group")
     return _contracted(forest, max_edges, max_nodes)
 
 
 def _contracted(forest: DataFrame, max_edges: int, max_nodes: int) -> DataFrame:
-    """Contract until the forest fits into one partition; then follow the contractions back."""
+    """Contract until the forest fits into one partition; then follow the contractions back.
+
+    No partition can hold the forest of a graph of more nodes than max_edges, whatever is merged with what. So between
+    two merges every node gives way to its neighbour of least hash, which is at least a constant share of the nodes on average.
+    """
     levels: list[DataFrame] = []
     edges, size = forest, None
     while size is None or size > max_edges:
@@ -111,7 +113,7 @@ def _contracted(forest: DataFrame, max_edges: int, max_nodes: int) -> DataFrame:
         least = both.groupBy("node").agg(F.least(F.min(rank("other")), F.min(rank("node"))).alias("m"))
         to = cut(least.select("node", "m.to"))
         levels.append(to)
-        left = fragment_replicate_join(edges, to, ["node"]).select("root", F.col("to").alias("a"))
+        left = cut(fragment_replicate_join(edges, to, ["node"]).select("root", F.col("to").alias("a")))
         ends = to.select(F.col("node").alias("root"), F.col("to").alias("b"))
         moved = fragment_replicate_join(left, ends, ["root"]).where(F.col("a") != F.col("b")).select(F.col("a").alias("node"), F.col("b").alias("root"))
         edges = cut(spanning_forest(moved, max_nodes))

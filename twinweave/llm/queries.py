@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "fingerprints")).select("file_idx", "line_start", "line_end")
 
 
+def p1_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each file without the stretches that stand in another one."""
+    return spans.without_shared(table(spark, sf_dir, "fingerprints"))
+
+
 def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each file stands elsewhere too."""
     return spans.shared_share(table(spark, sf_dir, "fingerprints"), table(spark, sf_dir, "parsed_files"))
@@ -89,7 +94,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_share_counted, p2_found, p2_kept, p2_held_out, p2_ignored, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_removed, p1_share, p1_share_counted, p2_found, p2_kept, p2_held_out, p2_ignored, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 _SPANS = """
         WITH d AS (SELECT file_idx, pos, min(row(h1 IS NULL, h1, h2 IS NULL, h2)) AS h, min(line_start) AS ls, min(line_end) AS le FROM fingerprints WHERE file_idx IS NOT NULL AND pos IS NOT NULL GROUP BY file_idx, pos),
@@ -101,6 +106,7 @@ _SPANS = """
 
 SQL = {
     "p1_found": _SPANS + " SELECT x.file_idx, p.ls AS line_start, q.le AS line_end FROM x JOIN d p ON p.file_idx = x.file_idx AND p.pos = x.a JOIN d q ON q.file_idx = x.file_idx AND q.pos = x.b",
+    "p1_removed": _SPANS + " SELECT d.file_idx, d.pos, d.h[2] AS h1, d.h[4] AS h2 FROM d LEFT JOIN c ON c.file_idx = d.file_idx AND c.pos = d.pos WHERE c.pos IS NULL",
     "p1_share": _SPANS + """, n AS (SELECT file_idx, count(*) AS n_fingerprints FROM d GROUP BY file_idx),
         k AS (SELECT file_idx, CAST(sum(b - a + 1) AS BIGINT) AS n_shared FROM x GROUP BY file_idx),
         t AS (SELECT file_idx, max(token_count) AS token_count FROM parsed_files GROUP BY file_idx)

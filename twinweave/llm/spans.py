@@ -15,9 +15,11 @@ suffix automaton is built whose states know the least and greatest record that
 they occur in, and the shard's pieces are streamed through it; a position
 whose matching statistic reaches ``min_run`` in a state of two records or more
 ends a shared window. Repeated pieces are reduced to one before they are sent, and
-their result is joined back to all their places. A minimizer with more pieces than
-a task should hold is cut into its single windows, which are spread by their
-own hash: equal windows still meet.
+their result is joined back to all their places. The pieces of a minimizer with more symbols than
+one automaton should hold are cut into single windows, which are reduced and spread by their
+own hash: equal windows still meet. So no shard holds more than a fixed number of symbols.
+
+spans_in_reference is the plain form, one automaton sent to every task, for a reference of bounded size.
 """
 
 from __future__ import annotations
@@ -47,13 +49,14 @@ class Limits:
     """Sizes of the work; the result doesn't depend on them.
 
     block: consecutive positions of a record that are cut into pieces at once.
-    heavy_pieces, heavy_share: a minimizer with more pieces than both (the second a share of all pieces of such minimizers) is cut into windows.
-    shard_symbols: symbols after which a new automaton is begun. memo_pieces: pieces a task remembers so as to send repeated ones once.
+    heavy_symbols: the pieces of a minimizer with more symbols than that are cut into windows. heavy_sent: as many such minimizers
+    are sent to the tasks; if there are more, their pieces are found by a join. shard_symbols: symbols after which a new automaton
+    is begun. memo_pieces: pieces a task remembers so as to send repeated ones once.
     """
 
     block: int = 8192
-    heavy_pieces: int = 20_000
-    heavy_share: float = 0.001
+    heavy_symbols: int = 200_000
+    heavy_sent: int = 100_000
     shard_symbols: int = 200_000
     memo_pieces: int = 100_000
 
@@ -129,8 +132,8 @@ class SuffixAutomaton:
                 if high[up] is None or high[s] > high[up]:
                     high[up] = high[s]
 
-    def shared_windows(self, sequence: list[int], window: int) -> list[int]:
-        """The starts of the windows of a sequence that stand in two records or more."""
+    def shared_windows(self, sequence: list[int], window: int, record: int | None = None) -> list[int]:
+        """The starts of the windows of a sequence that stand in two records or more, or, of a given record's, in another one."""
         state = matched = 0
         out = []
         nexts, link, length, low, high = self.next, self.link, self.length, self.low, self.high
@@ -148,7 +151,7 @@ class SuffixAutomaton:
                 state = link[state]
             if matched >= window:
                 matched = window
-                if low[state] != high[state]:
+                if low[state] != high[state] or record is not None and low[state] != record:
                     out.append(i - window + 1)
         return out
 
@@ -174,7 +177,7 @@ def _carry(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, n
         yield rest
 
 
-def _pieces(t: pa.Table, min_run: int, limits: Limits, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
+def _pieces(t: pa.Table, min_run: int, limits: Limits) -> tuple[np.ndarray, ...]:
     """(minimizer, first row, last row) of the pieces of a table of (block, file, pos, h1, h2, ...), sorted, and its symbols."""
     block, rec, pos = (t.column(i).to_numpy() for i in range(3))
     h1, h2 = (np.asarray(t.column(i).fill_null(0)).astype(np.int64).view(np.uint64) for i in (3, 4))
@@ -201,18 +204,8 @@ def _pieces(t: pa.Table, min_run: int, limits: Limits, heavy: np.ndarray) -> tup
     if not len(at):
         return none.view(np.uint64), none, none, sym
     route = least[at]
-    if len(heavy):
-        hot = np.isin(route, heavy)
-        if hot.any():
-            w = np.zeros(int(hot.sum()), np.uint64)
-            for i in range(min_run):
-                w = mix64(w * _M1 + sym[at[hot] + i])
-            route = route.copy()
-            route[hot] = w
-    else:
-        hot = np.zeros(len(at), bool)
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (route[1:] != route[:-1]) | hot[1:]
+    new[1:] = (at[1:] != at[:-1] + 1) | (route[1:] != route[:-1])
     first = np.nonzero(new)[0]
     last = np.append(first[1:], len(at)) - 1
     return route[first], at[first], at[last] + min_run - 1, sym
@@ -229,24 +222,27 @@ def _piece_hash(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _send(batches: Iterator[pa.RecordBatch], min_run: int, limits: Limits, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The distinct pieces: minimizer, hash, symbols, least and greatest record, number of places."""
+    """The distinct pieces: minimizer, whether it is heavy, hash, symbols, least and greatest record, number of places."""
     memo: dict[tuple[int, int], list] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         if memo:
             keys, vals = list(memo), list(memo.values())
+            routes = np.array([k[0] for k in keys], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(np.array([k[i] for k in keys], np.uint64).view(np.int64)) for i in (0, 1)),
+                    pa.array(np.isin(routes, heavy)),
+                    pa.array(routes.view(np.int64)),
+                    pa.array(np.array([k[1] for k in keys], np.uint64).view(np.int64)),
                     pa.array([v[0] for v in vals], pa.binary()),
                     *(pa.array([v[i] for v in vals], pa.int64()) for i in (1, 2, 3)),
                 ],
-                ["route", "piece", "symbols", "low", "high", "n"],
+                ["heavy", "route", "piece", "symbols", "low", "high", "n"],
             )
             memo.clear()
 
     for t in _carry(batches, 2):
-        route, lo, hi, sym = _pieces(t, min_run, limits, heavy)
+        route, lo, hi, sym = _pieces(t, min_run, limits)
         rec = t.column(1).to_numpy()
         for r, p, a, b, f in zip(route.tolist(), _piece_hash(sym, lo, hi).tolist(), lo.tolist(), hi.tolist(), rec[lo].tolist()):
             seen = memo.get((r, p))
@@ -265,14 +261,42 @@ def _send(batches: Iterator[pa.RecordBatch], min_run: int, limits: Limits, heavy
 
 def _count_routes(batches: Iterator[pa.RecordBatch], min_run: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     for t in _carry(batches, 2):
-        route, n = np.unique(_pieces(t, min_run, limits, np.zeros(0, np.uint64))[0], return_counts=True)
+        route, lo, hi, _ = _pieces(t, min_run, limits)
+        route, at = np.unique(route, return_inverse=True)
+        n = np.bincount(at, weights=hi - lo + 1, minlength=len(route)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(n)], ["route", "n"])
 
 
-def _places(batches: Iterator[pa.RecordBatch], min_run: int, limits: Limits, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
+    """The windows of pieces: hash, piece, place in it, symbols, least and greatest record, number of places."""
+    for batch in batches:
+        out: list[tuple] = []
+        for route, piece, data, low, high, n in zip(*(batch.column(c).to_pylist() for c in ("route", "piece", "symbols", "low", "high", "n"))):
+            sym = np.frombuffer(data, np.uint64)
+            m = len(sym) - min_run + 1
+            w = np.zeros(m, np.uint64)
+            for i in range(min_run):
+                w = mix64(w * _M1 + sym[i : m + i])
+            out += [(h, route, piece, i, data[8 * i : 8 * (i + min_run)], low, high, n) for i, h in enumerate(w.view(np.int64).tolist())]
+            if len(out) > 50_000:
+                yield _window_batch(out)
+                out = []
+        yield _window_batch(out)
+
+
+_WINDOW = "window bigint, route bigint, piece bigint, at int, symbols binary, low bigint, high bigint, n bigint"
+
+
+def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    cols = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in _WINDOW.split(", ")])
+
+
+def _places(batches: Iterator[pa.RecordBatch], min_run: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     """Where each piece stands: hashes, record, first position, and the lines of its symbols."""
     for t in _carry(batches, 2):
-        route, lo, hi, sym = _pieces(t, min_run, limits, heavy)
+        route, lo, hi, sym = _pieces(t, min_run, limits)
         yield pa.RecordBatch.from_arrays(
             [pa.array(route.view(np.int64)), pa.array(_piece_hash(sym, lo, hi).view(np.int64)), pa.array(t.column(1).to_numpy()[lo]), pa.array(t.column(2).to_numpy()[lo].astype(np.int32))],
             ["route", "piece", "record", "start"],
@@ -372,18 +396,73 @@ def shared_runs(records: DataFrame, min_run: int = MIN_RUN, limits: Limits = Lim
     blocks = _blocks(records, min_run, limits.block).persist()
     piped = lambda f, *a: (lambda it: f(_dedup(it), min_run, limits, *a))
     counts = blocks.mapInArrow(piped(_count_routes), "route bigint, n bigint").groupBy("route").agg(F.sum("n").alias("n"))
-    # at most 1 / heavy_share minimizers can hold more than that share of the heavy pieces
-    many = cut(counts.where(F.col("n") > limits.heavy_pieces))
-    bound = limits.heavy_share * (many.agg(F.sum("n")).first()[0] or 0)
-    heavy = np.array([r[0] for r in many.where(F.col("n") > bound).select("route").collect()], np.int64).view(np.uint64)
-    sent = blocks.mapInArrow(piped(_send, heavy), "route bigint, piece bigint, symbols binary, low bigint, high bigint, n bigint")
+    many = cut(counts.where(F.col("n") > limits.heavy_symbols))
+    few = [r[0] for r in many.select("route").limit(limits.heavy_sent + 1).collect()]
+    joined = len(few) > limits.heavy_sent
+    sent = blocks.mapInArrow(piped(_send, np.array([] if joined else few, np.int64).view(np.uint64)), "heavy boolean, route bigint, piece bigint, symbols binary, low bigint, high bigint, n bigint")
+    if joined:
+        sent = fragment_replicate_join(sent.drop("heavy"), many.select("route", F.lit(True).alias("heavy")), ["route"], "left")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = sent.repartition(parts, "route").sortWithinPartitions("route")
+    columns = ["route", "piece", "symbols", "low", "high", "n"]
+    pieces = sent.where(~F.coalesce("heavy", F.lit(False))).select(columns) if few else sent.select(columns)
+    if few:
+        windows = cut(sent.where("heavy").mapInArrow(lambda it: _windows(it, min_run), _WINDOW))
+        one = windows.groupBy("window").agg(F.min("symbols").alias("symbols"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        pieces = pieces.unionByName(one.select(F.col("window").alias("route"), F.lit(0).cast("bigint").alias("piece"), "symbols", "low", "high", "n"))
+    shards = pieces.repartition(parts, "route").sortWithinPartitions("route")
     runs = cut(shards.mapInArrow(lambda it: _match(it, min_run, limits), "route bigint, piece bigint, begin int, stop int, n bigint"))
-    places = blocks.mapInArrow(piped(_places, heavy), "route bigint, piece bigint, record bigint, start int")
-    plan = plan_skew(runs.select("route", "piece", "n").distinct(), ["route", "piece"], load="n")
-    found = fragment_replicate_join(places, runs, ["route", "piece"], plan=plan)
-    return found.select("record", (F.col("start") + F.col("begin")).alias("first_pos"), (F.col("start") + F.col("stop")).alias("last_pos"))
+    if few:
+        # what was found of windows, back to the pieces they are of
+        of = windows.select("window", "route", "piece", "at").distinct()
+        back = fragment_replicate_join(of, runs.where("piece = 0").select(F.col("route").alias("window"), "n"), ["window"])
+        runs = cut(runs.where("piece <> 0").unionByName(back.select("route", "piece", F.col("at").alias("begin"), (F.col("at") + (min_run - 1)).alias("stop"), "n")))
+    places = blocks.mapInArrow(piped(_places), "route bigint, piece bigint, record bigint, start int")
+    plan = plan_skew(runs.groupBy("route", "piece").agg(F.max("n").alias("n")), ["route", "piece"], load="n")
+    found = fragment_replicate_join(places, runs.drop("n"), ["route", "piece"], plan=plan)
+    found = cut(found.select("record", (F.col("start") + F.col("begin")).alias("first_pos"), (F.col("start") + F.col("stop")).alias("last_pos")))
+    blocks.unpersist()
+    return found
+
+
+def spans_in_reference(records: DataFrame, reference: DataFrame, min_run: int = MIN_RUN, most: int = 300_000) -> DataFrame:
+    """(record, first_pos, last_pos): as shared_runs, the pieces of each record that stand in another record of a reference of at most ``most`` rows.
+
+    One automaton of the reference is sent to every task, and each record is streamed through it once. The reference is
+    collected to the driver, hence the bound; a larger one is refused (shared_runs has none).
+    """
+    rows = reference.select("record", "pos", "h1", "h2").where(F.col("record").isNotNull() & F.col("pos").isNotNull()).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"the reference has more than {most} rows")
+    t = pa.Table.from_pandas(rows.sort_values(["record", "pos", "h1", "h2"], na_position="last").drop_duplicates(["record", "pos"]).assign(block=0), preserve_index=False)
+    t = t.select(["block", "record", "pos", "h1", "h2"]).cast(pa.schema([("block", pa.int32()), ("record", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
+    automaton = SuffixAutomaton()
+    record, pos = t.column(1).to_numpy(), t.column(2).to_numpy()
+    _, _, _, sym = _pieces(t, min_run, Limits())
+    null = np.asarray(t.column(3).is_null()) | np.asarray(t.column(4).is_null())
+    cuts = np.flatnonzero(np.append(True, (record[1:] != record[:-1]) | (pos[1:] != pos[:-1] + 1) | null[1:] | null[:-1])) if len(record) else np.zeros(0, int)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(record)]):
+        if not null[a]:
+            automaton.add(sym[a:b].tolist(), int(record[a]), int(record[a]))
+    automaton.finish()
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits = Limits()
+        for t in _carry(_dedup(batches), 2):
+            route, lo, hi, sym = _pieces(t, min_run, limits)
+            if not len(lo):
+                continue
+            rec, pos = t.column(1).to_numpy(), t.column(2).to_numpy()
+            # pieces of one record that overlap make one sequence
+            new = np.flatnonzero(np.append(True, (lo[1:] > hi[:-1]) | (rec[lo[1:]] != rec[lo[:-1]]) | (lo[1:] != hi[:-1] - min_run + 2)))
+            out: list[tuple[int, int, int]] = []
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(lo)]):
+                r, x = int(rec[lo[a]]), int(lo[a])
+                for w in automaton.shared_windows(sym[x : hi[b - 1] + 1].tolist(), min_run, r):
+                    out.append((r, int(pos[x + w]), int(pos[x + w]) + min_run - 1))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], ["record", "first_pos", "last_pos"])
+
+    return _blocks(records, min_run, Limits.block).mapInArrow(stream, "record bigint, first_pos int, last_pos int")
 
 
 def stretches(runs: DataFrame, size: int = 4 * Limits.block) -> DataFrame:
@@ -421,6 +500,18 @@ def shared_spans(fingerprints: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return out.select(F.col("record").alias("file_idx"), "line_start", "line_end", "first_pos", "last_pos")
 
 
+def without_shared(fingerprints: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """(file_idx, pos, h1, h2): the fingerprints of each file without the stretches that stand in other files too.
+
+    One row per position; see shared_runs for nulls and repeated rows.
+    """
+    spans = shared_spans(fingerprints, min_run)
+    gone = spans.select("file_idx", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
+    least = F.min(F.struct(F.col("h1").isNull().alias("no1"), "h1", F.col("h2").isNull().alias("no2"), "h2"))
+    one = fingerprints.where(F.col("file_idx").isNotNull() & F.col("pos").isNotNull()).groupBy("file_idx", "pos").agg(least.alias("m"))
+    return one.join(gone, ["file_idx", "pos"], "left_anti").select("file_idx", "pos", "m.h1", "m.h2")
+
+
 def shared_share(fingerprints: DataFrame, parsed_files: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(file_idx, n_fingerprints, n_shared, share, shared_tokens): how much of each file stands elsewhere too.
 
