@@ -125,8 +125,8 @@ class Language:
                 # a line break or a brace ends a statement where nothing else fits
                 ended = self._step(stacks, "';'")
                 to = ended and self._step(ended, t)
-            if to is None or len(to) > Recogniser.WIDTH:
-                return None, i if to is None else -1
+            if to is None:
+                return None, i
             stacks = to
         if self.layout == "go" and tokens and (tokens[-1] in _GO_ENDS):
             to = self._step(stacks, "';'")
@@ -159,7 +159,7 @@ class Language:
                         known[key] = found
                 to, at = found
                 if to is None:
-                    return VALID if at < 0 else self._verdict(number, bare, at)
+                    return self._verdict(number, bare, at)
                 stacks = to
             number += 1 + line.count(FOLD)
         if not p.accepts(stacks):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 _PIECE = re.compile(r"\s*(?:#[^\n]*\n\s*)*(//|'(?:[^'\\]|\\.)+'|[A-Za-z_]\w*|[:;|()?*+])")
 BRACKETS = frozenset("()[]{}")
@@ -184,12 +184,15 @@ class Tables:
 
 
 class Recogniser:
-    """Feeds tokens to sets of stacks. Equal stacks are one node, so that what has been parsed once from a set is known."""
+    """Feeds tokens to graph-structured stacks.
+
+    A node is a state and the set of nodes below it, so stacks with one top state are one node,
+    however many there are: a text never needs more tops than there are states. Equal nodes
+    are one, so that what has been parsed once from a set of tops is known.
+    """
 
     #: Nodes and remembered steps after which the memory is emptied, between two texts.
     LIMIT = 400_000
-    #: Stacks kept side by side; a text that needs more counts as not understood, not as invalid.
-    WIDTH = 256
 
     def __init__(self, tables: Tables) -> None:
         self.t = tables
@@ -197,8 +200,8 @@ class Recogniser:
 
     def clear(self) -> None:
         self.state: list[int] = [0]
-        self.below: list[int] = [-1]
-        self.ids: dict[tuple[int, int], int] = {}
+        self.below: list[frozenset[int]] = [frozenset()]
+        self.ids: dict[tuple[int, frozenset[int]], int] = {(0, frozenset()): 0}
         self.sets: dict[frozenset[int], frozenset[int]] = {}
         self.steps: dict[tuple[frozenset[int], str], frozenset[int] | None] = {}
         self.start = frozenset([0])
@@ -208,7 +211,7 @@ class Recogniser:
         if len(self.state) + len(self.steps) + len(self.lines) > self.LIMIT:
             self.clear()
 
-    def _node(self, state: int, below: int) -> int:
+    def _node(self, state: int, below: frozenset[int]) -> int:
         key = (state, below)
         n = self.ids.get(key)
         if n is None:
@@ -217,34 +220,85 @@ class Recogniser:
             self.below.append(below)
         return n
 
-    def _closure(self, stacks: Iterable[int], token: str) -> list[int]:
-        """The stacks and all that reductions before token make of them."""
-        todo = list(stacks)
-        seen = set(todo)
+    def _level(self, stacks: Iterable[int], token: str) -> dict[int, set[int]]:
+        """What is below each top state once all reductions before token are made; nodes of this level are written ~state."""
         state, below, lefts, sizes, reduce, goto = self.state, self.below, self.t.lefts, self.t.sizes, self.t.reduce, self.t.goto
-        for n in todo:
-            for p in reduce[state[n]].get(token, ()):
-                if p == 0:
-                    continue
-                m = n
-                for _ in range(sizes[p]):
-                    m = below[m]
-                to = goto[state[m]].get(lefts[p])
-                if to is None:
-                    continue
-                k = self._node(to, m)
-                if k not in seen:
-                    seen.add(k)
-                    todo.append(k)
-        return todo
+        level: dict[int, set[int]] = {}
+        for n in stacks:
+            level.setdefault(state[n], set()).update(below[n])
+        todo = [s for s in level if token in reduce[s]]
+        while todo:
+            grown = False
+            for s in todo:
+                for p in reduce[s][token]:
+                    if p == 0:
+                        continue
+                    left, at = lefts[p], {~s}
+                    for _ in range(sizes[p]):
+                        if len(at) == 1:
+                            (m,) = at
+                            at = below[m] if m >= 0 else level[~m]
+                        else:
+                            at = {x for m in at for x in (below[m] if m >= 0 else level[~m])}
+                    for m in tuple(at):
+                        to = goto[state[m] if m >= 0 else ~m].get(left)
+                        if to is None:
+                            continue
+                        under = level.get(to)
+                        if under is None:
+                            level[to] = {m}
+                            grown = True
+                        elif m not in under:
+                            under.add(m)
+                            grown = True
+            # what has come may be reduced in turn, or lies below what was reduced before
+            todo = [s for s in level if token in reduce[s]] if grown else []
+        return level
+
+    def _freeze(self, level: dict[int, set[int]]) -> Callable[[int], int]:
+        """A function from the states of a level to nodes."""
+        made: dict[int, int] = {}
+        begun: dict[int, int] = {}
+
+        def node(s: int) -> int:
+            if s in made:
+                return made[s]
+            begun[s] = -1
+            under = []
+            for m in level[s]:
+                if m >= 0:
+                    under.append(m)
+                elif ~m in begun and ~m not in made:  # it lies below itself, by reductions of nothing
+                    if begun[~m] < 0:
+                        begun[~m] = len(self.state)
+                        self.state.append(~m)
+                        self.below.append(frozenset())
+                    under.append(begun[~m])
+                else:
+                    under.append(node(~m))
+            if begun[s] < 0:
+                made[s] = self._node(s, frozenset(under))
+            else:
+                made[s] = begun[s]
+                self.below[made[s]] = frozenset(under)
+            return made[s]
+
+        return node
 
     def step(self, stacks: frozenset[int], token: str) -> frozenset[int] | None:
-        """The stacks after a token; None if there is none."""
+        """The tops after a token; None if there is none."""
         key = (stacks, token)
         if key in self.steps:
             return self.steps[key]
-        shift, state = self.t.shift, self.state
-        out = frozenset([self._node(to, n) for n in self._closure(stacks, token) if (to := shift[state[n]].get(token)) is not None])
+        shift = self.t.shift
+        level = self._level(stacks, token)
+        node = self._freeze(level)
+        after: dict[int, list[int]] = {}
+        for s in level:
+            to = shift[s].get(token)
+            if to is not None:
+                after.setdefault(to, []).append(node(s))
+        out = frozenset([self._node(to, frozenset(under)) for to, under in after.items()])
         out = self.sets.setdefault(out, out) if out else None
         self.steps[key] = out
         return out
@@ -252,7 +306,8 @@ class Recogniser:
     def accepts(self, stacks: frozenset[int]) -> bool:
         """Whether the text may end here."""
         final = self.t.goto[0].get(self.t.lefts[1]) if len(self.t.lefts) > 1 else None
-        return any(self.state[n] == final and self.below[n] == 0 for n in self._closure(stacks, END))
+        under = self._level(stacks, END).get(final, ())
+        return 0 in under or ~0 in under
 
     def feed(self, stacks: frozenset[int], tokens: Sequence[str]) -> tuple[frozenset[int] | None, int]:
         """(stacks after the tokens, tokens taken); None if one could not be taken."""

@@ -59,6 +59,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.checked_files(table(spark, sf_dir, "source_files")).where(~F.col("valid")).select("file_idx")
 
 
+def p4_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each file that isn't valid, the line and token that no parse can take."""
+    return syntax.checked_files(table(spark, sf_dir, "source_files")).where(~F.col("valid")).select("file_idx", "claimed", "error_line", "error_token")
+
+
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate of invalid files per repository and language."""
     return syntax.invalid_rates(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "ast_hashes"))
@@ -94,7 +99,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_removed, p1_share, p1_share_counted, p2_found, p2_kept, p2_held_out, p2_ignored, p4_found, p4_rates, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_removed, p1_share, p1_share_counted, p2_found, p2_kept, p2_held_out, p2_ignored, p4_found, p4_errors, p4_rates, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 _SPANS = """
         WITH d AS (SELECT file_idx, pos, min(row(h1 IS NULL, h1, h2 IS NULL, h2)) AS h, min(line_start) AS ls, min(line_end) AS le FROM fingerprints WHERE file_idx IS NOT NULL AND pos IS NOT NULL GROUP BY file_idx, pos),
