@@ -49,6 +49,34 @@ def test_join_equals_plain_join(spark, skewed, how):
         skew.fragment_replicate_join(skewed, right, ["h1"], "full")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_of_bare_keys(spark, skewed, how, monkeypatch):
+    monkeypatch.setattr(skew, "PORTION", 100)
+    right = spark.createDataFrame([(7, 1, "a"), (7, 1, "b"), (3, 0, "c"), (None, None, "d")], "h1 bigint, h2 bigint, n string")
+    left = skewed.select("h1", "h2")
+    assert rows(skew.fragment_replicate_join(left, right, ["h1", "h2"], how)) == rows(left.join(right, ["h1", "h2"], how))
+
+
+@pytest.mark.parametrize("bare", [False, True])
+def test_join_tasks_are_balanced(spark, bare, monkeypatch):
+    monkeypatch.setattr(skew, "PORTION", 100)
+    left = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 400).alias("k"), F.col("id").alias("v"))
+    right = left.select("k").distinct().withColumn("w", F.lit(1))
+    plan = skew.plan_skew(left.select("k"), ["k"], 8)
+    assert plan.heavy and plan.total == 20_000
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.fragment_replicate_join(left.select("k") if bare else left, right, ["k"], plan=plan)
+        tasks = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        plan_text = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(tasks) == 20_000 and len(tasks) == 8 and max(tasks) < 1.5 * 20_000 / 8
+    # both sides move once, to their tasks
+    assert plan_text.count("REPARTITION_BY_NUM") == 2
+
+
 def test_packing_is_balanced():
     where, loads = skew.pack([50, 30, 20, 20, 20, 10], 3)
     assert max(loads) == 50 and len(set(where)) == 3

@@ -5,8 +5,8 @@ task are *heavy*; there are at most ``tasks * grain`` of them, whatever the
 size of the data, so only these and one total per hash bin reach the driver.
 Heavy keys are split into shards in proportion to their load; all other keys
 go to hash bins. Shards and bins are packed to tasks (largest first, to the
-least loaded task) and the packing is broadcast: its size depends on
-the number of tasks only. A matching side is replicated to the shards of a
+least loaded task) and the packing goes with the plan: its size depends on
+the number of tasks only. Rows are moved to the task of their shard or bin, for groups and for joins. A matching side is replicated to the shards of a
 heavy key and to nothing else.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ from twinweave.session import parallelism
 
 #: Heavy is a key with more than 1/GRAIN of a task's fair share of the rows.
 GRAIN = 4
+#: Equal rows that are joined as one, at most.
+PORTION = 10_000
 #: Hash bins for the light keys, per task.
 BINS_PER_TASK = 16
 
@@ -32,13 +34,14 @@ _LOAD, _KEYID, _BIN, _SHARD, _TASK = "__load", "__keyid", "__bin", "__shard", "_
 
 @dataclass(frozen=True)
 class SkewPlan:
-    """keys: key columns; tasks: number of tasks; heavy: (key id, shards) and their task of each shard; bins: task of each hash bin."""
+    """keys: key columns; tasks: number of tasks; heavy: (key id, shards) and their task of each shard; bins: task of each hash bin; loads: of each task; total: of all rows."""
 
     keys: tuple[str, ...]
     tasks: int
     bins: tuple[int, ...]
     heavy: dict[int, tuple[int, ...]]
     loads: tuple[float, ...]
+    total: int = 0
 
     @property
     def imbalance(self) -> float:
@@ -71,12 +74,13 @@ def plan_skew(df: DataFrame, keys: Sequence[str], tasks: int | None = None, load
     spark = df.sparkSession
     tasks = tasks or parallelism(spark)
     n_bins = min(tasks * BINS_PER_TASK, max(2048, 2 * tasks))
-    loads = df.groupBy(key_id(keys).alias(_KEYID)).agg((F.sum(load) if load else F.count(F.lit(1))).alias(_LOAD))
+    loads = df.groupBy(key_id(keys).alias(_KEYID)).agg((F.sum(load) if load else F.count(F.lit(1))).alias(_LOAD)).persist()
     # bins first: their sum is the total, from which follows what is heavy
     by_bin = {r[0]: r[1] for r in loads.groupBy(F.pmod(F.col(_KEYID), F.lit(n_bins)).alias(_BIN)).agg(F.sum(_LOAD)).collect()}
     total = sum(by_bin.values())
     bound = max(1.0, total / (tasks * GRAIN))
     heavy = loads.where(F.col(_LOAD) > bound).collect() if max(by_bin.values(), default=0) > bound else []
+    loads.unpersist()
     items: list[tuple[float, tuple[int, int] | None, int]] = []
     for r in sorted(heavy, key=lambda r: r[_KEYID]):
         shards = -(-int(r[_LOAD]) // int(bound))
@@ -90,7 +94,7 @@ def plan_skew(df: DataFrame, keys: Sequence[str], tasks: int | None = None, load
             bins[b] = t
         else:
             shards_of.setdefault(shard[0], []).append(t)
-    return SkewPlan(tuple(keys), tasks, tuple(bins), {k: tuple(v) for k, v in shards_of.items()}, tuple(total_by_task))
+    return SkewPlan(tuple(keys), tasks, tuple(bins), {k: tuple(v) for k, v in shards_of.items()}, tuple(total_by_task), int(total))
 
 
 def _placement(spark: SparkSession, plan: SkewPlan) -> DataFrame:
@@ -99,9 +103,13 @@ def _placement(spark: SparkSession, plan: SkewPlan) -> DataFrame:
     return spark.createDataFrame([(k, list(v)) for k, v in plan.heavy.items()], schema)
 
 
+def _constant(values: Sequence[int]) -> Column:
+    """An array that is folded into one constant, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def _bin_task(plan: SkewPlan) -> Column:
-    bins = F.array(*[F.lit(t) for t in plan.bins]) if plan.bins else F.array(F.lit(0))
-    return F.element_at(bins, (F.pmod(F.col(_KEYID), F.lit(len(plan.bins) or 1)) + 1).cast("int"))
+    return F.element_at(_constant(plan.bins or (0,)), (F.pmod(F.col(_KEYID), F.lit(len(plan.bins) or 1)) + 1).cast("int"))
 
 
 def assign(df: DataFrame, plan: SkewPlan, spread_by: Sequence[str], replicate: bool = False) -> DataFrame:
@@ -144,8 +152,7 @@ def _murmur3(value: int, seed: int = 42) -> int:
 
 def place(df: DataFrame, plan: SkewPlan) -> DataFrame:
     """Move each row to its task: a hash partitioning of a salt chosen per task, which later groupings by (salt, ...) reuse."""
-    salts = F.array(*[F.lit(s) for s in task_salt(plan.tasks)])
-    return df.withColumn(_TASK, F.element_at(salts, F.col(_TASK) + 1)).repartition(plan.tasks, _TASK)
+    return df.withColumn(_TASK, F.element_at(_constant(task_salt(plan.tasks)), F.col(_TASK) + 1)).repartition(plan.tasks, _TASK)
 
 
 def balanced_group_stats(df: DataFrame, keys: Sequence[str], distinct: str, lo: str, hi: str, names: Sequence[str] = ("rows", "distinct_values", "first", "last"), plan: SkewPlan | None = None) -> DataFrame:
@@ -165,7 +172,7 @@ def balanced_group_stats(df: DataFrame, keys: Sequence[str], distinct: str, lo:
     n_rows, n_distinct, first, last = names
     slim = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(distinct).alias("d"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
     ks = [f"k{i}" for i in range(len(keys))]
-    plan = plan or plan_skew(slim, ks)
+    plan = replace(plan, keys=tuple(ks)) if plan else plan_skew(slim, ks)
     placed = place(assign(slim, plan, ["d", "lo", "hi"]).drop(_KEYID), plan)
     part = placed.groupBy(_TASK, _SHARD, *ks, "d").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     whole = lambda x, *by: x.groupBy(*by).agg(F.sum("n").alias("n"), F.count("d").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -180,16 +187,29 @@ def balanced_group_stats(df: DataFrame, keys: Sequence[str], distinct: str, lo:
 def fragment_replicate_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", plan: SkewPlan | None = None) -> DataFrame:
     """Equi-join in which heavy keys of the left side are split and only their right rows are replicated, to their shards only.
 
+    Both sides are moved to the task of their shard or bin, and joined there. For this the session's
+    spark.sql.requireAllClusterKeysForCoPartition is set to false: else Spark would move both sides once more, by the hash of all keys.
+
     how: inner, left, left_semi or left_anti. Null keys match nothing, as in SQL; a
     left row then still appears in a left or anti join. Columns of the right side whose names the left side
-    has too get the suffix ``_r``.
+    has too get the suffix ``_r``. Of a left side without other columns equal rows are counted and the counts joined, in
+    portions of at most PORTION, so that they too can be split.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
     keys = list(keys)
     plan = plan or plan_skew(left.select(*keys), keys)
-    others = [c for c in left.columns if c not in keys] or keys
-    a = assign(left, plan, others)
-    renamed = right.select(*[F.col(c).alias(c if c in keys or c not in left.columns else f"{c}_r") for c in right.columns])
-    b = assign(renamed, plan, keys, replicate=True).drop(_TASK, _KEYID)
-    return a.drop(_TASK, _KEYID).join(b, [_SHARD, *keys], how).drop(_SHARD)
+    left.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    others = [c for c in left.columns if c not in keys]
+    bare = not others
+    names = left.columns
+    if bare:
+        counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        portion = F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / PORTION))).alias("__portion")
+        left = counted.select(*keys, "__n", portion).select(*keys, "__portion", F.least(F.lit(PORTION), F.col("__n") - F.col("__portion") * PORTION).alias("__n"))
+        others = ["__portion"]
+    a = place(assign(left, plan, others).drop(_KEYID), plan)
+    renamed = right.select(*[F.col(c).alias(c if c in keys or c not in names else f"{c}_r") for c in right.columns])
+    b = place(assign(renamed, plan, keys, replicate=True).drop(_KEYID), plan)
+    out = a.join(b, [_TASK, _SHARD, *keys], how).drop(_SHARD, _TASK)
+    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__n", "__portion") if bare else out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.operators.skew import balanced_group_stats, fragment_replicate_join, plan_skew
+from twinweave.operators.skew import SkewPlan, balanced_group_stats, fragment_replicate_join, plan_skew
 from twinweave.session import table
 
 #: Share of all rows from which a hash counts as one of the few that hold most.
@@ -16,17 +16,20 @@ _FP = ("file_idx", "h1", "h2", "line_start", "line_end")
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes, both halves not null, that hold at least HOT_SHARE of all rows, repeated rows and rows with nulls included."""
-    stats = p3_hash_stats(spark, sf_dir)
-    total = table(spark, sf_dir, "fingerprints").agg(F.count(F.lit(1)).alias("total"))
-    hot = stats.where(F.col("h1").isNotNull() & F.col("h2").isNotNull())
-    # integers, so that the bound is met exactly
-    return hot.crossJoin(F.broadcast(total)).where(F.col("n_rows") * 10_000 >= F.col("total") * round(HOT_SHARE * 10_000)).select("h1", "h2")
+    plan = plan_skew(table(spark, sf_dir, "fingerprints"), ["h1", "h2"])
+    hot = _hash_stats(spark, sf_dir, plan).where(F.col("h1").isNotNull() & F.col("h2").isNotNull())
+    # integers, so that the bound is met exactly; the plan has counted all rows
+    return hot.where(F.col("n_rows") * 10_000 >= F.lit(plan.total) * round(HOT_SHARE * 10_000)).select("h1", "h2")
+
+
+def _hash_stats(spark: SparkSession, sf_dir: str, plan: SkewPlan | None = None) -> DataFrame:
+    fp = table(spark, sf_dir, "fingerprints").select(*_FP)
+    return balanced_group_stats(fp, ["h1", "h2"], "file_idx", "line_start", "line_end", ("n_rows", "n_files", "first_line", "last_line"), plan)
 
 
 def p3_hash_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, distinct files and line extent of every hash."""
-    fp = table(spark, sf_dir, "fingerprints").select(*_FP)
-    return balanced_group_stats(fp, ["h1", "h2"], "file_idx", "line_start", "line_end", ("n_rows", "n_files", "first_line", "last_line"))
+    return _hash_stats(spark, sf_dir)
 
 
 def p3_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
