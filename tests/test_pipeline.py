@@ -361,3 +361,32 @@ def test_watch(spark, tmp_path):
     handle(batch(("a", "1"), ("b", "2")), 1)
     handle(batch(("b", "2")), 2)
     assert seen == [["a", "b"], ["b"], []]
+
+
+def test_classes_and_links_against_all_pairs(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    rows = []
+    for f in range(30):
+        line = 1
+        for p in range(rng.randrange(0, 25)):
+            end = line + rng.randrange(0, 3)
+            rows.append((f * 10, p, rng.choice([1, 1, 1, rng.randrange(9)]), 0, line, end))
+            line += rng.randrange(0, 3)
+    rows += [(None, 0, 1, 0, 1, 1), (5, 0, None, 1, 1, 1)]
+    fp = spark.createDataFrame(rows, "file_idx bigint, pos int, h1 bigint, h2 bigint, line_start int, line_end int")
+    known = fp.where("file_idx IS NOT NULL")
+    raw = pairs.raw_pairs(known).collect()
+    by_hash, by_file = Counter((r.h1, r.h2) for r in raw), Counter(x for r in raw for x in {r.file_a, r.file_b})
+    classes = {(r.h1, r.h2): r.n_links for r in pairs.clone_classes(known).collect()}
+    assert {k: v for k, v in classes.items() if v} == dict(by_hash)
+    assert {r.file_idx: r.n_links for r in pairs.file_links(fp).collect() if r.n_links} == dict(by_file)
+    # a search with some files gives their share of all pairs, each once
+    names = ["file_a", "pos_a", "file_b", "pos_b", "h1", "h2"]
+    for scan_self in (True, False):
+        want = sorted(tuple(r[c] for c in names) for r in pairs.raw_pairs(known, scan_self).collect() if r.file_a % 50 == 0 or r.file_b % 50 == 0)
+        assert sorted(map(tuple, pairs.raw_pairs_of(fp, 50, scan_self).select(*names).collect())) == want and want
+    empty = fp.where("false")
+    assert pairs.clone_classes(empty).count() == 0 and pairs.file_links(empty).count() == 0 and pairs.raw_pairs_of(empty, 50).count() == 0

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.config import ScanConfig
 from twinweave.operators.lexer import lex, parseable
-from twinweave.session import spread
+from twinweave.operators.skew import fragment_replicate_join
+from twinweave.session import cut, spread
 from twinweave.sources.languages import language
 
 #: Lines that may lie between two matches that are merged.
@@ -43,6 +44,69 @@ def raw_pairs(fingerprints: DataFrame, scan_self: bool = True) -> DataFrame:
     return a.join(b, ["h1", "h2"]).where(order)
 
 
+def _per_file(fingerprints: DataFrame) -> DataFrame:
+    """(h1, h2, file_idx, n, apart): the places of a hash in a file, and how many pairs of them have lines that don't meet.
+
+    Two places are apart if one ends before the other starts: a running count of ends, in the order of lines. So
+    no pair is made; the places of one hash in one file, sorted, are the largest unit of work.
+    """
+    slim = fingerprints.where(F.col("h1").isNotNull() & F.col("h2").isNotNull())
+    event = lambda line, end: F.struct(F.col(line).alias("line"), F.lit(int(end)).alias("ends"))
+    events = slim.select("h1", "h2", "file_idx", F.explode(F.array(event("line_start", False), event("line_end", True))).alias("e")).select("h1", "h2", "file_idx", "e.*")
+    # what starts on a line on which another ends isn't apart from it
+    so_far = Window.partitionBy("h1", "h2", "file_idx").orderBy("line", "ends").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.withColumn("ended", F.sum("ends").over(so_far))
+    return counted.groupBy("h1", "h2", "file_idx").agg(F.sum(1 - F.col("ends")).alias("n"), F.sum(F.when(F.col("ends") == 0, F.col("ended")).otherwise(0)).alias("apart"))
+
+
+def clone_classes(fingerprints: DataFrame) -> DataFrame:
+    """(h1, h2, n_places, n_files, n_links): a row per hash that stands at two places or more.
+
+    n_links is the number of rows that raw_pairs would have for it, counted without making them, so that work and
+    result grow with the places, not with their pairs. Null hashes have no row; repeated rows count as places; an
+    empty table gives no rows.
+    """
+    return _classes(_per_file(fingerprints)).select("h1", "h2", "n_places", "n_files", "n_links")
+
+
+def _classes(per_file: DataFrame) -> DataFrame:
+    one = per_file.groupBy("h1", "h2").agg(F.sum("n").alias("n_places"), F.count(F.lit(1)).alias("n_files"), F.sum("apart").alias("apart"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    links = F.expr("(n_places * n_places - squares) div 2 + apart")
+    return one.where(F.col("n_places") > 1).withColumn("n_links", links)
+
+
+def file_links(fingerprints: DataFrame) -> DataFrame:
+    """(file_idx, n_places, n_shared, n_links): of each file its places, those whose hash stands in another file too, and the raw pairs it is in.
+
+    Hashes that hold a large part of all rows are split (fragment_replicate_join). Rows with a null file or hash are left out.
+    """
+    per_file = cut(_per_file(fingerprints.where(F.col("file_idx").isNotNull())))
+    classes = _classes(per_file).select("h1", "h2", "n_places", "n_files")
+    joined = fragment_replicate_join(per_file, classes, ["h1", "h2"], "left")
+    other = F.coalesce(F.col("n_places") - F.col("n"), F.lit(0))
+    return joined.groupBy("file_idx").agg(F.sum("n").alias("n_places"), F.sum(F.when(F.col("n_files") > 1, F.col("n")).otherwise(0)).alias("n_shared"), F.sum(F.col("n") * other + F.col("apart")).alias("n_links"))
+
+
+def raw_pairs_of(fingerprints: DataFrame, every: int, scan_self: bool = True) -> DataFrame:
+    """The raw_pairs of which at least one file's number is divisible by ``every``: a search with these files against all.
+
+    Frequent hashes are split by all rows' side, the searched files' places go to their shards.
+    """
+    counts = [c for c in ("before", "upto") if c in fingerprints.columns]
+    of = ["file_idx", "pos", "line_start", "line_end", *counts]
+    every_row = fingerprints.where(F.col("h1").isNotNull() & F.col("h2").isNotNull()).select("h1", "h2", *of)
+    chosen = every_row.where(F.col("file_idx") % every == 0).select("h1", "h2", F.struct(*of).alias("q"))
+    joined = fragment_replicate_join(every_row.select("h1", "h2", F.struct(*of).alias("p")), chosen, ["h1", "h2"])
+    first = lambda x, y: (F.col(f"{x}.file_idx") < F.col(f"{y}.file_idx")) | (F.col(f"{x}.file_idx") == F.col(f"{y}.file_idx")) & (F.col(f"{x}.pos") < F.col(f"{y}.pos"))
+    # a pair of two searched places is found from both; once is enough
+    once = joined.where(first("q", "p") | first("p", "q") & (F.col("p.file_idx") % every != 0))
+    side = lambda s, x: [x["file_idx"].alias(f"file_{s}"), x["pos"].alias(f"pos_{s}"), x["line_start"].alias(f"start_{s}"), x["line_end"].alias(f"end_{s}"), *[x[c].alias(f"{c}_{s}") for c in counts]]
+    a, b = F.when(first("q", "p"), F.col("q")).otherwise(F.col("p")), F.when(first("q", "p"), F.col("p")).otherwise(F.col("q"))
+    pairs = once.select("h1", "h2", a.alias("a"), b.alias("b")).select("h1", "h2", *side("a", F.col("a")), *side("b", F.col("b")))
+    same = F.col("file_a") == F.col("file_b")
+    return pairs.where(~same | ((F.col("start_a") > F.col("end_b")) | (F.col("start_b") > F.col("end_a")))) if scan_self else pairs.where(~same)
+
+
 def _fold(batches: Iterator[pa.RecordBatch], gap: int, counted: bool = False) -> Iterator[pa.RecordBatch]:
     """Merge sorted raw pairs; only the open pair is held, however many a pair of files has."""
     cur: list | None = None
@@ -133,15 +197,15 @@ def fragment_hash(h1: str = "h1", h2: str = "h2") -> F.Column:
     return F.concat(F.lower(F.hex(h1)), F.lit("-"), F.lower(F.hex(h2)))
 
 
-def clone_pairs(source_files: DataFrame, fingerprints: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+def clone_pairs(source_files: DataFrame, fingerprints: DataFrame, config: ScanConfig = ScanConfig(), every: int = 1) -> DataFrame:
     """The result rows of a scan, of at least min_tokens tokens, one per six line numbers and files.
 
-    fingerprints may be counted ones; others need a second pass over the files for the tokens of spans.
+    With ``every``, only those of which one file's number is divisible by it (raw_pairs_of). fingerprints may be counted ones; others need a second pass over the files for the tokens of spans.
 
     The count of a pair is the smaller of its sides', at least k. file_a and
     file_b are paths. The type is Exact; authors are null (see sources.git for them).
     """
-    counted = merged_pairs(raw_pairs(fingerprints, config.scan_self))
+    counted = merged_pairs(raw_pairs(fingerprints, config.scan_self) if every == 1 else raw_pairs_of(fingerprints, every, config.scan_self))
     if "tokens_a" not in counted.columns:
         counted = span_tokens(counted, line_counts(source_files, config))
     tokens = F.greatest(F.lit(config.k), F.least("tokens_a", "tokens_b"))

@@ -74,15 +74,15 @@ def ctes(config: ScanConfig) -> str:
     prints AS MATERIALIZED (SELECT k.* FROM kgrams k JOIN chosen c ON c.file_idx = k.file_idx AND c.pos = k.pos)"""
 
 
-def pair_ctes(config: ScanConfig) -> str:
-    """raw and merged pairs, and clone pairs; to follow ctes() in WITH RECURSIVE."""
+def pair_ctes(config: ScanConfig, where: str = "true") -> str:
+    """raw and merged pairs, of which where holds, and clone pairs; to follow ctes() in WITH RECURSIVE."""
     k = config.k
     self_ = "OR (a.file_idx = b.file_idx AND a.pos < b.pos AND (a.line_start > b.line_end OR b.line_start > a.line_end))" if config.scan_self else ""
     span = lambda f, s, e: f"(SELECT count(*) FROM tokens t WHERE t.file_idx = i.{f} AND t.line_start >= i.{s} AND t.line_end <= i.{e})"
     return f"""
     raw AS MATERIALIZED (
         SELECT a.file_idx AS file_a, a.pos AS pos_a, a.line_start AS start_a, a.line_end AS end_a, b.file_idx AS file_b, b.pos AS pos_b, b.line_start AS start_b, b.line_end AS end_b, a.h1, a.h2
-        FROM prints a JOIN prints b ON a.h1 = b.h1 AND a.h2 = b.h2 WHERE a.file_idx < b.file_idx {self_}),
+        FROM prints a JOIN prints b ON a.h1 = b.h1 AND a.h2 = b.h2 WHERE (a.file_idx < b.file_idx {self_}) AND {where}),
     numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file_a, file_b ORDER BY start_a, start_b, end_a, end_b, h1, h2) AS rn FROM raw),
     fold AS (
         SELECT file_a, file_b, rn, 1 AS isle, start_a, end_a, start_b, end_b, h1, h2 FROM numbered WHERE rn = 1

@@ -192,14 +192,55 @@ def kgram_hashes_normalised(spark, d):
     return lexer.kgrams(_files(spark, d), NORMALISED)
 
 
-@_query(f"{_NORMAL_PAIRS} SELECT * FROM raw")
-def raw_pairs_normalised(spark, d):
-    return pairs.raw_pairs(lexer.fingerprints(_files(spark, d), NORMALISED))
+def _links(prints: str) -> str:
+    """Per hash the pairs of places that raw_pairs has."""
+    return f"SELECT a.h1, a.h2, count(*) AS n FROM {prints} a JOIN {prints} b ON b.h1 = a.h1 AND b.h2 = a.h2 WHERE a.file_idx < b.file_idx OR a.file_idx = b.file_idx AND a.line_end < b.line_start GROUP BY ALL"
 
 
-@_query(f"{_NORMAL_PAIRS} SELECT * FROM raw WHERE file_a <> file_b")
-def raw_pairs_cross_normalised(spark, d):
-    return pairs.raw_pairs(lexer.fingerprints(_files(spark, d), NORMALISED), scan_self=False)
+def _class_sql(prints: str) -> str:
+    return f"c AS (SELECT h1, h2, count(*) AS n_places, count(DISTINCT file_idx) AS n_files FROM {prints} WHERE h1 IS NOT NULL AND h2 IS NOT NULL GROUP BY h1, h2 HAVING count(*) > 1), l AS ({_links(prints)}) SELECT c.*, coalesce(l.n, 0) AS n_links FROM c LEFT JOIN l ON l.h1 = c.h1 AND l.h2 = c.h2"
+
+
+def _file_sql(prints: str) -> str:
+    return f"""f AS (SELECT h1, h2, file_idx, count(*) AS n FROM {prints} WHERE h1 IS NOT NULL AND h2 IS NOT NULL AND file_idx IS NOT NULL GROUP BY ALL),
+    c AS (SELECT h1, h2, sum(n) AS n_places, count(*) AS n_files FROM f GROUP BY ALL),
+    o AS (SELECT a.file_idx, count(*) AS n FROM {prints} a JOIN {prints} b ON b.h1 = a.h1 AND b.h2 = a.h2 AND b.file_idx = a.file_idx WHERE a.line_end < b.line_start GROUP BY ALL)
+    SELECT f.file_idx, CAST(sum(f.n) AS BIGINT) AS n_places, CAST(sum(CASE WHEN n_files > 1 THEN f.n ELSE 0 END) AS BIGINT) AS n_shared, CAST(sum(f.n * (n_places - f.n)) + coalesce(any_value(o.n), 0) AS BIGINT) AS n_links
+    FROM f JOIN c ON c.h1 = f.h1 AND c.h2 = f.h2 LEFT JOIN o ON o.file_idx = f.file_idx GROUP BY f.file_idx"""
+
+
+@_query(f"WITH {_NORMAL_CTES}, {_class_sql('prints')}")
+def clone_classes_normalised(spark, d):
+    """All raw pairs in linear space: a row per fragment with the number of its links."""
+    return pairs.clone_classes(lexer.fingerprints(_files(spark, d), NORMALISED))
+
+
+@_query(f"WITH {_NORMAL_CTES}, {_file_sql('prints')}")
+def file_links_normalised(spark, d):
+    """A row per file with the number of raw pairs it is in."""
+    return pairs.file_links(lexer.fingerprints(_files(spark, d), NORMALISED))
+
+
+@_query(f"WITH {_class_sql('fingerprints')}")
+def fingerprint_classes(spark, d):
+    """The same of the given fingerprints, one hash of which holds a tenth of the rows."""
+    return pairs.clone_classes(table(spark, d, "fingerprints"))
+
+
+@_query(f"WITH {_file_sql('fingerprints')}")
+def fingerprint_links(spark, d):
+    return pairs.file_links(table(spark, d, "fingerprints"))
+
+
+#: Files whose number is divisible by that are searched for against all.
+EVERY = 50
+
+
+@_query(f"WITH RECURSIVE {_NORMAL_CTES}, {oracles.pair_ctes(NORMALISED, f'(a.file_idx % {EVERY} = 0 OR b.file_idx % {EVERY} = 0)')} SELECT * FROM found")
+def clone_pairs_search(spark, d):
+    """The clone pairs of every 50th file with all files."""
+    f = _files(spark, d)
+    return pairs.clone_pairs(f, lexer.counted_fingerprints(f, NORMALISED), NORMALISED, every=EVERY)
 
 
 @_query(f"{_NORMAL_PAIRS} SELECT * FROM merged")
