@@ -253,7 +253,7 @@ def test_reports(spark, tmp_path, capsys):
         (tmp_path / n).write_text(FN * 6)
     (tmp_path / "bad.rs").write_bytes(b"\xff\xfe")
     assert files.read_directory(spark, str(tmp_path)).where("content IS NOT NULL").count() == 2
-    assert cli.main([str(tmp_path), "--fail-threshold", "1", "--languages", "rust,python"], spark) == 1
+    assert cli.main([str(tmp_path), "--fail-threshold", "1", "--languages", "Rust,Python"], spark) == 1
     assert "Clone pairs:" in capsys.readouterr().out
     cli.main([str(tmp_path), "--format", "json", "-o", str(tmp_path / "r.json")], spark)
     assert json.loads((tmp_path / "r.json").read_text())["total_files"] == 3
@@ -390,3 +390,42 @@ def test_classes_and_links_against_all_pairs(spark):
         assert sorted(map(tuple, pairs.raw_pairs_of(fp, 50, scan_self).select(*names).collect())) == want and want
     empty = fp.where("false")
     assert pairs.clone_classes(empty).count() == 0 and pairs.file_links(empty).count() == 0 and pairs.raw_pairs_of(empty, 50).count() == 0
+
+
+def test_directory_listing(spark, tmp_path):
+    (tmp_path / "pkg" / "out").mkdir(parents=True)
+    for name, text in {"pkg/__init__.py": b"x = 1", "pkg/a.py": b"y", "pkg/bad.py": b"\xff", "pkg/out/b.py": b"z", "pkg/out/keep.py": b"k", ".gitignore": b"# no\npkg/out/*\n!keep.py\n", ".hidden": b"h"}.items():
+        (tmp_path / name).write_bytes(text)
+    (tmp_path / "loop").symlink_to(tmp_path)
+    rows = files.read_directory(spark, str(tmp_path)).orderBy("file_idx").collect()
+    assert [(r.file_idx, r.path, r.content) for r in rows] == [(0, "pkg/__init__.py", "x = 1"), (1, "pkg/a.py", "y"), (2, "pkg/bad.py", None), (3, "pkg/out/keep.py", "k")]
+    assert [r.path for r in files.read_directory(spark, f"file://{tmp_path}").orderBy("file_idx").collect()] == [r.path for r in rows]
+    assert files.read_directory(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception):
+        files.read_directory(spark, "nosuchscheme://x/y")
+
+
+def test_unknown_language_keeps_nothing(spark, tmp_path, capsys):
+    (tmp_path / "a.rs").write_text("fn a() {}")
+    assert cli.main([str(tmp_path), "--languages", "Cobol"], spark) == 0
+    assert "Total files:      0" in capsys.readouterr().out
+
+
+def test_run_reports_and_keeps(spark):
+    import time
+
+    from twinweave.plans.scan import Cancelled, run
+
+    f = spark.createDataFrame([(i, f"m{i}/a.rs", "fn f(a: u8) -> u8 { let b = a + 1; if b > 2 { g(b) } else { h(a, b) } }\n" * 9) for i in range(3)], "file_idx bigint, path string, content string")
+    said = []
+    began = time.time()
+    done = run(scan(spark, f), lambda name, share, text: said.append((name, share)))
+    r = done.result().first()
+    assert 0 < r.duration_ms <= (time.time() - began) * 1000 + 50 and r.duration_ms > 200
+    assert [s[0] for s in said] == ["Discovery", "Tokenization", "Indexing", "Merging", "Complete"] and r.total_clones == done.pairs.count() > 0
+    assert "MapInArrow" not in done.pairs._jdf.queryExecution().executedPlan().toString()  # nothing is lexed again
+    assert sorted(map(str, done.pairs.collect())) == sorted(map(str, scan(spark, f).pairs.collect()))
+    polls = []
+    with pytest.raises(Cancelled):
+        run(scan(spark, f), cancelled=lambda: polls.append(1) or len(polls) > 3)
+    assert spark.range(3).count() == 3  # later jobs are not in the cancelled group

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinweave.config import ScanConfig
 from twinweave.operators import lexer, metrics, pairs
+from twinweave.session import cut
 from twinweave.sources import git
 
 Progress = Callable[[str, float, str], None]
@@ -23,7 +25,7 @@ class Cancelled(RuntimeError):
 
 @dataclass
 class Scan:
-    """The tables of a scan; all but duration_ms are lazy."""
+    """The tables of a scan, lazy until run() has been over them; started is when it was composed, in seconds."""
 
     scan_id: str
     config: ScanConfig
@@ -34,18 +36,20 @@ class Scan:
     breakdown: DataFrame
     total_files: DataFrame
     metrics: DataFrame
+    started: float = field(default_factory=time.time)
 
     def result(self) -> DataFrame:
         """The result as one row, with its pairs and languages nested; for results that fit one row."""
-        started = time.time()
         pair = pairs.in_order(self.pairs)
         cols = self.pairs.columns
         # the order inside the array is that of the struct
         nested = pair.select(F.struct((-F.col("token_count")).alias("k"), *cols).alias("p")).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(*[p[c].alias(c) for c in cols])).alias("clone_pairs"))
         langs = self.breakdown.agg(F.array_sort(F.collect_list(F.struct("language", "files", "tokens", "clones"))).alias("language_breakdown"))
+        # asked for when the row is made, so after all it is made of
+        took = F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("bigint") - F.lit(int(self.started * 1000))
         one = self.total_files.crossJoin(self.metrics).crossJoin(nested).crossJoin(langs)
         return one.select(
-            F.lit(self.scan_id).alias("scan_id"), "total_files", "total_tokens", "total_clones", "duplication_percentage", "dry_health_score", "clone_pairs", F.lit(int((time.time() - started) * 1000)).cast("bigint").alias("duration_ms"), "language_breakdown"
+            F.lit(self.scan_id).alias("scan_id"), "total_files", "total_tokens", "total_clones", "duplication_percentage", "dry_health_score", "clone_pairs", took.alias("duration_ms"), "language_breakdown"
         )
 
 
@@ -79,3 +83,51 @@ def scan(spark: SparkSession, source_files: DataFrame, config: ScanConfig = Scan
     out = Scan(str(uuid.uuid4()), config, source_files, parsed, prints, found, metrics.language_breakdown(parsed), total_files, figures)
     phase("Complete", 1.0, "Scan complete")
     return out
+
+
+def run(scan: Scan, progress: Progress | None = None, cancelled: Callable[[], bool] = lambda: False) -> Scan:
+    """The scan with its files, pairs and figures computed and kept, each once, whatever is asked of it afterwards.
+
+    progress hears of each phase when its jobs are done; as soon as cancelled() is true the jobs under way are stopped and Cancelled is raised.
+    """
+    sc = scan.pairs.sparkSession.sparkContext
+    group, over, stopped = f"scan {scan.scan_id}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        while not over.wait(0.1):
+            if cancelled():
+                stopped.set()
+                sc.cancelJobGroup(group)
+
+    def phase(name: str, share: float, message: str) -> None:
+        if stopped.is_set() or cancelled():
+            raise Cancelled("Scan cancelled")
+        if progress:
+            progress(name, share, message)
+
+    before = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    sc.setJobGroup(group, "scan", interruptOnCancel=True)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        phase("Discovery", 0.0, "Discovering files")
+        total_files = cut(scan.total_files)
+        phase("Tokenization", 0.1, f"Tokenizing {total_files.first()[0]} files")
+        parsed = cut(scan.parsed)
+        phase("Indexing", 0.5, "Matching fingerprints")
+        found = cut(scan.pairs)
+        phase("Merging", 0.8, f"Merged to {found.count()} pairs")
+        figures = cut(metrics.duplication(found, parsed.agg(F.sum("token_count").alias("total_tokens"))))
+        phase("Complete", 1.0, "Scan complete")
+        return replace(scan, parsed=parsed, pairs=found, total_files=total_files, metrics=figures, breakdown=metrics.language_breakdown(parsed))
+    except Cancelled:
+        raise
+    except Exception as e:
+        if stopped.is_set():
+            raise Cancelled("Scan cancelled") from e
+        raise
+    finally:
+        over.set()
+        watcher.join()
+        for k, v in before.items():
+            sc.setLocalProperty(k, v)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from twinweave import __version__
 from twinweave.config import ScanConfig
 from twinweave.plans.report import json_document
-from twinweave.plans.scan import scan
+from twinweave.plans.scan import run, scan
 from twinweave.sources.files import read_directory
 
 TOOL = {
@@ -24,8 +24,8 @@ def _config(args: dict) -> ScanConfig:
     return ScanConfig(str(args.get("directory", ".")), n if type(n) is int and n >= 0 else 50, enable_git_blame=args.get("enable_git_blame") is True)
 
 
-def answer(line: str, run: Callable[[ScanConfig], str]) -> dict:
-    """The response to a request line; run gives a scan's JSON."""
+def answer(line: str, work: Callable[[ScanConfig], str]) -> dict:
+    """The response to a request line; work gives a scan's JSON."""
     try:
         request = json.loads(line)
     except ValueError as e:
@@ -39,7 +39,7 @@ def answer(line: str, run: Callable[[ScanConfig], str]) -> dict:
         return reply | {"result": {"tools": [TOOL]}}
     if method == "tools/call" and params.get("name") == TOOL["name"]:
         try:
-            return reply | {"result": {"content": [{"type": "text", "text": run(_config(params.get("arguments") or {}))}]}}
+            return reply | {"result": {"content": [{"type": "text", "text": work(_config(params.get("arguments") or {}))}]}}
         except Exception as e:
             return reply | {"error": {"code": -32603, "message": str(e)}}
     return reply | {"error": {"code": -32601, "message": f"Method not found: {method}"}}
@@ -51,7 +51,7 @@ def main() -> None:
     spark = local_session()
     for line in sys.stdin:
         if line.strip():
-            print(json.dumps(answer(line, lambda c: json_document(scan(spark, read_directory(spark, c.directory), c)))), flush=True)
+            print(json.dumps(answer(line, lambda c: json_document(run(scan(spark, read_directory(spark, c.directory), c))))), flush=True)
 
 
 if __name__ == "__main__":

@@ -10,8 +10,8 @@ from twinweave import __version__
 from twinweave.config import ScanConfig
 
 
-def respond(method: str, path: str, body: bytes, run: Callable[[ScanConfig], str]) -> tuple[int, str]:
-    """(status, JSON) of a request; run gives a scan's JSON."""
+def respond(method: str, path: str, body: bytes, work: Callable[[ScanConfig], str]) -> tuple[int, str]:
+    """(status, JSON) of a request; work gives a scan's JSON."""
     if (method, path) == ("GET", "/api/health"):
         return 200, json.dumps({"status": "ok", "version": __version__})
     if (method, path) == ("POST", "/api/scan"):
@@ -20,19 +20,19 @@ def respond(method: str, path: str, body: bytes, run: Callable[[ScanConfig], str
         except (ValueError, TypeError) as e:
             return 422, json.dumps({"error": str(e)})
         try:
-            return 200, run(config)
+            return 200, work(config)
         except Exception as e:
             return 500, json.dumps({"error": str(e)})
     return 404, json.dumps({"error": "not found"})
 
 
-def server(port: int, run: Callable[[ScanConfig], str]) -> ThreadingHTTPServer:
+def server(port: int, work: Callable[[ScanConfig], str]) -> ThreadingHTTPServer:
     """A server on this machine only."""
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self, method: str) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
-            status, text = respond(method, self.path.split("?")[0], body, run)
+            status, text = respond(method, self.path.split("?")[0], body, work)
             data = text.encode()
             self.send_response(status)
             for k, v in (("Content-Type", "application/json"), ("Content-Length", str(len(data))), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Headers", "*")):
@@ -60,12 +60,12 @@ def server(port: int, run: Callable[[ScanConfig], str]) -> ThreadingHTTPServer:
 
 def main(port: int = 7331) -> None:
     from twinweave.plans.report import json_document
-    from twinweave.plans.scan import scan
+    from twinweave.plans.scan import run, scan
     from twinweave.session import local_session
     from twinweave.sources.files import read_directory
 
     spark = local_session()
-    server(port, lambda c: json_document(scan(spark, read_directory(spark, c.directory), c))).serve_forever()
+    server(port, lambda c: json_document(run(scan(spark, read_directory(spark, c.directory), c)))).serve_forever()
 
 
 if __name__ == "__main__":

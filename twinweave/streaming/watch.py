@@ -76,7 +76,10 @@ def rescan_changed(state_dir: str, handle: Callable[[DataFrame], None]) -> Calla
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        known = [f"{state_dir}/{n}" for n in sorted(os.listdir(state_dir))] if os.path.isdir(state_dir) else []
+        # by Hadoop's file systems, as the manifests are written
+        place = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+        store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        known = sorted(x.getPath().toString() for x in store.listStatus(place)) if store.exists(place) else []
         df = df.dropDuplicates(["path"]).persist()
         try:
             old = spark.read.parquet(*known) if known else spark.createDataFrame([], "path string, sha256 string, batch bigint")
