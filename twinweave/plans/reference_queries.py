@@ -174,14 +174,27 @@ def top_clones(spark, d):
     return pairs.in_order(clone_pairs(spark, d)).limit(25)
 
 
+def _result_sql(pairs_: str) -> str:
+    return f"""{pairs_}, s AS (SELECT count(*) AS total_tokens FROM tokens), p AS (
+        SELECT count(*) AS total_clones, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS dup_tokens, CAST(coalesce(sum(CASE WHEN split_part(file_a, '/', 1) <> split_part(file_b, '/', 1) THEN 1 ELSE 0 END), 0) AS BIGINT) AS crossing FROM found),
+    m AS (SELECT *, coalesce(least(dup_tokens / nullif(total_tokens, 0) * 100, 100.0), 0.0)::DOUBLE AS duplication_percentage, coalesce(crossing / nullif(total_clones, 0), 0.0)::DOUBLE AS ratio FROM s, p),
+    g AS (SELECT f.name, count(DISTINCT f.file_idx) AS files, count(t.pos) AS tokens FROM files f LEFT JOIN tokens t ON t.file_idx = f.file_idx GROUP BY 1)
+    SELECT 36 AS id_length, true AS timed, (SELECT count(*) FROM ({_LANG}) WHERE language IS NOT NULL AND NOT ({_IGNORED})) AS total_files, total_tokens, total_clones, duplication_percentage,
+        least(greatest((100 - 1.5 * duplication_percentage) * (1 - 0.25 * ratio), 0.0), 100.0)::DOUBLE AS dry_health_score"""
+
+
 @_query(
-    f"""{_PAIRS}, s AS (SELECT count(*) AS total_tokens FROM tokens), p AS (
-        SELECT count(*) AS total_clones, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS dup_tokens, CAST(coalesce(sum(CASE WHEN split_part(file_a, '/', 1) <> split_part(file_b, '/', 1) THEN 1 ELSE 0 END), 0) AS BIGINT) AS cross_module_pairs FROM found)
-    SELECT (SELECT count(*) FROM ({_LANG}) WHERE language IS NOT NULL AND NOT ({_IGNORED})) AS total_files, total_tokens, total_clones, least(100.0, dup_tokens / total_tokens * 100)::DOUBLE AS duplication_percentage FROM s, p"""
+    _result_sql(_PAIRS)
+    + """, coalesce((SELECT string_agg(concat_ws(' ', file_a, start_line_a, end_line_a, file_b, start_line_b, end_line_b, token_count, fragment_hash), chr(10) ORDER BY token_count DESC, file_a, start_line_a, end_line_a, file_b, start_line_b, end_line_b) FROM found), '') AS clone_pairs,
+        (SELECT string_agg(concat_ws(' ', name, files, tokens, 0), chr(10) ORDER BY name) FROM g) AS languages FROM m"""
 )
 def scan_result(spark, d):
-    """The figures of a whole scan."""
-    return scan(spark, _files(spark, d), EXACT).result().select("total_files", "total_tokens", "total_clones", "duplication_percentage")
+    """The whole result of a scan, its nested tables as text."""
+    r = scan(spark, _files(spark, d), EXACT).result()
+    pair = lambda p: F.concat_ws(" ", *[p[c].cast("string") for c in ("file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b", "token_count", "fragment_hash")])
+    lang = lambda x: F.concat_ws(" ", *[x[c].cast("string") for c in ("language", "files", "tokens", "clones")])
+    figures = ("total_files", "total_tokens", "total_clones", "duplication_percentage", "dry_health_score")
+    return r.select(F.length("scan_id").alias("id_length"), (F.col("duration_ms") > 0).alias("timed"), *figures, F.array_join(F.transform("clone_pairs", pair), "\n").alias("clone_pairs"), F.array_join(F.transform("language_breakdown", lang), "\n").alias("languages"))
 
 
 # --- the same with names and literals normalised, as a scan does by default: pairs grow with the square of frequent fragments
@@ -266,14 +279,11 @@ def top_clones_normalised(spark, d):
     return pairs.in_order(clone_pairs_normalised(spark, d)).limit(25)
 
 
-@_query(
-    f"""{_NORMAL_PAIRS}, s AS (SELECT count(*) AS total_tokens FROM tokens), p AS (SELECT count(*) AS total_clones, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS dup_tokens FROM found)
-    SELECT (SELECT count(*) FROM ({_LANG}) WHERE language IS NOT NULL AND NOT ({_IGNORED})) AS total_files, total_tokens, total_clones, least(100.0, dup_tokens / total_tokens * 100)::DOUBLE AS duplication_percentage FROM s, p"""
-)
+@_query(f"SELECT total_files, total_tokens, total_clones, duplication_percentage, dry_health_score FROM ({_result_sql(_NORMAL_PAIRS)} FROM m)")
 def scan_result_normalised(spark, d):
     """The figures of a whole scan; its pairs, which result() would nest in one row, are only counted."""
     done = scan(spark, _files(spark, d), NORMALISED)
-    return done.total_files.crossJoin(done.metrics).select("total_files", "total_tokens", "total_clones", "duplication_percentage")
+    return done.total_files.crossJoin(done.metrics).select("total_files", "total_tokens", "total_clones", "duplication_percentage", "dry_health_score")
 
 
 @_query(f"WITH {_NORMAL_CTES}, c AS (SELECT h1, h2, count(*) AS n_places, count(DISTINCT file_idx) AS n_files FROM prints GROUP BY h1, h2 HAVING count(*) > 1) SELECT p.h1, p.h2, n_places, n_files, p.file_idx, p.pos, p.line_start, p.line_end FROM prints p JOIN c ON c.h1 = p.h1 AND c.h2 = p.h2")
@@ -406,7 +416,14 @@ def report_markdown(spark, d):
     return report.markdown_lines(_pairs(spark, d).dropna(subset=["file_a", "file_b", "token_count"]))
 
 
-@_query()
+_JSON = ("file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b", "token_count", "similarity", "fragment_hash", "clone_type", "author_a", "author_b")
+
+
+@_query(
+    "SELECT '{' || "
+    + " || ',' || ".join(f"""'"{c}":' || coalesce(to_json({c})::VARCHAR, 'null')""" for c in _JSON)
+    + """ || ',"found_at":' || coalesce('"' || strftime(found_at::TIMESTAMP, '%Y-%m-%dT%H:%M:%S.%g') || '"', 'null') || '}' AS json FROM clone_pairs"""
+)
 def report_json(spark, d):
     return report.json_lines(_pairs(spark, d))
 
