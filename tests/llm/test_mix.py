@@ -65,3 +65,21 @@ def test_empty(spark):
     docs, targets, _ = tables(spark, 20)
     assert mix.mix(docs.limit(0), targets)[0].count() == 0 and mix.mix(docs, targets.limit(0))[0].count() == 0
     assert mix.mix(docs.limit(0), targets)[1].where("tokens = 0 AND share = 0").count() == 3
+
+
+def test_source_of_empty_texts(spark):
+    docs, targets, rows = tables(spark, 80, 4)
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, "none", None, 1) for i in range(30)], docs.schema))
+    asked = targets.unionByName(spark.createDataFrame([("none", 0.2, 2)], targets.schema))
+    chosen, shares = mix.mix(more, asked)
+    got = [r for r in chosen.collect() if r.source == "none"]
+    assert len(got) == 60 and {(r.n_tokens, r.end_token, r.finish_time) for r in got} == {(0, 0, 0.0)}
+    r = shares.where("source = 'none'").first()
+    assert (r.records, r.tokens, r.share) == (60, 0, 0.0)
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mix, "MAX_SOURCES", 2)
+    docs, targets, _ = tables(spark, 10)
+    with pytest.raises(ValueError):
+        mix.mix(docs, targets)

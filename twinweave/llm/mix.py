@@ -76,9 +76,7 @@ def plan_sources(sized: DataFrame, targets: DataFrame) -> list[Source]:
     """What each row of targets asks and what its source has; a source named twice counts once, with its largest weight and repeats."""
     asked = targets.where(F.col("source").isNotNull() & (F.col("target_weight") > 0)).groupBy("source").agg(F.max("target_weight").alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
     has = sized.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
-    rows = asked.join(has, "source", "left").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources in the targets")
+    rows = asked.join(has, "source", "left").collect()
     return sorted((Source(r["source"], float(r["weight"]), max(0, int(r["repeats"])), r["records"] or 0, r["tokens"] or 0, r["largest"] or 0) for r in rows), key=lambda s: s.source)
 
 
@@ -99,6 +97,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """
     spark = documents.sparkSession
     wanted = targets.where(F.col("target_weight") > 0).select("source").distinct()
+    if wanted.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources in the targets")
     used = documents.select("doc_id", "source", "text").join(F.broadcast(wanted), "source", "left_semi")
     sized = cut(count_tokens(used, ["doc_id", "source"], folder=folder, name=name))
     sources = plan_sources(sized, targets)
@@ -108,6 +108,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     passes = F.sequence(F.lit(0), F.least(F.col("repeats") - 1, F.ceil(F.lit(budget) / F.greatest("supply", F.lit(1))).cast("int")))
     uses = sized.join(F.broadcast(plan.where("repeats > 0")), "source").withColumn("pass", F.explode(passes))
     uses = uses.withColumn("key", F.xxhash64("doc_id", "n_tokens", "pass", F.lit(seed)))
+    # sources of empty texts only: all at the start, where they take nothing
+    nothing = uses.where("supply = 0").select("doc_id", "source", "pass", "n_tokens", F.lit(0.0).alias("finish_time"), F.lit(0).cast("bigint").alias("end_token"))
+    uses = uses.where("supply > 0")
     n_buckets = F.ceil(F.col("n_records") / BUCKET_ROWS)
     bucket = F.floor((F.col("key").cast("double") / 2.0**64 + 0.5) * n_buckets)
     uses = running_sum(uses, ["source", "pass"], bucket, ["key", "doc_id", "n_tokens"], "n_tokens", "in_pass")
@@ -116,10 +119,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     last = reach_time(sources, budget + 1 + sum(s.largest for s in sources))
     uses = uses.where(F.col("finish_time") <= last)
     last = min(last, max((s.most / s.weight for s in sources if s.most), default=1.0))
-    n_uses = sum(s.records * min(s.repeats, last * s.weight / max(1, s.tokens)) for s in sources)
+    n_uses = sum((s.tokens > 0) * s.records * min(s.repeats, last * s.weight / max(1, s.tokens)) for s in sources)
     step = last / max(1, n_uses // BUCKET_ROWS)
     uses = running_sum(uses.withColumn("__all", F.lit(0)), ["__all"], F.floor(F.col("finish_time") / step), ["finish_time", "source", "pass", "key", "doc_id", "n_tokens"], "n_tokens", "end_token")
-    chosen = uses.where(F.col("end_token") <= budget).select("doc_id", "source", "pass", "n_tokens", "finish_time", "end_token")
+    chosen = uses.where(F.col("end_token") <= budget).select("doc_id", "source", "pass", "n_tokens", "finish_time", "end_token").unionByName(nothing)
     got = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"))
     all_tokens = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy())
     shares = plan.join(got, "source", "left").select(
