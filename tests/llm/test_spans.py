@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinweave.llm import spans
 
@@ -80,6 +81,9 @@ def test_reference_of_bounded_size(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted(map(tuple, spans.stretches(spans.spans_in_reference(df, df, 5)).collect()))
     assert got == brute(rows, 5) and got
+    # hashes of 62 bits beside nulls
+    wide = df.withColumn("h1", F.col("h1") + F.lit(2**61 + 1))
+    assert sorted(map(tuple, spans.stretches(spans.spans_in_reference(wide, wide, 5)).collect())) == got
     part = df.where("record < 4")
     want = sorted(map(tuple, spans.stretches(spans.spans_in_reference(df, part, 5)).where("record >= 4").collect()))
     at = {x for x in want}

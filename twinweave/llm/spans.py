@@ -430,11 +430,11 @@ def spans_in_reference(records: DataFrame, reference: DataFrame, min_run: int =
     One automaton of the reference is sent to every task, and each record is streamed through it once. The reference is
     collected to the driver, hence the bound; a larger one is refused (shared_runs has none).
     """
-    rows = reference.select("record", "pos", "h1", "h2").where(F.col("record").isNotNull() & F.col("pos").isNotNull()).limit(most + 1).toPandas()
-    if len(rows) > most:
+    rows = reference.select(F.lit(0).alias("block"), "record", "pos", "h1", "h2").where(F.col("record").isNotNull() & F.col("pos").isNotNull()).limit(most + 1).toArrow()
+    if rows.num_rows > most:
         raise ValueError(f"the reference has more than {most} rows")
-    t = pa.Table.from_pandas(rows.sort_values(["record", "pos", "h1", "h2"], na_position="last").drop_duplicates(["record", "pos"]).assign(block=0), preserve_index=False)
-    t = t.select(["block", "record", "pos", "h1", "h2"]).cast(pa.schema([("block", pa.int32()), ("record", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
+    rows = rows.sort_by([(c, "ascending") for c in ("record", "pos", "h1", "h2")]).combine_chunks()
+    t = pa.Table.from_batches(list(_dedup(iter(rows.to_batches()))), rows.schema)
     automaton = SuffixAutomaton()
     record, pos = t.column(1).to_numpy(), t.column(2).to_numpy()
     _, _, _, sym = _pieces(t, min_run, Limits())
