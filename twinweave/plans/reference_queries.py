@@ -11,7 +11,7 @@ from twinweave.config import DEFAULT_IGNORE, ScanConfig
 from twinweave.functions.scalar import commit_date, mod_m61
 from twinweave.operators import incremental, lexer, metrics, pairs, structure
 from twinweave.plans import oracles, report, view
-from twinweave.plans.scan import scan
+from twinweave.plans.scan import run, scan
 from twinweave.session import cut, table
 from twinweave.sources.languages import extension_of, language_of, registry
 
@@ -190,7 +190,7 @@ def _result_sql(pairs_: str) -> str:
 )
 def scan_result(spark, d):
     """The whole result of a scan, its nested tables as text."""
-    r = scan(spark, _files(spark, d), EXACT).result()
+    r = run(scan(spark, _files(spark, d), EXACT)).result()
     pair = lambda p: F.concat_ws(" ", *[p[c].cast("string") for c in ("file_a", "start_line_a", "end_line_a", "file_b", "start_line_b", "end_line_b", "token_count", "fragment_hash")])
     lang = lambda x: F.concat_ws(" ", *[x[c].cast("string") for c in ("language", "files", "tokens", "clones")])
     figures = ("total_files", "total_tokens", "total_clones", "duplication_percentage", "dry_health_score")
@@ -282,7 +282,7 @@ def top_clones_normalised(spark, d):
 @_query(f"SELECT total_files, total_tokens, total_clones, duplication_percentage, dry_health_score FROM ({_result_sql(_NORMAL_PAIRS)} FROM m)")
 def scan_result_normalised(spark, d):
     """The figures of a whole scan; its pairs, which result() would nest in one row, are only counted."""
-    done = scan(spark, _files(spark, d), NORMALISED)
+    done = run(scan(spark, _files(spark, d), NORMALISED))
     return done.total_files.crossJoin(done.metrics).select("total_files", "total_tokens", "total_clones", "duplication_percentage", "dry_health_score")
 
 
