@@ -332,6 +332,8 @@ class Maker:
                 mail = self.email()
                 marks.append((len(out) + len(value) + 2, len(out) + len(value) + 2 + len(mail), 0))
                 end = f" <{mail}>"
+            if not end and not quote[1] and r.random() < 0.35:  # plain words after it
+                end = " " + " ".join(r.choice(words) if words and r.random() < 0.5 else self.word(1, 3).lower() for _ in range(r.randint(1, 3)))
             out += value + quote[1] + end + r.choice(["", "", ".", ",", "!", ";", "?"]) + (" " + right if right else "")
             out += r.choice(["\n", "\n", " ", "\r\n"])
             if r.random() < 0.25:  # numbers and capitals that are no details
