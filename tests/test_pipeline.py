@@ -429,3 +429,19 @@ def test_run_reports_and_keeps(spark):
     with pytest.raises(Cancelled):
         run(scan(spark, f), cancelled=lambda: polls.append(1) or len(polls) > 3)
     assert spark.range(3).count() == 3  # later jobs are not in the cancelled group
+
+
+def test_hashes_without_trees_equal_those_of_trees():
+    import random
+
+    rng = random.Random(8)
+    for name, pieces in (("Rust", ["fn", "a", "(", ")", "{", "}", "[", "]", "1", '"s"', "// c\n", "\n", ";"]), ("Python", ["x = (1,\n 2)\n", "def f(a, b=1):\n    return [a]\n", "class A:\n    'd'\n", "if x:\n    y()\n", "\n", "z = 'é'\n", ")"])):
+        for _ in range(150):
+            text = "".join(rng.choice(pieces) + rng.choice(["", " "] if name == "Rust" else [""]) for _ in range(rng.randrange(25)))
+            # all depths come from the tree, depths from 2 on are hashed as they close
+            want = [r for r in structure.subtree_hashes(text, name, 1) if r[5] > 1]
+            assert structure.subtree_hashes(text, name, 2) == want, text
+            assert structure.subtree_hashes(text, name, 3) == [r for r in want if r[5] > 2]
+    # deeper than the interpreter recurses
+    deep = structure.subtree_hashes("x = " + "1+" * 3000 + "1", "Python")
+    assert max(r[5] for r in deep) > 3000 and deep[-1][4] == "Module"

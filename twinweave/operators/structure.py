@@ -11,8 +11,10 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +44,20 @@ def _python(text: str) -> Node:
     for line in text.split("\n"):
         offsets.append(offsets[-1] + len(line.encode("utf-8", "surrogatepass")) + 1)
 
-    def build(n: ast.AST, at: Node, shift: int = 0) -> Node:
+    def one(n: ast.AST, at: Node, shift: int) -> Node:
         start = n.lineno + shift if hasattr(n, "lineno") else at.start
-        node = Node(type(n).__name__, start, (getattr(n, "end_lineno", None) or start - shift) + shift if hasattr(n, "lineno") else at.end, offsets[start - 1] + getattr(n, "col_offset", 0))
-        node.children = [build(c, node, shift) for c in ast.iter_child_nodes(n)]
-        return node
+        return Node(type(n).__name__, start, (getattr(n, "end_lineno", None) or start - shift) + shift if hasattr(n, "lineno") else at.end, offsets[start - 1] + getattr(n, "col_offset", 0))
+
+    def build(n: ast.AST, at: Node, shift: int = 0) -> Node:
+        root = one(n, at, shift)
+        todo = [(n, root)]
+        while todo:  # however deep
+            n, node = todo.pop()
+            for c in ast.iter_child_nodes(n):
+                child = one(c, node, shift)
+                node.children.append(child)
+                todo.append((c, child))
+        return root
 
     try:
         return build(ast.parse(text), Node("Module", 1, text.count("\n") + 1))
@@ -139,6 +150,100 @@ def _brackets(text: str, name: str, line: int = 0, offset: int = 0) -> Node:
     return root
 
 
+@lru_cache(maxsize=1 << 16)
+def _leaf(kind: int, tok: int) -> str:
+    """The hash of a token by itself."""
+    return hashlib.sha256((chr(tok - 2000) if kind == 4 else f"{KINDS[kind]}{tok if kind == 3 else ''}").encode()).hexdigest()
+
+
+_OPENS, _CLOSES = [2000 + ord(c) for c in "([{"], [2000 + ord(c) for c in ")]}"]
+
+
+def _bracket_hashes(text: str, name: str, min_depth: int) -> list[tuple[str, int, int, int, str, int]]:
+    """What hashing the tree of _brackets gives, without making the tree: a subtree is hashed when its bracket closes, and what stands between two brackets is joined at once."""
+    kind, tok, first, last, offset = lex(text, language(name))
+    leaves = [_leaf(k, t) for k, t in zip(kind.tolist(), tok.tolist())]
+    at = np.flatnonzero((kind == 4) & np.isin(tok, _OPENS + _CLOSES))
+    out: list[tuple[str, int, int, int, str, int]] = []
+    # of each open subtree: kind, first and last line, offset, hashes of its children, its greatest child's depth
+    stack: list[list] = [["source", 1, text.count("\n") + 1, 0, [], 0]]
+
+    def close() -> None:
+        what, a, b, o, parts, below = stack.pop()
+        h = hashlib.sha256((what + "".join(parts)).encode()).hexdigest()
+        if below + 1 >= min_depth:
+            out.append((h, a, b, o, what, below + 1))
+        if stack:
+            stack[-1][4].append(h)
+            stack[-1][5] = max(stack[-1][5], below + 1)
+
+    def plain(lo: int, hi: int) -> None:
+        if lo < hi:
+            stack[-1][4] += leaves[lo:hi]
+            stack[-1][5] = max(stack[-1][5], 1)
+
+    begin = 0
+    for i, t, a, b, o in zip(at.tolist(), tok[at].tolist(), first[at].tolist(), last[at].tolist(), offset[at].tolist()):
+        plain(begin, i)
+        begin = i + 1
+        if t in _OPENS:
+            stack.append([chr(t - 2000), a, b, o, [], 0])
+        elif len(stack) > 1:
+            stack[-1][2] = b
+            close()
+        else:
+            plain(i, i + 1)
+    plain(begin, len(leaves))
+    while stack:
+        close()
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _kind_hash(kind: str) -> str:
+    return hashlib.sha256(kind.encode()).hexdigest()
+
+
+def _python_hashes(text: str, min_depth: int) -> list[tuple[str, int, int, int, str, int]]:
+    """What hashing the tree of _python gives for a text that ast takes, without making the tree; raises what ast raises."""
+    tree = ast.parse(text)
+    offsets = [0]
+    for line in text.split("\n"):
+        offsets.append(offsets[-1] + (len(line) if line.isascii() else len(line.encode("utf-8", "surrogatepass"))) + 1)
+    out: list[tuple[str, int, int, int, str, int]] = []
+    leaf, node_type = _kind_hash, ast.AST
+
+    def visit(n: ast.AST, start: int, end: int) -> tuple[str, int]:
+        what = n.__class__.__name__
+        line = getattr(n, "lineno", None)
+        if line is not None:
+            start, end = line, n.end_lineno or line
+        parts, below = [], 0
+        for f in n._fields:
+            v = getattr(n, f, None)
+            if v.__class__ is list:
+                for x in v:
+                    if isinstance(x, node_type):
+                        h, d = visit(x, start, end)
+                        parts.append(h)
+                        if d > below:
+                            below = d
+            elif isinstance(v, node_type):
+                h, d = visit(v, start, end)
+                parts.append(h)
+                if d > below:
+                    below = d
+        if not parts:
+            return leaf(what), 1
+        h = hashlib.sha256((what + "".join(parts)).encode()).hexdigest()
+        if below + 1 >= min_depth:
+            out.append((h, start, end, offsets[start - 1] + getattr(n, "col_offset", 0), what, below + 1))
+        return h, below + 1
+
+    visit(tree, 1, text.count("\n") + 1)
+    return out
+
+
 def subtree_hashes(text: str, name: str, min_depth: int = 2) -> list[tuple[str, int, int, int, str, int]]:
     """(hash, first line, last line, byte offset, kind, depth) of the subtrees at least min_depth deep, children before parents.
 
@@ -147,11 +252,18 @@ def subtree_hashes(text: str, name: str, min_depth: int = 2) -> list[tuple[str,
     hold together what is left of Python that doesn't parse.
     """
     if name == "Python":
+        if min_depth > 1:
+            try:
+                return _python_hashes(text, min_depth)
+            except _UNPARSED:
+                pass
         root = _python(text)
     elif name == "HTML":
         parser = _Html()
         parser.feed(text)
         root = parser.root
+    elif min_depth > 1:
+        return _bracket_hashes(text, name, min_depth)
     else:
         root = _brackets(text, name)
     out: list[tuple[str, int, int, int, str, int]] = []
@@ -181,8 +293,8 @@ def ast_hashes(source_files: DataFrame, config: ScanConfig = ScanConfig(), min_d
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
         for batch in batches:
-            for i, name, text in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = [(i, *r) for r in subtree_hashes(text, name, min_depth)]
+            for lo in range(0, batch.num_rows, 64):
+                rows = [(i, *r) for i, name, text in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)) for r in subtree_hashes(text, name, min_depth)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
