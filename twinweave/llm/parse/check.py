@@ -457,6 +457,114 @@ def _ecma_literals(name: str) -> Callable[[str], str]:
     return prepare
 
 
+# A comment, or the prefix and opening quotes of a Python string.
+_PYTHON_OPENER = re.compile(r"#[^\n]*|(?<!\w)([rRbBuUfFtT]{0,2})(\"\"\"|'''|\"|')")
+_PYTHON_STRINGS = {q: re.compile(rf"(?:[^{q[0]}\\{'' if len(q) == 3 else chr(92) + 'n'}]|\\[\s\S]{f'|{q[0]}(?!{q[0] * 2})' if len(q) == 3 else ''})*{q}") for q in ('"', "'", '"""', "'''")}
+
+
+def _end_of_f_string(text: str, i: int, quote: str, raw: bool, inner: list[tuple[int, int]], spec: bool = False) -> int:
+    """Past the f-string whose quotes opened before i, or with ``spec`` at the brace that ends a format; -1 if there is no end. The spans of its expressions go to inner."""
+    n = len(text)
+    while i < n:
+        c = text[i]
+        if text.startswith(quote, i):
+            return -1 if spec else i + len(quote)
+        if c == "\\":
+            if not raw and text.startswith("\\N{", i):
+                i = text.find("}", i)
+                if i < 0:
+                    return -1
+            i += 1 if text[i + 1 : i + 2] in ("{", "}") else 2
+        elif c == "\n" and len(quote) == 1:
+            return -1
+        elif c == "}":
+            if spec:
+                return i
+            if not text.startswith("}}", i):
+                return -1
+            i += 2
+        elif c == "{" and not spec and text.startswith("{{", i):
+            i += 2
+        elif c == "{":
+            i = _end_of_field(text, i + 1, quote, raw, inner)
+            if i < 0:
+                return -1
+        else:
+            i += 1
+    return -1
+
+
+def _end_of_field(text: str, first: int, quote: str, raw: bool, inner: list[tuple[int, int]]) -> int:
+    """Past the brace that closes the replacement field whose expression begins at first; -1 if there is none."""
+    i, depth, n = first, 0, len(text)
+    while i < n:
+        c = text[i]
+        m = _PYTHON_OPENER.match(text, i) if c in "#rRbBuUfFtT\"'" else None
+        if m and m.group(2):
+            i = _end_of_f_string(text, m.end(), m.group(2), "r" in m.group(1).lower(), []) if "f" in m.group(1).lower() else x.end() if (x := _PYTHON_STRINGS[m.group(2)].match(text, m.end())) else -1
+            if i < 0:
+                return -1
+            continue
+        if m and c == "#":
+            i = m.end()
+            continue
+        if c in "([{":
+            depth += 1
+        elif depth and c in ")]}":
+            depth -= 1
+        elif c in ")]":
+            return -1
+        elif not depth and (c in "}:" or c == "!" and not text.startswith("!=", i)):
+            break
+        i += 1
+    else:
+        return -1
+    # name = and the like show the expression too
+    shown = re.search(r"(?<![=!<>])=\s*\Z", text[first:i])
+    inner.append((first, first + shown.start() if shown else i))
+    if text[i] == "!":
+        m = re.compile(r"![rsa]\s*").match(text, i)
+        if not m:
+            return -1
+        i = m.end()
+    if text[i : i + 1] == ":":
+        i = _end_of_f_string(text, i + 1, quote, raw, inner, spec=True)
+        if i < 0:
+            return -1
+    return i + 1 if text[i : i + 1] == "}" else -1
+
+
+@lru_cache(maxsize=4096)
+def _fits_python(expression: str) -> bool:
+    return bool(expression.strip()) and language("python").check(f"({expression}\n)\n").valid
+
+
+def _f_strings(text: str) -> str:
+    """f-strings as plain strings of as many lines; their expressions are checked on their own, and one that doesn't fit leaves an error on its line."""
+    if not re.search(r"[fF][rR]?[\"']", text):
+        return text
+    out: list[str] = []
+    at = kept = 0
+    while m := _PYTHON_OPENER.search(text, at):
+        prefix, quote = (m.group(1) or "").lower(), m.group(2)
+        if not quote:
+            at = m.end()
+        elif "f" not in prefix:
+            x = _PYTHON_STRINGS[quote].match(text, m.end())
+            if not x:
+                break  # what stays open is an error anyway
+            at = x.end()
+        else:
+            inner: list[tuple[int, int]] = []
+            end = _end_of_f_string(text, m.end(), quote, "r" in prefix, inner)
+            bad = next((a for a, b in inner if not _fits_python(text[a:b])), None) if end >= 0 else m.start()
+            if bad is not None:
+                return "".join([*out, text[kept : m.start()], "(", "\n" * text.count("\n", m.start(), bad), "$"])
+            out += [text[kept : m.start()], f"'''{chr(10) * text.count(chr(10), m.start(), end)}'''"]
+            at = kept = end
+    return "".join([*out, text[kept:]])
+
+
 _C_COMMENTS = [(r"//(?:[^\n\\]|\\[\s\S])*", ""), (r"/\*[\s\S]*?\*/", "")]
 _C_OPENERS = r"/\*|\"|'"
 _C_SUFFIX = r"[uUlLfFzZ]{1,3}|[fF](?:16|32|64|128)"
@@ -610,7 +718,7 @@ def language(name: str) -> Language:
         return Language(grammars.ecma(name != "js"), [], r"/\*|\"|'|`", "n", layout="asi", prepare=_ecma_literals(name), names=_ECMA_NAMES)
     if name == "python":
         literals = [(r"#[^\n]*", ""), (r"\\\n", FOLD), (r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""', STR), (r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''", STR), (r'"(?!"")(?:[^"\\\n]|\\[\s\S])*"', STR), (r'""(?!")', STR), (r"'(?!'')(?:[^'\\\n]|\\[\s\S])*'", STR), (r"''(?!')", STR)]
-        return Language(grammars.PYTHON, literals, r"\"|'", soft="match case type _", layout="indent", prefix="[rR][bBfF]?|[bBfF][rR]?|[uU]", number=_PYTHON_NUMBER)
+        return Language(grammars.PYTHON, literals, r"\"|'", soft="match case type _", layout="indent", prepare=_f_strings, prefix="[rR][bBfF]?|[bBfF][rR]?|[uU]", number=_PYTHON_NUMBER)
     raise KeyError(name)
 
 
