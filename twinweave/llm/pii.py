@@ -540,6 +540,7 @@ def silver_labels(texts: Sequence[str]) -> tuple[list[list[tuple[int, int, int]]
     common = {w for w, n in seen.most_common(COMMON) if n >= 3 and 2 * n >= capital[w]} | PLAIN
     given: Counter[str] = Counter()
     family: Counter[str] = Counter()
+    together: dict[str, set[str]] = {}
     cued = []
     for text in texts:
         names = []
@@ -552,8 +553,10 @@ def silver_labels(texts: Sequence[str]) -> tuple[list[list[tuple[int, int, int]]
                 if len(parts) == 2:
                     given[first.lower()] += 1
                     family[last.lower()] += 1
+                    together.setdefault(first.lower(), set()).add(last.lower())
         cued.append(names)
-    known = {w for w, n in given.most_common(GIVEN_NAMES) if n >= 3 and n > family[w] and 3 * n >= seen[w]}
+    # a given name stands with several surnames
+    known = {w for w, n in given.most_common(GIVEN_NAMES) if len(together[w]) > 1 and n > family[w] and 3 * n >= seen[w]}
     common -= known
     cued = [[(a, b) for a, b, first in names if first not in common] for names in cued]
     firsts = (known | set(GIVEN)) - common
