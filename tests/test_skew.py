@@ -1,9 +1,11 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinweave.operators import skew
+from twinweave.plans import skewed as queries
 
 SCHEMA = "h1 bigint, h2 bigint, file_idx bigint, line_start int, line_end int, n string"
 
@@ -92,3 +94,11 @@ def test_salts_hit_their_partition(spark):
 def test_no_exchange_after_placement(skewed):
     text = skew.balanced_group_stats(skewed.where("h1 <> 7"), ["h1"], "file_idx", "line_start", "line_end")._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") <= 3
+
+
+@pytest.mark.parametrize("total", [3, 119_304_648, 3_000_000_000])
+def test_hot_hashes_of_tables_of_any_size(spark, tmp_path, monkeypatch, total):
+    """The bound on a hot hash's rows is a 64-bit number."""
+    spark.createDataFrame([(1, 1, 2, 1, 1), (2, 1, 2, 1, 1), (3, 5, 6, 1, 1)], "file_idx bigint, h1 bigint, h2 bigint, line_start int, line_end int").write.parquet(f"{tmp_path}/fingerprints.parquet")
+    monkeypatch.setattr(queries, "plan_skew", lambda *a: replace(skew.plan_skew(*a), total=total))
+    assert queries.p3_found(spark, str(tmp_path)).count() == (2 if total == 3 else 0)

@@ -18,8 +18,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes, both halves not null, that hold at least HOT_SHARE of all rows, repeated rows and rows with nulls included."""
     plan = plan_skew(table(spark, sf_dir, "fingerprints"), ["h1", "h2"])
     hot = _hash_stats(spark, sf_dir, plan).where(F.col("h1").isNotNull() & F.col("h2").isNotNull())
-    # integers, so that the bound is met exactly; the plan has counted all rows
-    return hot.where(F.col("n_rows") * 10_000 >= F.lit(plan.total) * round(HOT_SHARE * 10_000)).select("h1", "h2")
+    # integers, so that the bound is met exactly, and multiplied in Python: Spark takes small ones for 32-bit, and their product then overflows from 119,304,648 rows on; the plan has counted all rows
+    return hot.where(F.col("n_rows") * 10_000 >= F.lit(plan.total * round(HOT_SHARE * 10_000))).select("h1", "h2")
 
 
 def _hash_stats(spark: SparkSession, sf_dir: str, plan: SkewPlan | None = None) -> DataFrame:
