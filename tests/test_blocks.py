@@ -54,7 +54,7 @@ def repetitive(spark, tmp_path_factory):
     return d
 
 
-QUERIES = ("clone_pairs_search", "merged_pairs_normalised", "span_token_count_normalised", "clone_pairs_normalised", "top_clones_normalised")
+QUERIES = ("clone_pairs_search", "merged_pairs_normalised", "span_token_count_normalised", "clone_pairs_normalised", "top_clones_normalised", "scan_result_normalised")
 
 
 @pytest.mark.parametrize("name", QUERIES)
