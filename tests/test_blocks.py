@@ -73,3 +73,22 @@ def test_two_paths_of_one_number(spark):
     found = pairs.clone_pairs(files, lexer.counted_fingerprints(files)).where(F.col("file_a") != F.col("file_b"))
     across = {(r.file_a, r.file_b) for r in found.collect()}
     assert {("a.py", "b.py"), ("a.py", "c.odd")} <= across
+
+
+def test_top_pairs_come_from_large_files(spark, monkeypatch):
+    """The first pairs are those of all files, though small files, of which there are many, aren't matched; a number's short text counts with its long one."""
+    rng = random.Random(4)
+    text = lambda n: "".join("a " + " a ".join(rng.choices("+-*/%<>&|^=", k=8)) + " a\n" for _ in range(n))
+    large, small = text(200), [text(20) for _ in range(5)]
+    data = [(i, f"d{i % 3}/s{i}.py", small[i % 5]) for i in range(200)] + [(i, f"d{i % 3}/l{i}.py", large[: 2000 + 300 * (i - 200)]) for i in range(200, 212)] + [(200, "e/s.py", small[0]), (201, "e/none.py", None)]
+    files = spark.createDataFrame(data, "file_idx bigint, path string, content string")
+    whole = pairs.in_order(pairs.clone_pairs(files, pairs.counted_fingerprints(files))).limit(25).collect()
+    taken, clone_pairs = [], pairs.clone_pairs
+    monkeypatch.setattr(pairs, "FEW", 10)
+    monkeypatch.setattr(pairs, "clone_pairs", lambda f, *a: taken.append(f.count()) or clone_pairs(f, *a))
+    assert pairs.top_clone_pairs(files).collect() == whole and max(taken) < 20
+    # few pairs of large files: all are matched at last
+    taken.clear()
+    rest = files.where("file_idx < 198 or file_idx > 210").orderBy("file_idx")
+    assert pairs.top_clone_pairs(rest, n=400).collect() == pairs.in_order(clone_pairs(rest, pairs.counted_fingerprints(rest))).limit(400).collect()
+    assert taken[-1] == rest.count()
