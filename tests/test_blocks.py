@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,26 @@ def test_top_pairs_come_from_large_files(spark, monkeypatch):
     rest = files.where("file_idx < 198 or file_idx > 210").orderBy("file_idx")
     assert pairs.top_clone_pairs(rest, n=400).collect() == pairs.in_order(clone_pairs(rest, pairs.counted_fingerprints(rest))).limit(400).collect()
     assert taken[-1] == rest.count()
+
+
+def test_fingerprints_are_shuffled_once(spark, repetitive, monkeypatch):
+    """However many blocks there are, each goes to one place, from which tasks fetch it; texts are lexed once."""
+    found = rows(entry.queries()["clone_pairs_normalised"](spark, repetitive))
+    monkeypatch.setattr(blocks, "MET", 4000)
+    q = entry.queries()["clone_pairs_normalised"](spark, repetitive)
+    assert sorted(map(repr, q.select(*sorted(q.columns)).collect())) == found
+    q.collect()
+    plan = q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Generate" not in plan and plan.count("MapInArrow _pack") == plan.count("ReusedExchange") == 1
+
+
+def test_files_matched_with_themselves_are_folded_some_at_once(monkeypatch):
+    """What is held in memory is about UNITS or one file's units, not those of all files of a block."""
+    t = pa.table(dict(zip([c.split()[0] for c in SCHEMA.split(", ")], zip(*[(f, 9 * i, 0, 0, 9 * i, 9 * i + 2, 0, 9) for f in range(50) for i in range(10)]))))
+    t = t.append_column("side", pa.array(np.full(len(t), 2)))
+    sizes, merge = [], blocks._merge
+    monkeypatch.setattr(blocks, "UNITS", 100)
+    monkeypatch.setattr(blocks, "_merge", lambda parts, gap: sizes.append(sum(len(x[0]) for x in parts)) or merge(parts, gap))
+    found = sum(b.num_rows for b in blocks.kernel(3)(iter(t.to_batches())))
+    assert found > 1000 and sum(sizes) == 50 * 45 + 50 * 49 // 2 * 100 and max(sizes) < 6000
+    assert sizes[-1] < 200
