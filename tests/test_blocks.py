@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,26 @@ def test_files_matched_with_themselves_are_folded_some_at_once(monkeypatch):
     found = sum(b.num_rows for b in blocks.kernel(3)(iter(t.to_batches())))
     assert found > 1000 and sum(sizes) == 50 * 45 + 50 * 49 // 2 * 100 and max(sizes) < 6000
     assert sizes[-1] < 200
+
+
+@pytest.mark.parametrize("two, tokens", [(True, False), (False, False), (True, True)])
+def test_merged_pairs_take_few_bytes(two, tokens):
+    """Neighbouring rows are alike: a file of them is much smaller than in the order of files and lines, which is how they were given before."""
+    rng, n = random.Random(7), 120
+    got = []
+    for f in range(n):
+        line, own = 1, rng.choice([1, 2, 5])
+        for i in range(12):
+            line += rng.choice([6, 9, 14])
+            got.append((f, 9 * i, rng.randrange(5), 0, line, line + rng.randrange(1, 5) * own, 9 * i, 9 * i + rng.randrange(9, 30)))
+    t = pa.table(dict(zip([c.split()[0] for c in SCHEMA.split(", ")], zip(*got))))
+    t = t.append_column("side", pa.array(np.asarray(t["file_idx"]) % 2 if two else np.full(len(t), 2)))
+    found = pa.Table.from_batches(blocks.kernel(3, tokens=tokens)(iter(t.to_batches())))
+    assert found.num_rows > 30_000
+
+    def size(x):
+        sink = pa.BufferOutputStream()
+        pq.write_table(x, sink, compression="snappy")
+        return len(sink.getvalue())
+
+    assert size(found) < 0.8 * size(found.sort_by([(c, "ascending") for c in ("file_a", "file_b", "start_a", "start_b")]))
